@@ -192,10 +192,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later[where[begins & ~cls]] = True
         if held_mixed:
             later[0] = True
-        carried = first is not None and held is not None
-        wanted = begins & later[where]
-        if held_mixed and held_same:
-            wanted[0] = False
+        carried = first is not None and held is not None and rows["salt"][0] == 0
+        # The contexts of a class that is dealt out by salt may be mixed without showing it here.
+        wanted = begins & (later[where] | (rows["salt"] > 0))
         out = {k: rows[k][:m] for k in ("id", "lo", "span", "off", "cls", "salt")} | {"twice": twice[:m], "wanted": wanted[:m]}
         keep = out["twice"] | out["wanted"]
         out = {k: v[keep] for k, v in out.items()}
@@ -207,7 +206,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if start > 0 or not carried:
                 # The open class began here (or is the first): remember its first row unless it waits itself.
                 first = None
-                if start < m:
+                if start < m and rows["salt"][start] == 0:
                     first = {k: rows[k][start : start + 1] for k in ("id", "lo", "span", "off", "cls", "salt")}
                     first |= {"twice": np.array([bool(twice[start])]), "wanted": np.array([True])}
             held_mixed = bool(later[where[-1]])
