@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +34,17 @@ MAX_PARTS = 100_000
 # ---------------------------------------------------------------- blocks
 
 
-def _widths(offsets: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Bits of each row's offsets at PERCENTILE, of its first ``n`` values."""
-    filled = np.where(np.arange(BLOCK) < n[:, None], offsets, np.uint64(np.iinfo(np.uint64).max))
-    at = np.maximum(np.ceil(n * PERCENTILE / 100).astype(np.int64) - 1, 0)
-    limit = np.take_along_axis(np.sort(filled, axis=1), at[:, None], axis=1)[:, 0]
-    return np.array([int(x).bit_length() for x in limit], np.int64)
+def _widths(offsets: np.ndarray, last: int) -> np.ndarray:
+    """Bits of each row's offsets at PERCENTILE; the last row counts with its first ``last`` values."""
+    at = lambda n: max(-(-n * PERCENTILE // 100) - 1, 0)
+    limit = np.partition(offsets, at(BLOCK), axis=1)[:, at(BLOCK)]
+    limit[-1] = np.sort(offsets[-1, :last])[at(last)]
+    return np.array([x.bit_length() for x in limit.tolist()], np.int64)
 
 
 def _pack(values: np.ndarray, w: int) -> np.ndarray:
     """Low ``w`` bits of each row's 256 values in 4 * w little-endian 64-bit words; value i starts at bit i * w."""
-    columns = np.ascontiguousarray(values.T)
+    columns = np.ascontiguousarray(values.T, np.uint64)
     if w < 64:
         columns = columns & np.uint64((1 << w) - 1)
     out = np.zeros((4 * w, len(values)), np.uint64)
@@ -70,26 +71,22 @@ def _unpack(words: np.ndarray, w: int) -> np.ndarray:
 
 def encode(values: np.ndarray) -> bytes:
     """Blocks of unsigned integers: count, block index, blocks. Any count, also none."""
-    values = np.ascontiguousarray(values, np.uint64)
     size = len(values)
     rows = -(-size // BLOCK)
-    grid = np.zeros(rows * BLOCK, np.uint64)
+    narrow = not size or int(values.max()) < 1 << 32
+    grid = np.zeros(rows * BLOCK, np.uint32 if narrow else np.uint64)
     grid[:size] = values
-    if size:
-        grid[size:] = values[-1]
+    grid[size:] = values[-1] if size else 0
     grid = grid.reshape(rows, BLOCK)
-    n = np.full(rows, BLOCK, np.int64)
-    if rows and size % BLOCK:
-        n[-1] = size % BLOCK
-    low = grid.min(axis=1) if rows else np.zeros(0, np.uint64)
+    low = grid.min(axis=1, initial=np.iinfo(grid.dtype).max)
     offsets = grid - low[:, None]
-    width = _widths(offsets, n) if rows else np.zeros(0, np.int64)
+    width = _widths(offsets, size - (rows - 1) * BLOCK) if rows else np.zeros(0, np.int64)
     out: list[bytes] = [b""] * rows
     for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
         part = offsets[at]
         packed = _pack(part, w)
-        high = part >> np.uint64(w) if w < 64 else np.zeros_like(part)
+        high = part >> part.dtype.type(w) if w < 8 * part.itemsize else np.zeros_like(part)
         where, place = np.nonzero(high)
         cut = np.searchsorted(where, np.arange(len(at) + 1)).tolist()
         extra, place = high[where, place].astype("<u8"), place.astype("<u1")
@@ -183,8 +180,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        #: Ids of a space and the piece; None for pieces that have or are white space at an end.
-        self.known: dict[str, bytes | None] = {}
+        self.model = self.tokenizer.model
+        #: Ids of a space and a word, and of closing commas and stops.
+        self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -197,56 +196,68 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [_PACK[n](*ids) if (n := len(ids := e.ids)) < len(_PACK) else np.array(ids, "<u4").tobytes() for e in found]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and letters: one unit of the pre-tokenizer, so that the model alone is asked."""
-        plain = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        ids = [t.id for t in self.tokenizer.model.tokenize("\u0120" + plain)]
-        return _PACK[n](*ids) if (n := len(ids)) < len(_PACK) else np.array(ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        known = self.known
-        # Letters before closing commas or stops are a piece of their own, and so are those stops.
-        stems, tails, least, words = {}, {}, [], set()
-        for p in new:
-            if not p or p[0].isspace() or p[-1].isspace():
-                known[p] = None
-            elif p.isalpha():
-                words.add(p)
-            elif p[-1] in _STOPS and (s := p.rstrip(",."))[-1:].isalpha():
-                stems[p] = s
-            else:
-                least.append(p)
-        have = set(least)
-        for s in stems.values():
-            if s not in known and s not in have:
-                words.add(s) if s.isalpha() else have.add(s) or least.append(s)
-        for w in words:
-            known[w] = self._word(w)
-        known.update(zip(least, self._plain([" " + p for p in least]), strict=True))
-        if ends := list({p[len(s) :] for p, s in stems.items()}):
-            tails = dict(zip(ends, self._plain(ends), strict=True))
-        for p, s in stems.items():
-            known[p] = known[s] + tails[p[len(s) :]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [t.split(" ") for t in texts]
-        rest = set().union(*[p[1:] for p in pieces])
-        new = rest - self.known.keys() if len(rest) > len(self.known) else {p for p in rest if p not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, rest
-        self._learn(new)
-        heads, get, out = self._plain([p[0] for p in pieces]), self.known.__getitem__, []
-        for t, p, head in zip(texts, pieces, heads, strict=True):
-            try:
-                # A head that ends in white space, or is empty, stands beside a space.
-                if len(p) > 1 and (not p[0] or p[0][-1].isspace()):
-                    raise TypeError
-                out.append(head + b"".join(map(get, p[1:])))
-            except TypeError:
-                out.append(self._plain([t])[0])
+    def _learn(self, words: list[str]) -> list[bytes | None]:
+        """Ids of a space and each word; None for words that are, or have at an end, white space."""
+        known, tails, ask = self.known, self.tails, self.model.tokenize
+        out: list[bytes | None] = [None] * len(words)
+        other: list[int] = []
+        for i, p in enumerate(words):
+            if (found := known.get(p)) is not None:
+                out[i] = found
+                continue
+            stem, tail = p, b""
+            # Letters before closing commas or stops are a unit of their own, and so are those stops.
+            if p[-1:] in _STOPS:
+                stem = p.rstrip(",.")
+                if (tail := tails.get(end := p[len(stem) :])) is None:
+                    tail = tails[end] = self._plain([end])[0]
+            if stem.isalpha():
+                if (found := known.get(stem)) is None:
+                    # A space and letters are one unit of the pre-tokenizer: the model alone is asked.
+                    plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_LETTERS)
+                    ids = [t.id for t in ask("\u0120" + plain)]
+                    found = _PACK[n](*ids) if (n := len(ids)) < len(_PACK) else np.array(ids, "<u4").tobytes()
+                    known[stem] = found
+                out[i] = found + tail
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                other.append(i)
+        for i, ids in zip(other, self._plain([" " + words[i] for i in other]), strict=True):
+            out[i] = known[words[i]] = ids
+        if len(known) > CACHE:
+            self.known = {}
         return out
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts on end, END_ID after each, and the number of each text's ids with it."""
+        n = len(texts)
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        words, piece = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        found = self._learn(words)
+        bad = np.array([f is None for f in found], bool)
+        # Heads have no space before them; one that is empty or ends in white space stands beside a space.
+        first, many = bounds[:-1], np.diff(bounds) > 1
+        heads = [words[i] for i in piece[first].tolist()]
+        whole = np.array([not h or h[-1].isspace() for h in heads], bool) & many
+        beside = bad[piece]
+        beside[first] = False
+        whole |= np.add.reduceat(beside, first) > 0 if n else whole
+        heads = [t if w else h for t, w, h in zip(texts, whole.tolist(), heads, strict=True)]
+        table = [f or b"" for f in found] + self._plain(heads) + [_PACK[1](END_ID)]
+        piece[first] = len(found) + np.arange(n)
+        lengths = np.array([len(x) // 4 for x in table], np.int64)
+        values = np.frombuffer(b"".join(table), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        dropped = np.repeat(whole, np.diff(bounds))
+        dropped[first] = False
+        piece = np.insert(piece, bounds[1:], len(table) - 1)
+        take = lengths[piece]
+        take[np.flatnonzero(dropped) + np.repeat(np.arange(n), np.diff(bounds))[dropped]] = 0
+        done = np.cumsum(take)
+        ids = values[np.repeat(starts[piece] - (done - take), take) + np.arange(int(done[-1]) if n else 0)]
+        return ids, np.add.reduceat(take, bounds[:-1] + np.arange(n)) if n else np.zeros(0, np.int64)
+
 
 # ---------------------------------------------------------------- tables
 
@@ -270,11 +281,10 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
         encoder = Encoder.of(vocabulary)
         docs: list[int] = []
         counts: list[int] = []
-        data: list[bytes] = []
-        end = np.array([END_ID], "<u4").tobytes()
+        data: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(data), "<u4")
+            ids = np.concatenate(data)
             row = [part, seq, docs[0], len(docs), len(ids), before, write_shard(docs, counts, ids)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()], strict=True)],
@@ -283,19 +293,19 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, ids in zip(keys, encoder.encode([t or "" for t in texts]), strict=True):
-                docs.append(k)
-                counts.append(len(ids) // 4 + 1)
-                data.append(ids + end)
-                held += counts[-1]
-                if held >= SHARD_TOKENS:
-                    yield close()
-                    seq, before, held = seq + 1, before + held, 0
-                    docs, counts, data = [], [], []
+            ids, sizes = encoder.encode([t or "" for t in texts])
+            docs += keys
+            counts += sizes.tolist()
+            data.append(ids)
+            held += len(ids)
+            if held >= SHARD_TOKENS:
+                yield close()
+                seq, before, held = seq + 1, before + held, 0
+                docs, counts, data = [], [], []
         if docs:
             yield close()
 
-    common.small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // max(PARTITION_BYTES, -(-size // MAX_PARTS))))
     ordered = documents.select(F.col(key).cast("long").alias(key), "text").repartitionByRange(parts, key)
