@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["language", "quality", "decontaminate", "pii", "tokens", "mixing", "toxicity", "urls"]
+MODULES = ["language", "quality", "decontaminate", "pii", "tokens", "mixing", "substring", "toxicity", "urls", "neardup"]
 
 
 def queries() -> dict:
