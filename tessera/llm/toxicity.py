@@ -152,7 +152,8 @@ def sample(documents: DataFrame, labels: DataFrame, key: str, label: str, rows:
         share = F.when(F.col("_y") == y, min(1.0, rows / n)).otherwise(share)
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     chosen = known.where(chance < share)
-    got = texts.join(chosen, key).select("text", "_y", F.xxhash64("text").alias("_h")).collect()
+    # About ``rows`` keys of each class: few enough to send to every task, so that no text is shuffled.
+    got = texts.join(F.broadcast(chosen), key).select("text", "_y", F.xxhash64("text").alias("_h")).collect()
     return [(r.text, r._y) for r in sorted(got, key=lambda r: (r._h, r.text))]
 
 
