@@ -175,17 +175,20 @@ def _union(spans):
     )
 
 
+def _hit(scanner: Scanner):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(scanner.scan(t)[1]) for t in texts], dtype=bool)
+
+    return hit
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without a benchmark passage, all columns kept; the texts are scanned in place, without a join."""
     common.small_batches(documents.sparkSession)
     out = documents
-    for scanner in [Scanner(b, window) for b in blocks(benchmark, "item_id", "text")]:
-
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, scanner=scanner) -> pd.Series:
-            return pd.Series([bool(scanner.scan(t)[1]) for t in texts], dtype=bool)
-
-        out = out.where(~hit(F.col("text")))
+    for block in blocks(benchmark, "item_id", "text"):
+        out = out.where(~_hit(Scanner(block, window))(F.col("text")))
     return out
 
 
