@@ -1,4 +1,552 @@
 """Queries of the engine's own operators, with their SQL."""
 
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import keys as K
+from tessera.functions.times import micros
+from tessera.functions.values import canonical, decode_fields, fields_of, float_value, int_value, string_value, version_rank
+from tessera.operators import backfill, consistency, ingest, reads, ttl, writes
+from tessera.operators.versions import Manager, Version, transitions
+from tessera.plans.adapters import ITEM, OPLOG, PROFILE, counters, item, oplog, profile, table
+from tessera.sources.catalog import ITEM_PROFILE, USER_PROFILE, Field, Table, seeded
+from tessera.sources.rows import as_json, exploded
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+AT = datetime(2024, 2, 1)
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a function under its name, with its SQL over the adapters' views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = (f"WITH {', '.join(views)} " if views else "") + sql
+        return f
+
+    return add
+
+
+def field(name: str, slot: str, entries: str = "fields") -> Column:
+    return F.col(entries)[name][slot]
+
+
+def _version(fields: list[str], id: str = "user_profile-v1") -> Version:
+    return Version(id, id.split("-")[0], "published", "", fields, AT, AT, 1)
+
+
+# ------------------------------------------------------------ reads
+
+
+@query("SELECT entity, 'user_profile-v1' AS version_id, age, score, CAST(NULL AS VARCHAR) AS city FROM profile", PROFILE)
+def read_active(spark: SparkSession, d: str) -> DataFrame:
+    """All entities through the active version's layout, which hides the city."""
+    entries = profile(spark, d)
+    found = reads.read(entries.select("entity"), entries, _version(["age", "score"]), "user_profile-v1")
+    return found.select("entity", "version_id", field("age", "i").alias("age"), field("score", "f").alias("score"), field("city", "s").alias("city"))
+
+
+@query(
+    "SELECT concat('user_', CAST(p_partkey AS VARCHAR)) AS entity, CASE WHEN age IS NULL THEN 'user_profile-v9' ELSE 'user_profile-v1' END AS version_id, age, CAST(CASE WHEN age IS NULL THEN 0 ELSE 6 END AS BIGINT) AS n_fields "
+    "FROM part LEFT JOIN profile ON profile.entity = concat('user_', CAST(p_partkey AS VARCHAR))", PROFILE,
+)
+def read_missing_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Absent entities are empty snapshots of the requested version."""
+    asked = table(spark, d, "part").select(F.concat(F.lit("user_"), F.col("p_partkey").cast("string")).alias("entity"))
+    found = reads.read(asked, profile(spark, d), None, "user_profile-v9")
+    return found.select("entity", "version_id", field("age", "i").alias("age"), F.size("fields").cast("bigint").alias("n_fields"))
+
+
+@query("SELECT entity, us AS written_us, age, city, level, active_days, score, is_vip FROM profile WHERE entity = 'user_77'", PROFILE)
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One stored entry, without a layout."""
+    wanted = spark.createDataFrame([("user_77",)], "entity string")
+    found = reads.entry_for(wanted, profile(spark, d)).join(reads.written_at(wanted, profile(spark, d)).withColumnRenamed("written_at", "_at"), "entity")
+    columns = [field(f.name, {"int": "i", "float": "f", "string": "s", "bool": "b"}[f.kind]).alias(f.name) for f in USER_PROFILE.fields]
+    return found.select("entity", micros(F.col("_at")).alias("written_us"), *columns)
+
+
+@query("SELECT entity, age, city, level, active_days, score, is_vip FROM profile", PROFILE)
+def wide_view(spark: SparkSession, d: str) -> DataFrame:
+    """The typed columns of a declared table."""
+    return USER_PROFILE.to_wide(profile(spark, d)).drop("version_id", "written_at")
+
+
+@query("SELECT entity, 'item_profile-v2' AS version_id, category, price, stock, rating, on_sale, CAST(0 AS BIGINT) AS n_user_fields FROM item", ITEM)
+def item_layout_hides_user_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Once another table's version is active, entries written for the first table lose their fields in reads."""
+    mixed = item(spark, d).withColumn("fields", F.map_concat("fields", fields_of(age=int_value(F.lit(1)))))
+    found = reads.read(mixed.select("entity"), mixed, _version(ITEM_PROFILE.field_names(), "item_profile-v2"), "item_profile-v2")
+    columns = [field(f.name, {"int": "i", "float": "f", "string": "s", "bool": "b"}[f.kind]).alias(f.name) for f in ITEM_PROFILE.fields]
+    hidden = F.size(F.array_except(F.map_keys("fields"), F.array(*[F.lit(n) for n in ITEM_PROFILE.field_names()]))).cast("bigint")
+    return found.select("entity", "version_id", *columns, hidden.alias("n_user_fields"))
+
+
+@query("SELECT entity, unnest(['active_days', 'age', 'city', 'is_vip', 'level', 'score']) AS field FROM profile", PROFILE)
+def field_names(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted field names of each snapshot."""
+    from tessera.functions.values import field_names as names
+
+    return profile(spark, d).select("entity", F.explode(names(F.col("fields"))).alias("field"))
+
+
+@query()
+def shard_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of one of 16 shards."""
+    return reads.keys_of(profile(spark, d), 3, 16)
+
+
+@query("SELECT concat('{\"entity\":\"', entity, '\",\"versionID\":\"user_profile-v1\",\"fields\":{\"age\":\"', CAST(age AS VARCHAR), '\",\"city\":\"', city, '\"}}') AS json FROM profile", PROFILE)
+def json_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots as JSON objects with texts."""
+    entries = profile(spark, d)
+    return as_json(reads.projected(entries, ["age", "city"]))
+
+
+# ------------------------------------------------------------ scalar functions
+
+
+@query(
+    "SELECT entity, unnest(['age', 'city', 'level', 'active_days', 'is_vip']) AS field, unnest([CAST(age AS VARCHAR), city, CAST(level AS VARCHAR), CAST(active_days AS VARCHAR), CAST(is_vip AS VARCHAR)]) AS canonical FROM profile "
+    "UNION ALL SELECT entity, 'score', CASE WHEN score = floor(score) THEN CAST(CAST(score AS BIGINT) AS VARCHAR) ELSE CAST(score AS VARCHAR) END FROM profile", PROFILE,
+)
+def canonical_values(spark: SparkSession, d: str) -> DataFrame:
+    """the text of every field."""
+    return exploded(profile(spark, d)).select("entity", "field", "canonical")
+
+
+@query("SELECT event_id, 'k' AS field, 'int' AS type, CAST(json_extract(props, '$.k') AS BIGINT) AS i FROM events")
+def decode_json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """JSON members as typed values."""
+    rows = table(spark, d, "events").select("event_id", F.explode(decode_fields(F.col("props"))).alias("field", "v"))
+    return rows.select("event_id", "field", "v.type", "v.i")
+
+
+def _raw_keys(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    raw = F.when(k % 7 == 0, "  ").when(k % 7 == 1, F.concat(F.lit("\t"), F.col("c_name"), F.lit(" \n"))).when(k % 7 == 2, F.repeat(F.lit("é"), 129)).otherwise(F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", raw.alias("raw"))
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 7 = 2 THEN NULL ELSE c_name END AS entity FROM customer"
+)
+def parse_entity(spark: SparkSession, d: str) -> DataFrame:
+    """trimmed keys, null for blank ones and for those over 256 bytes."""
+    return _raw_keys(spark, d).select("c_custkey", K.parse_entity(F.col("raw")).alias("entity"))
+
+
+@query("SELECT c_custkey, CAST(CASE WHEN c_custkey % 7 IN (0, 2) THEN 0 ELSE 1 END AS BIGINT) AS routed FROM customer")
+def route_entity(spark: SparkSession, d: str) -> DataFrame:
+    """only valid keys have a shard, and it is in range."""
+    shard = K.route_entity(F.col("raw"), 8)
+    return _raw_keys(spark, d).select("c_custkey", F.coalesce(shard.between(0, 7), F.lit(False)).cast("bigint").alias("routed"))
+
+
+@query("SELECT concat('user_', CAST(c_custkey AS VARCHAR)) AS entity, true AS in_range, true AS grows_within FROM customer")
+def route_shards(spark: SparkSession, d: str) -> DataFrame:
+    """slots are in range, and a slot of 64 modulo 16 is the slot of 16."""
+    e = F.col("entity")
+    return profile(spark, d).select("entity", K.slot(e, 16).between(0, 15).alias("in_range"), (K.slot(e, 64) % 16 == K.slot(e, 16)).alias("grows_within"))
+
+
+@query()
+def hash_keys(spark: SparkSession, d: str) -> DataFrame:
+    """XXH64 with seed 0 as a long, and the slot of 16."""
+    return profile(spark, d).select("entity", K.hash_key(F.col("entity")).alias("hash"), K.slot(F.col("entity"), 16).alias("slot"))
+
+
+@query()
+def expand_reachability(spark: SparkSession, d: str) -> DataFrame:
+    """T4, D3: what would stay where it is if 16 shards became 64 without moving entries."""
+    moved = K.reachable(F.col("entity"), 16, 64)
+    return profile(spark, d).groupBy(moved.alias("stays")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 16 AS previous, 64 AS current, 48 AS added, 0 AS state_63, -1 AS state_64")
+def expand_shards(spark: SparkSession, d: str) -> DataFrame:
+    """T4, T5, C10, C11."""
+    router = K.Router(16)
+    e = router.expand(64)
+    return spark.createDataFrame(
+        [(e.previous, e.current, e.added, router.shard_state(63), router.shard_state(64))], "previous int, current int, added int, state_63 int, state_64 int"
+    )
+
+
+@query("SELECT DISTINCT version_id, rank FROM oplog", OPLOG)
+def version_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """ranks in order of publication."""
+    return oplog(spark, d).select("version_id", version_rank(F.col("version_id")).alias("rank")).distinct()
+
+
+@query("SELECT DISTINCT version_id, CAST(reverse(CAST(rank AS VARCHAR)) AS BIGINT) AS rank FROM oplog", OPLOG)
+def version_ranks_compat(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks with their digits read backwards."""
+    return oplog(spark, d).select("version_id", version_rank(F.col("version_id"), True).alias("rank")).distinct()
+
+
+@query(
+    "SELECT 'task-1#' || CAST(sum(strlen('active_days') + strlen(CAST(event_id % 100 AS VARCHAR)) + strlen('tag') + strlen(event_type)) AS VARCHAR) AS signature FROM events"
+)
+def signature(spark: SparkSession, d: str) -> DataFrame:
+    """A task's name and its rows' bytes."""
+    total = backfill.total_bytes(counters(spark, d))
+    return total.select(F.concat_ws("#", F.lit("task-1"), F.col("total").cast("string")).alias("signature"))
+
+
+# ------------------------------------------------------------ writes
+
+
+@query("SELECT entity, field, value, version_id, us AS written_us FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq DESC) AS rn FROM oplog) WHERE rn = 1", OPLOG)
+def write_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Full replacement in order."""
+    log = oplog(spark, d)
+    after = writes.write(profile(spark, d).where("false"), log)
+    long = after.select("entity", F.explode("fields").alias("field", "v"), "version_id", "written_at")
+    return long.select("entity", "field", F.col("v.f").alias("value"), "version_id", micros(F.col("written_at")).alias("written_us"))
+
+
+@query("SELECT entity, field, value FROM (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY seq DESC) AS rn FROM oplog) WHERE rn = 1", OPLOG)
+def merge_last_touch(spark: SparkSession, d: str) -> DataFrame:
+    """Merges of one field each; a field keeps its last value."""
+    ops = oplog(spark, d).withColumns({"op": F.lit("merge"), "window": F.array("field")})
+    after = writes.apply_log(profile(spark, d).where("false"), ops)
+    return after.select("entity", F.explode("fields").alias("field", "v")).select("entity", "field", F.col("v.f").alias("value"))
+
+
+@query(
+    "SELECT entity, age, CASE WHEN c_custkey % 3 = 0 THEN 'moved' ELSE city END AS city, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE level END AS level FROM profile "
+    "UNION ALL SELECT concat('user_new', CAST(c_custkey AS VARCHAR)), NULL, 'moved', NULL FROM profile WHERE c_custkey % 100 = 0", PROFILE,
+)
+def merge_window_delete(spark: SparkSession, d: str) -> DataFrame:
+    """A window field that the patch lacks is removed; unknown entities are made."""
+    entries, c = profile(spark, d), table(spark, d, "customer")
+    name = F.concat(F.lit("user_"), F.col("c_custkey").cast("string"))
+    touched = c.where("c_custkey % 3 = 0").select(name.alias("entity")).union(
+        c.where("c_custkey % 100 = 0").select(F.concat(F.lit("user_new"), F.col("c_custkey").cast("string")))
+    )
+    patch = touched.select(
+        F.lit(0).cast("bigint").alias("seq"), "entity", fields_of(city=string_value(F.lit("moved")), other=int_value(F.lit(1))).alias("fields"),
+        F.lit("user_profile-v1").alias("version_id"), F.lit(AT).cast("timestamp_ntz").alias("written_at"),
+    )
+    after = writes.merge_write(entries, patch, ["city", "level"])
+    return after.select("entity", field("age", "i").alias("age"), field("city", "s").alias("city"), field("level", "i").alias("level"))
+
+
+@query(
+    """SELECT entity, field, value FROM (
+  SELECT o.entity, o.field, o.value, row_number() OVER (PARTITION BY o.entity, o.field ORDER BY o.seq DESC) AS rn, l.op AS last_op
+  FROM ops o JOIN (SELECT entity, arg_max(op, seq) AS op, max(CASE WHEN op <> 'merge' THEN seq END) AS reset FROM ops GROUP BY 1) l ON o.entity = l.entity
+  WHERE o.op <> 'delete' AND (reset IS NULL OR o.seq >= reset)) WHERE rn = 1 AND last_op <> 'delete'""",
+    OPLOG, "ops AS (SELECT *, CASE WHEN seq % 11 = 0 THEN 'delete' WHEN seq % 5 = 0 THEN 'write' ELSE 'merge' END AS op FROM oplog)",
+)
+def mixed_log(spark: SparkSession, d: str) -> DataFrame:
+    """Writes, merges and deletes in one log."""
+    op = F.when(F.col("seq") % 11 == 0, "delete").when(F.col("seq") % 5 == 0, "write").otherwise("merge")
+    ops = oplog(spark, d).withColumns({"op": op, "window": F.array("field")})
+    after = writes.apply_log(profile(spark, d).where("false"), ops)
+    return after.select("entity", F.explode("fields").alias("field", "v")).select("entity", "field", F.col("v.f").alias("value"))
+
+
+_ACCEPT = "accepts AS (SELECT *, rank >= coalesce(max(rank) OVER (PARTITION BY entity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS accepted FROM oplog)"
+
+
+@query("SELECT seq, entity, rank, accepted FROM accepts", OPLOG, _ACCEPT)
+def cas_accept(spark: SparkSession, d: str) -> DataFrame:
+    """Which writes of a guarded log pass."""
+    return writes.guarded(oplog(spark, d)).select("seq", "entity", "rank", "accepted")
+
+
+@query("SELECT entity, field, value, version_id FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq DESC) AS rn FROM accepts WHERE accepted) WHERE rn = 1", OPLOG, _ACCEPT)
+def cas_final_state(spark: SparkSession, d: str) -> DataFrame:
+    """M3: what a guarded log leaves."""
+    after = writes.compare_and_write(profile(spark, d).where("false"), oplog(spark, d))
+    return after.select("entity", F.explode("fields").alias("field", "v"), "version_id").select("entity", "field", F.col("v.f").alias("value"), "version_id")
+
+
+@query("SELECT entity, age FROM profile WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')", PROFILE)
+def delete_entities(spark: SparkSession, d: str) -> DataFrame:
+    """M4: removal, repeated and absent keys included."""
+    gone = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("user_"), F.col("o_custkey").cast("string")).alias("entity"))
+    return writes.delete(profile(spark, d), gone).select("entity", field("age", "i").alias("age"))
+
+
+# ------------------------------------------------------------ versions and tables
+
+
+@query(
+    "SELECT a, b, (a, b) IN (('draft', 'published'), ('published', 'superseded'), ('published', 'rolled-back'), ('superseded', 'rolled-back')) AS allowed "
+    "FROM (VALUES ('draft'), ('published'), ('superseded'), ('rolled-back')) x(a), (VALUES ('draft'), ('published'), ('superseded'), ('rolled-back')) y(b)"
+)
+def version_fsm(spark: SparkSession, d: str) -> DataFrame:
+    """V4."""
+    return transitions(spark)
+
+
+def _manager() -> Manager:
+    ticks = iter(AT + timedelta(minutes=30 * i) for i in range(20))
+    m = Manager(seeded(), lambda: next(ticks))
+    for name in ("user_profile", "user_profile", "item_profile", "user_profile"):
+        m.create(name)
+    m.publish("user_profile-v1")
+    m.publish("user_profile-v2")
+    m.publish("item_profile-v3")
+    m.publish("user_profile-v4")
+    m.rollback("user_profile-v4")
+    return m
+
+
+@query(
+    "SELECT * FROM (VALUES ('user_profile-v1', 'superseded', '', 6, 1706752800000000), ('user_profile-v2', 'published', 'user_profile-v1', 6, 1706754600000000), "
+    "('item_profile-v3', 'superseded', '', 5, 1706756400000000), ('user_profile-v4', 'rolled-back', 'user_profile-v2', 6, 1706758200000000)) t(id, state, parent_id, n_fields, published_us)"
+)
+def publish_history(spark: SparkSession, d: str) -> DataFrame:
+    """Four versions of two tables, published in turn, the last one rolled back to its parent."""
+    v = _manager().frame(spark)
+    return v.select("id", "state", "parent_id", F.size("fields").alias("n_fields"), micros(F.col("published_at")).alias("published_us"))
+
+
+@query(
+    "SELECT * FROM (VALUES ('user_profile-v2', 1706754600000000), ('item_profile-v3', 1706756400000000), ('user_profile-v4', 1706758200000000), ('', 1706832000000000)) t(version_id, at_us)"
+)
+def switch_events(spark: SparkSession, d: str) -> DataFrame:
+    """Publishes in a range, then its end."""
+    events = _manager().switch_events(AT + timedelta(hours=2, minutes=15), AT + timedelta(hours=24))
+    return spark.createDataFrame(events, "version_id string, at timestamp_ntz").select("version_id", micros(F.col("at")).alias("at_us"))
+
+
+@query(
+    "SELECT * FROM (VALUES ('user_profile-v2', 'user_profile-v1', 'superseded'), ('user_profile-v4', 'user_profile-v2', 'published')) t(id, parent_id, parent_state)"
+)
+def version_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Versions with their parents."""
+    v = _manager().frame(spark)
+    parents = v.select(F.col("id").alias("parent_id"), F.col("state").alias("parent_state"))
+    return v.join(parents, "parent_id").select("id", "parent_id", "parent_state")
+
+
+@query("SELECT * FROM (VALUES ('item_profile', 0, 'category', 'string'), ('item_profile', 1, 'price', 'float'), ('item_profile', 2, 'stock', 'int'), ('item_profile', 3, 'rating', 'float'), ('item_profile', 4, 'on_sale', 'bool'), ('user_profile', 0, 'age', 'int'), ('user_profile', 1, 'city', 'string'), ('user_profile', 2, 'level', 'int'), ('user_profile', 3, 'active_days', 'int'), ('user_profile', 4, 'score', 'float'), ('user_profile', 5, 'is_vip', 'bool')) t(id, position, field, kind)")
+def table_list(spark: SparkSession, d: str) -> DataFrame:
+    """Registered tables and their fields."""
+    return seeded().frame(spark).drop("name")
+
+
+# ------------------------------------------------------------ imports
+
+_EVENTS_TABLE = Table("events", "events", (Field("click", "float"), Field("purchase", "float"), Field("view", "float"), Field("unused", "int")))
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return oplog(spark, d).select(F.col("seq").alias("row_no"), "entity", "fields")
+
+
+@query("SELECT DISTINCT field FROM oplog WHERE field IN ('click', 'purchase', 'view', 'unused')", OPLOG)
+def field_window(spark: SparkSession, d: str) -> DataFrame:
+    """Names that both the file and the table have."""
+    names = ingest.field_window(_rows(spark, d), _EVENTS_TABLE)
+    return spark.createDataFrame([(n,) for n in names], "field string")
+
+
+_LAST = "lasts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq DESC) AS rn FROM oplog) WHERE rn = 1)"
+
+
+def _imported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    before = profile(spark, d).withColumn("fields", F.map_concat("fields", fields_of(click=float_value(F.lit(-1.0)), view=float_value(F.lit(-2.0)))))
+    rows = _rows(spark, d)
+    return before, ingest.import_batch(before, rows, ingest.field_window(rows, _EVENTS_TABLE), "user_profile-v2", AT)
+
+
+@query(
+    "SELECT coalesce(p.entity, l.entity) AS entity, p.age, CASE WHEN l.entity IS NULL THEN -1.0 WHEN field = 'click' THEN value END AS click, CASE WHEN field = 'purchase' THEN value END AS purchase, "
+    "CASE WHEN l.entity IS NULL THEN -2.0 WHEN field = 'view' THEN value END AS view, CASE WHEN l.entity IS NULL THEN 'user_profile-v1' ELSE 'user_profile-v2' END AS version_id "
+    "FROM profile p FULL OUTER JOIN lasts l ON p.entity = l.entity", PROFILE, OPLOG, _LAST,
+)
+def import_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The last row of an entity sets or removes the window's fields."""
+    _, after = _imported(spark, d)
+    return after.select("entity", field("age", "i").alias("age"), *[field(n, "f").alias(n) for n in ("click", "purchase", "view")], "version_id")
+
+
+@query("SELECT CAST(event_id // 32 AS INTEGER) AS segment, count(*) AS rows FROM events GROUP BY 1")
+def import_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each segment of 32."""
+    return ingest.segments(_rows(spark, d), 32)
+
+
+@query("SELECT entity, age, CAST(-1.0 AS DOUBLE) AS click, 'user_profile-v1' AS version_id, us AS written_us FROM profile", PROFILE)
+def import_rollback(spark: SparkSession, d: str) -> DataFrame:
+    """After a rollback the entries are as before, new ones are gone."""
+    before, after = _imported(spark, d)
+    journal = ingest.journal_of(before, _rows(spark, d), "b1", 1, 32)
+    back = ingest.rollback(after, journal, "b1")
+    return back.select("entity", field("age", "i").alias("age"), field("click", "f").alias("click"), "version_id", micros(F.col("written_at")).alias("written_us"))
+
+
+@query(
+    "SELECT entity, field, value FROM (SELECT *, lag(field) OVER w AS pf, lag(value) OVER w AS pv, row_number() OVER (PARTITION BY entity ORDER BY seq DESC) AS rn FROM oplog WINDOW w AS (PARTITION BY entity ORDER BY seq)) t(seq, entity, f0, v0, version_id, rank, us, field, value, rn) WHERE rn = 1 AND field IS NOT NULL",
+    OPLOG,
+)
+def journal_last_before(spark: SparkSession, d: str) -> DataFrame:
+    """A10, M9: the before-state that was journalled last."""
+    from pyspark.sql import Window
+
+    before = F.lag(F.struct("fields", "version_id", "written_at")).over(Window.partitionBy("entity").orderBy("seq"))
+    journal = oplog(spark, d).select(F.col("seq").alias("journal_seq"), F.lit("b").alias("batch_id"), F.lit(0).alias("segment"), "entity", before.alias("before"))
+    held = ingest.last_before(journal).where("before IS NOT NULL")
+    return held.select("entity", F.explode("before.fields").alias("field", "v")).select("entity", "field", F.col("v.f").alias("value"))
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS journal_seq, CAST(event_id // 32 AS INTEGER) AS segment, concat('user_', CAST(user_id AS VARCHAR)) AS entity, user_id IN (SELECT c_custkey FROM customer) AS existed FROM events WHERE event_id // 32 = 2 AND event_id = (SELECT min(event_id) FROM events e WHERE e.user_id = events.user_id)")
+def journal_segment(spark: SparkSession, d: str) -> DataFrame:
+    """M9: a batch's journal within one segment."""
+    journal = ingest.journal_of(profile(spark, d), _rows(spark, d), "b1", 0, 32)
+    return ingest.ops_for(journal, "b1", 2).select("journal_seq", "segment", "entity", F.col("before").isNotNull().alias("existed"))
+
+
+# ------------------------------------------------------------ backfill
+
+_FIRST = "firsts AS (SELECT * FROM (SELECT event_id, concat('user_', CAST(user_id AS VARCHAR)) AS entity, CAST(event_id % 100 AS BIGINT) AS x, event_type AS tag, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn = 1)"
+
+
+@query("SELECT entity, x, tag FROM firsts ORDER BY entity", _FIRST)
+def backfill_plan(spark: SparkSession, d: str) -> DataFrame:
+    """An entity's first row, in order."""
+    return backfill.plan(counters(spark, d)).select("entity", field("active_days", "i").alias("x"), field("tag", "s").alias("tag"))
+
+
+@query(
+    "SELECT coalesce(f.entity, p.entity) AS entity, CASE WHEN f.entity IS NULL THEN p.active_days ELSE x + coalesce(p.active_days, 0) END AS active_days, tag, CASE WHEN f.entity IS NULL THEN age END AS age, "
+    "CASE WHEN f.entity IS NULL THEN 'user_profile-v1' ELSE 'user_profile-v3' END AS version_id FROM firsts f FULL OUTER JOIN profile p ON f.entity = p.entity", PROFILE, _FIRST,
+)
+def backfill_additive(spark: SparkSession, d: str) -> DataFrame:
+    """Counters add up, stored fields that a row lacks are dropped."""
+    after, _ = backfill.run(profile(spark, d), counters(spark, d), "user_profile-v3", AT)
+    return after.select("entity", field("active_days", "i").alias("active_days"), field("tag", "s").alias("tag"), field("age", "i").alias("age"), "version_id")
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (WHERE 1 + c_custkey % 3 <= 2) AS written FROM profile", PROFILE)
+def backfill_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Stale rows count as processed, not as written."""
+    version = F.concat(F.lit("user_profile-v"), (1 + F.substr(F.col("entity"), F.lit(6)).cast("bigint") % 3).cast("string"))
+    entries = profile(spark, d).withColumn("version_id", version)
+    rows = entries.select(F.lit(0).cast("bigint").alias("row_no"), "entity", fields_of(level=int_value(F.lit(1))).alias("fields"))
+    _, decided = backfill.run(entries, rows, "user_profile-v2", AT)
+    return decided.agg(F.count("*").alias("processed"), F.count_if("accepted").alias("written"))
+
+
+@query(
+    "SELECT f.entity, CASE WHEN length(f.entity) % 2 = 0 THEN NULL ELSE x + coalesce(p.active_days, 0) END AS added FROM firsts f LEFT JOIN profile p ON f.entity = p.entity WHERE length(f.entity) % 2 = 1",
+    PROFILE, _FIRST,
+)
+def backfill_retry(spark: SparkSession, d: str) -> DataFrame:
+    """What a task has committed is not applied again."""
+    rows = counters(spark, d)
+    done = rows.where(F.length("entity") % 2 == 0).select(F.lit("t").alias("task_id"), "entity", F.lit(backfill.signature("t", rows)).alias("signature")).distinct()
+    _, _, decided = backfill.retry(profile(spark, d), rows, done, "t", "user_profile-v3", AT)
+    return decided.select("entity", field("active_days", "i").alias("added"))
+
+
+@query("SELECT f.entity, (x + coalesce(p.active_days, 0)) * CAST(power(2, least(n, 8) - 1) AS BIGINT) AS total FROM firsts f LEFT JOIN profile p ON f.entity = p.entity", PROFILE, _FIRST)
+def backfill_compound(spark: SparkSession, d: str) -> DataFrame:
+    """Equal rows compound in the literal behaviour; eight copies of a row at most here."""
+    rows = counters(spark, d)
+    few = backfill.plan(rows).join(rows.groupBy("entity").agg(F.least(F.count("*"), F.lit(8)).alias("n")), "entity")
+    old = profile(spark, d).select("entity", F.col("fields").alias("_old"))
+    value = backfill.doubled(F.col("fields"), F.coalesce("_old", F.map_filter("fields", lambda k, v: F.lit(False))), F.col("n"))
+    return few.join(old, "entity", "left").select("entity", value.alias("fields")).select("entity", field("active_days", "i").alias("total"))
+
+
+@query(
+    "SELECT seq, entity, CAST(sum(x) OVER (PARTITION BY entity, island ORDER BY seq) AS BIGINT) AS total FROM (SELECT *, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY seq) AS island FROM (SELECT seq, entity, CASE WHEN field = 'click' THEN seq % 50 END AS x FROM oplog))",
+    OPLOG,
+)
+def additive_history(spark: SparkSession, d: str) -> DataFrame:
+    """Running counters that a row without the counter resets."""
+    log = oplog(spark, d).select("seq", "entity", F.when(F.col("field") == "click", F.col("seq") % 50).alias("x"))
+    return backfill.additive_history(log).select("seq", "entity", "total")
+
+
+# ------------------------------------------------------------ consistency and expiry
+
+_BEGIN, _UNTIL = datetime(2024, 1, 1, 0, 0, 0), datetime(2024, 1, 1, 20, 0, 0)
+
+
+@query("SELECT CAST(i AS INTEGER) AS \"window\", 1704067200000000 + i * 1500000000 AS begin_us, least(1704067200000000 + (i + 1) * 1500000000, 1704139200000000) AS end_us FROM range(48) t(i)")
+def partition_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 25 minutes, the last one cut."""
+    w = consistency.partition(spark, _BEGIN, _UNTIL, timedelta(minutes=25))
+    return w.select("window", micros(F.col("begin")).alias("begin_us"), micros(F.col("end")).alias("end_us"))
+
+
+def _offline(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the profiles; levels are off by one for every fifth, cities are missing for every fourth."""
+    k = F.substr(F.col("entity"), F.lit(6)).cast("bigint")
+    level = F.when(k % 5 == 0, int_value(field("level", "i") + 1)).otherwise(F.col("fields")["level"])
+    rest = F.map_filter("fields", lambda n, _: (n != "level") & ((n != "city") | (k % 4 != 0)))
+    return profile(spark, d).where(k % 3 != 0).withColumn("fields", F.map_concat(rest, F.create_map(F.lit("level"), level)))
+
+
+_DIFF = """diffs AS (SELECT entity, field, us, online, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE offline END AS offline FROM (
+  SELECT entity, c_custkey, us, unnest(['city', 'level', 'is_vip']) AS field, unnest([city, CAST(level AS VARCHAR), CAST(is_vip AS VARCHAR)]) AS online,
+  unnest([CASE WHEN c_custkey % 4 = 0 THEN '' ELSE city END, CAST(CASE WHEN c_custkey % 5 = 0 THEN level + 1 ELSE level END AS VARCHAR), CAST(is_vip AS VARCHAR)]) AS offline FROM profile))"""
+
+
+@query(
+    "SELECT entity, field, CAST((us - 1704067200000000) // 1500000000 AS INTEGER) AS \"window\", online, offline FROM diffs WHERE us >= 1704067200000000 AND us < 1704139200000000 AND online <> offline",
+    PROFILE, _DIFF,
+)
+def sync_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Differing fields by window of 25 minutes."""
+    spans = consistency.partition(spark, _BEGIN, _UNTIL, timedelta(minutes=25))
+    return consistency.check(profile(spark, d), _offline(spark, d), spans, _version(["city", "level", "is_vip"]))
+
+
+@query(
+    "SELECT entity, field, CASE WHEN us < 1704085200000000 THEN 0 WHEN us < 1704103200000000 THEN 1 ELSE 2 END AS \"window\", online, offline FROM diffs WHERE us >= 1704067200000000 AND us < 1704139200000000 AND online <> offline",
+    PROFILE, _DIFF,
+)
+def sync_diffs_by_event(spark: SparkSession, d: str) -> DataFrame:
+    """Windows bounded by version switches at 5:00 and 10:00, not cut by the step."""
+    times = iter([_BEGIN, _BEGIN, _BEGIN + timedelta(hours=5), _BEGIN + timedelta(hours=10)])
+    m = Manager(seeded(), lambda: next(times))
+    first, second = m.create("user_profile"), m.create("user_profile")
+    m.publish(first.id)
+    m.publish(second.id)
+    spans = consistency.windows(spark, m, _BEGIN, _UNTIL, timedelta(minutes=25))
+    return consistency.check(profile(spark, d), _offline(spark, d), spans, _version(["city", "level", "is_vip"]))
+
+
+@query("SELECT count(*) AS n FROM diffs WHERE us >= 1704067200000000 AND us < 1704139200000000 AND online <> offline", PROFILE, _DIFF)
+def sync_diff_count(spark: SparkSession, d: str) -> DataFrame:
+    """A6."""
+    return sync_diffs(spark, d).agg(F.count("*").alias("n"))
+
+
+_NOW, _TTL = datetime(2024, 1, 2, 2, 0, 0), timedelta(hours=20)
+
+
+@query("SELECT entity FROM profile WHERE us < 1704088800000000", PROFILE)
+def ttl_expired(spark: SparkSession, d: str) -> DataFrame:
+    """Strictly older than 20 hours; the one exactly on the boundary stays."""
+    return ttl.expired(profile(spark, d), _NOW, _TTL).select("entity")
+
+
+@query("SELECT entity, age FROM profile WHERE us >= 1704088800000000", PROFILE)
+def ttl_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """M13, P5."""
+    return ttl.survivors(profile(spark, d), _NOW, _TTL).select("entity", field("age", "i").alias("age"))
+
+
+@query("SELECT count(*) FILTER (WHERE us < 1704088800000000) AS expired, count(*) AS entries, count(DISTINCT city) AS cities FROM profile", PROFILE)
+def ttl_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A1, A11."""
+    entries = profile(spark, d)
+    old = F.col("written_at") < F.lit(_NOW - _TTL).cast("timestamp_ntz")
+    return entries.agg(F.count_if(old).alias("expired"), F.count("*").alias("entries"), F.count_distinct(canonical(F.col("fields")["city"])).alias("cities"))
