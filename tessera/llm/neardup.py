@@ -277,13 +277,14 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     base = common.stored(_signed(rows, size, key_type), "signatures")
     classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("class"))
     classes = common.stored(classes, "classes")
-    one = base.join(classes.select(F.col("class").alias("id")), "id", "left_semi")
+    one = base.join(classes.select(F.col("class").alias("id")).hint("merge"), "id", "left_semi")
     trees = one.select("id", F.explode(F.arrays_zip("thin", "deep")).alias("t")).select("t.thin", "t.deep", "id")
     blocks = connected_components(candidates(trees))
     blocks = common.stored(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")), "blocks")
     sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
     wanted = rows.dropDuplicates(["id"]) if hashed else rows
-    sets = _sets(wanted.join(blocks.join(sizes, "block"), "id"), size)
+    # The blocks grow with the texts: never a side to broadcast, also where it is still small.
+    sets = _sets(wanted.join(blocks.join(sizes, "block").hint("merge"), "id"), size)
     large = not sizes.where(F.col("size") > piece).isEmpty()
     if large:
         sets = common.stored(sets, "sets")
