@@ -360,7 +360,8 @@ def repeated_spans(rows: DataFrame, hot_share: float = HOT_SHARE, hot_rows: int
     met = common.stored(met, "anchors")
     common.small_batches(spark)
     wanted = met.where("wanted").groupBy("id").agg(F.collect_list(F.struct("lo", "span", "off", "cls", "salt", "twice")).alias("found"))
-    texts = rows.join(wanted, "id").select("id", "text", "found").mapInArrow(_contexts, _CONTEXT)
+    # What grows with the texts is never a side to broadcast, also where it is still small.
+    texts = rows.join(wanted.hint("merge"), "id").select("id", "text", "found").mapInArrow(_contexts, _CONTEXT)
     columns = ["id", "lo", "span", "off", "cls", "twice", "text"]
     # Contexts of frequent classes take another road; elsewhere a class is within one task.
     if hot:
@@ -424,7 +425,7 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", **limits) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     common.small_batches(spark)
-    return rows.join(cuts, "id", "left").select("_k", "text", "spans").mapInArrow(run, schema)
+    return rows.join(cuts.hint("merge"), "id", "left").select("_k", "text", "spans").mapInArrow(run, schema)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
