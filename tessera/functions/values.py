@@ -58,7 +58,11 @@ def float_text(x: Column) -> Column:
     for p in (16, 15, 14):
         text = F.format_string(f"%.{p}E", F.abs(x))
         fewer = F.when(text.cast("double") == F.abs(x), text).otherwise(fewer)
-    chosen = F.when(F.length(digits_of(plain)) > 15, F.coalesce(fewer, plain)).otherwise(plain)
+    single = F.format_string("%.0E", F.abs(x))
+    chosen = (
+        F.when(F.length(digits_of(plain)) > 15, F.coalesce(fewer, plain))
+        .when((F.length(digits_of(plain)) == 2) & (single.cast("double") == F.abs(x)), single).otherwise(plain)
+    )
 
     def parts(s: Column) -> Column:
         mantissa, power = F.split(s, "E")[0], F.coalesce(F.get(F.split(s, "E"), F.lit(1)).cast("int"), F.lit(0))
