@@ -80,9 +80,9 @@ def exponent(shares: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
 
 
 def plan(documents: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
-    """(_s, _k), the number of blocks of each source, and (_s, _b, weight, passes, cutoff) of each block.
+    """(_s, _k), the number of blocks of each source, and (_s, _b, _weight, _passes, _cutoff) of each block.
 
-    ``passes`` are whole ones; the texts up to the permutation hash ``cutoff`` are drawn once more.
+    ``_passes`` are whole ones; the texts up to the permutation hash ``_cutoff`` are drawn once more.
 
     Blocks are dealt by hash, so that a source with most rows has as many blocks
     as its tokens ask for. Cumulative sums run over a source's blocks, at most
@@ -121,7 +121,7 @@ def plan(documents: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
     )
     none, every = F.lit(-(2**63)), F.lit(2**63 - 1)
     cutoff = F.when(F.col("_left") >= F.greatest("_n", F.lit(1)), every).when(F.col("_left") > 0, F.coalesce("_last", none)).otherwise(none)
-    made = blocks.join(last, ["_s", "_b"], "left").select("_s", "_b", "weight", "passes", cutoff.alias("cutoff"))
+    made = blocks.join(last, ["_s", "_b"], "left").select("_s", "_b", F.col("weight").alias("_weight"), F.col("passes").alias("_passes"), cutoff.alias("_cutoff"))
     return wanted.select("_s", "_k"), common.stored(made, "mixing-plan")
 
 
@@ -131,7 +131,7 @@ def _order() -> Column:
 
 
 def drawn(documents: DataFrame, **limits: float) -> DataFrame:
-    """``documents`` with n_tokens, weight (of its source) and copies, the times it is drawn.
+    """``documents`` with n_tokens, weight (of its source) and copies, the times it is drawn; columns of these names are replaced.
 
     Sources without a token have weight 0 and are not drawn; null is a source of
     its own. Rows alike in id and text share their lot. One source keeps weight 1.
@@ -139,14 +139,15 @@ def drawn(documents: DataFrame, **limits: float) -> DataFrame:
     sizes, blocks = plan(documents, **limits)
     keyed = documents.withColumns({"_s": _key(F.col("source")), "_h": _order(), "n_tokens": tokens(F.col("text"))})
     placed = keyed.join(sizes, "_s").withColumn("_b", F.pmod("_h", "_k"))
-    copies = F.col("passes") + F.when(F.col("_h") <= F.col("cutoff"), 1).otherwise(0)
-    return placed.join(blocks, ["_s", "_b"]).withColumn("copies", copies.cast("int")).drop("_s", "_h", "_k", "_b", "passes", "cutoff")
+    copies = (F.col("_passes") + F.when(F.col("_h") <= F.col("_cutoff"), 1).otherwise(0)).cast("int")
+    met = placed.join(blocks, ["_s", "_b"]).withColumns({"weight": F.col("_weight"), "copies": copies})
+    return met.drop("_s", "_h", "_k", "_b", "_weight", "_passes", "_cutoff")
 
 
 def mixed(documents: DataFrame, **limits: float) -> DataFrame:
     """The drawn documents in their own columns, each as often as it is drawn."""
-    found = drawn(documents, **limits).where("copies > 0")
-    return found.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns)
+    found = drawn(common.packed(documents, "doc_id", "source", "text"), **limits).where("copies > 0")
+    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

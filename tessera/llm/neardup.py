@@ -310,9 +310,10 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80, key: str = "d
 def keep(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, in its own columns: the one with the smallest doc_id; of repeated rows, one."""
     found = groups(documents, size, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = not documents.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    rows = common.packed(documents, F.col("doc_id").alias("_key"))
+    out = rows.join(found, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = not rows.groupBy("_key").count().where("count > 1").isEmpty()
+    return (out.dropDuplicates(["_key"]) if repeated else out).select("_row.*")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,15 +149,16 @@ def pseudonymised(documents: DataFrame, key: str | None = None, text: str = "tex
     spark = documents.sparkSession
     secret = _quoted(key if key is not None else spark.conf.get(KEY_SETTING, DEFAULT_KEY))
     rest = [c for c in documents.columns if c not in (text, "n_replaced")]
-    step = documents.withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    step = documents.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), F.col(text).alias("_text"))
+    step = step.withColumn("_found", F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0)))
     step = step.withColumn("_new", F.expr(f"transform(_found, m -> {pseudonym('m', secret)})"))
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    pieces = F.zip_with(F.split("_text", PATTERN, -1), "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    plain = F.size("_found") <= 0
+    plain = F.col("_text").isNull() | (F.size("_found") <= 0)
     return step.select(
-        *rest,
-        F.when(F.col(text).isNull() | plain, F.col(text)).otherwise(joined).alias(text),
-        F.when(F.col(text).isNull() | plain, 0).otherwise(changed).cast("long").alias("n_replaced"),
+        *[F.col("_row")[c].alias(c) for c in rest],
+        F.when(plain, F.col("_text")).otherwise(F.array_join(pieces, "")).alias(text),
+        F.when(plain, 0).otherwise(changed).cast("long").alias("n_replaced"),
     )
 
 

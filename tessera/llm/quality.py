@@ -173,14 +173,16 @@ def cover(cells: list[Cell], features: list[str], cuts: list[list[float]]) -> li
     return rules
 
 
-def learn(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> list[Rule]:
-    """A decision list from labelled rows of ``measured`` (``statistics`` and ``_shape``), at most about SAMPLE_ROWS of them."""
+def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> list[Rule]:
+    """A decision list from labelled rows of ``documents``, at most about SAMPLE_ROWS of them."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("_y"))
     n = known.count()
     if n > SAMPLE_ROWS:
         known = known.where(F.pmod(F.xxhash64(key, F.lit(2)), F.lit(1_000_003)) < int(1_000_003 * SAMPLE_ROWS / n))
+    # The sample's bound is that of the broadcast, so that no text is shuffled.
+    measured = _shape(statistics(documents.select(key, "text").join(F.broadcast(known), key)))
     features = list(FEATURES)
-    rows = measured.join(known, key).select(
+    rows = measured.select(
         "_y", (F.pmod(F.xxhash64(key, F.lit(3)), F.lit(3)) == 0).alias("_prune"), *[F.expr(FEATURES[f]).cast("double").alias(f) for f in features]
     )
     rows = common.stored(rows, "quality-sample")
@@ -222,8 +224,7 @@ def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
     labels of one class, the list is empty and the base alone decides. Repeated
     rows are judged one by one; labels of one key that differ count as bad.
     """
-    sample = documents.join(labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = learn(_shape(statistics(sample)), labels)
+    rules = learn(documents, labels)
     return (
         _shape(statistics(documents))
         .withColumn("base_failed", _base_failed())
@@ -237,7 +238,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither the base nor the list rejects, in their own columns."""
-    return judged(documents, labels).where("kept").select(*documents.columns)
+    return judged(common.packed(documents, "doc_id", "text"), labels).where("kept").select("_row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

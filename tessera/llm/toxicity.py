@@ -143,7 +143,7 @@ def sample(documents: DataFrame, labels: DataFrame, key: str, label: str, rows:
     spark = documents.sparkSession
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"))
     known = known.where(~common.held_out(F.col(key))).groupBy(key).agg(F.max("_y").alias("_y"))
-    texts = documents.where(F.col("text").isNotNull() & ~common.held_out(F.col(key))).where(
+    texts = documents.select(key, "text").where(F.col("text").isNotNull() & ~common.held_out(F.col(key))).where(
         F.octet_length("text") <= SAMPLE_BYTES
     )
     counts = {r._y: r["count"] for r in known.groupBy("_y").count().collect()}
