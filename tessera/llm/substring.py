@@ -17,7 +17,8 @@ their anchors' grams are.
 
 Nothing but rows of numbers and the contexts of repeated classes is shuffled
 besides the texts themselves. Classes so frequent that a task should not hold
-them are dealt by context and resolved by digests of their strings.
+them are dealt by context and resolved by digests of their strings; contexts as
+frequent are known to be repeated and dealt by text.
 """
 
 from __future__ import annotations
@@ -194,7 +195,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             later[0] = True
         carried = first is not None and held is not None and rows["salt"][0] == 0
         # The contexts of a class that is dealt out by salt may be mixed without showing it here.
-        wanted = begins & (later[where] | (rows["salt"] > 0))
+        wanted = begins & (later[where] | (rows["salt"] > 0)) & (rows["salt"] >= 0)
+        # Contexts that are known to be repeated.
+        twice |= (rows["salt"] < 0) | (rows["salt"] > SALTS)
         out = {k: rows[k][:m] for k in ("id", "lo", "span", "off", "cls", "salt")} | {"twice": twice[:m], "wanted": wanted[:m]}
         keep = out["twice"] | out["wanted"]
         out = {k: v[keep] for k, v in out.items()}
@@ -336,21 +339,45 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
 
-def _hot_classes(rows: DataFrame, share: float, least: int) -> list[int]:
-    """Classes that hold a great share of a sample of the texts. They only steer how rows are dealt; at most 1 / share of them."""
-    sample = _anchor_rows(rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0)).groupBy("cls").count()
-    sample = common.stored(sample.where(F.col("count") > 1), "anchor-sample")
-    total = sample.agg(F.sum("count").alias("n")).first().n or 0
-    return sorted(r.cls for r in sample.where(F.col("count") >= max(least, share * total)).select("cls").collect())
+def _frequent(rows: DataFrame, share: float, least: int) -> tuple[list[int], list[tuple[int, int, int, int, int]]]:
+    """Classes and contexts that hold a great share of a sample of the texts, at most 1 / share of each.
+
+    A context comes with one of its places. They only steer how rows are dealt:
+    a context that the sample holds twice is known to be repeated.
+    """
+    sample = _anchor_rows(rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0))
+    sample = sample.groupBy("cls", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo")).alias("at"))
+    sample = common.stored(sample, "anchor-sample")
+    total = sample.agg(F.sum("n").alias("n")).first().n or 0
+    bound = max(least, share * total)
+    classes = sample.groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).select("cls").collect()
+    contexts = sample.where(F.col("n") >= max(2, bound)).collect()
+    return sorted(r.cls for r in classes), sorted((r.cls, r.c1, r.c2, r.at.id, r.at.lo) for r in contexts)
+
+
+def _dealt(anchors: DataFrame, classes: list[int], contexts: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Anchors with a salt: 0 for most, 1 to SALTS by context within frequent classes, and below 0, by text, for frequent contexts.
+
+    The named place of a frequent context has the salt SALTS + 1 and goes on to meet other contexts.
+    """
+    if not classes:
+        return anchors.withColumn("salt", F.lit(0))
+    salt = F.when(F.col("cls").isin(classes), 1 + F.pmod("c1", F.lit(SALTS))).otherwise(0)
+    if not contexts:
+        return anchors.withColumn("salt", salt.cast("int"))
+    known = anchors.sparkSession.createDataFrame(contexts, "cls long, c1 long, c2 long, _id long, _lo long")
+    met = anchors.join(F.broadcast(known), ["cls", "c1", "c2"], "left")
+    named = (F.col("_id") == F.col("id")) & (F.col("_lo") == F.col("lo"))
+    spread = -1 - F.pmod(F.xxhash64("id", "lo"), F.lit(SALTS))
+    return met.withColumn("salt", F.when(F.col("_id").isNull(), salt).when(named, SALTS + 1).otherwise(spread).cast("int"))
 
 
 def repeated_spans(rows: DataFrame, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, lo, hi) of repeated bytes of ``rows`` (id, text), ids unlike for unlike texts; spans of one text may overlap."""
     spark = rows.sparkSession
     common.small_batches(spark)
-    hot = _hot_classes(rows, hot_share, hot_rows)
-    is_hot = F.col("cls").isin(hot) if hot else F.lit(False)
-    salted = _anchor_rows(rows).withColumn("salt", F.when(is_hot, 1 + F.pmod("c1", F.lit(SALTS))).otherwise(0).cast("int"))
+    hot, contexts = _frequent(rows, hot_share, hot_rows)
+    salted = _dealt(_anchor_rows(rows), hot, contexts)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     met = (
         salted.repartition("cls", "salt").sortWithinPartitions("cls", "salt", "c1", "c2")
