@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +15,21 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of this machine import this package from where the driver has it."""
+    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held.get("PYTHONPATH")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
