@@ -473,8 +473,8 @@ s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY
 t AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
 runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS e FROM t GROUP BY 1, 2),
 keep AS (SELECT doc_id, list(a ORDER BY a) AS a, list(e ORDER BY a) AS e FROM runs GROUP BY 1)
-SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(list_transform(range(1, len(a) + 1), k -> e[k] - a[k])), 0) AS BIGINT) AS n_removed,
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(list_transform(range(1, len(a) + 1), lambda k: e[k] - a[k])), 0) AS BIGINT) AS n_removed,
   CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN a IS NULL THEN hex(b) ELSE array_to_string(list_transform(range(0, len(a) + 1), k -> hex(b[(CASE WHEN k = 0 THEN 1 ELSE e[k] END):(CASE WHEN k = len(a) THEN octet_length(b) ELSE a[k + 1] - 1 END)])), '') END)) AS kept_sha256
+  sha256(unhex(CASE WHEN a IS NULL THEN hex(b) ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda k: hex(b[(CASE WHEN k = 0 THEN 1 ELSE e[k] END):(CASE WHEN k = len(a) THEN octet_length(b) ELSE a[k + 1] - 1 END)])), '') END)) AS kept_sha256
 FROM d LEFT JOIN keep USING (doc_id)"""
 }
