@@ -293,9 +293,11 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     if large:
         links = links.union(_large(sets.where(F.col("size") > piece), percent, piece))
     linked = connected_components(common.stored(links, "confirmed"))
-    named = base.select("id", "key", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    named = named.join(linked.select(F.col("node").alias("class"), "component"), "class", "left")
-    named = named.withColumn("group", F.coalesce("component", "class", "id")).select("id", "key", "n", "group")
+    # Classes learn their component first, so that a class with very many copies meets one join only.
+    known = classes.join(linked.select(F.col("node").alias("class"), "component"), "class", "left")
+    known = known.select("d1", "d2", F.coalesce("component", "class").alias("group"))
+    named = base.select("id", "key", "n", "d1", "d2").join(known.hint("merge"), ["d1", "d2"], "left")
+    named = named.select("id", "key", "n", F.coalesce("group", "id").alias("group"))
     if hashed:
         named = common.stored(named, "named")
         least = named.groupBy("group").agg(F.min("key").alias("component_id"))
