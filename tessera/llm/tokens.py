@@ -266,8 +266,8 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
     """Encode every text and write shards in ascending order of ``key``; the table of shards as read back.
 
     Rows: part (range of keys), seq (shard in it), first_key, n_docs, n_tokens,
-    before (ids of the part's earlier shards), shard. Null texts count as empty: the end id alone. Repeated keys stay side
-    by side in one part. An empty table gives no shard. Other columns are
+    before (ids of the part's earlier shards), shard. Null texts count as empty: the end id alone. Texts of a
+    repeated key follow on each other by their hash. An empty table gives no shard. Other columns are
     neither read nor kept.
     """
     spark = documents.sparkSession
@@ -308,8 +308,10 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // max(PARTITION_BYTES, -(-size // MAX_PARTS))))
-    ordered = documents.select(F.col(key).cast("long").alias(key), "text").repartitionByRange(parts, key)
-    made = ordered.sortWithinPartitions(key).mapInArrow(shards, schema)
+    # Texts of one key may be many: their hashes part them and give them an order.
+    rows = documents.select(F.col(key).cast("long").alias(key), "text", F.xxhash64("text").alias("_h"))
+    ordered = rows.repartitionByRange(parts, key, "_h").sortWithinPartitions(key, "_h")
+    made = ordered.select(key, "text").mapInArrow(shards, schema)
     return common.stored(made, "token-shards", path)
 
 
