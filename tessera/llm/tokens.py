@@ -27,7 +27,9 @@ _HEAD = struct.Struct("<QBH")
 #: Offsets up to this percentile fit the packed width; larger ones are exceptions.
 PERCENTILE = 95
 #: Tokens after which a shard is closed, texts of a partition in bytes, and pieces that a worker remembers.
-SHARD_TOKENS, PARTITION_BYTES, CACHE = 1_000_000, 24_000_000, 1_000_000
+SHARD_TOKENS, PARTITION_BYTES, CACHE = 1_000_000, 24_000_000, 3_000_000
+#: Pieces whose ids are put together at once.
+GATHER = 100_000
 #: Most partitions of a write: one row for each is broadcast when reading.
 MAX_PARTS = 100_000
 
@@ -150,7 +152,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-_STOPS = (",", ".")
+#: Closing signs: no letter, digit or space among them.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
 
 
@@ -169,8 +172,9 @@ class Encoder:
 
     Its pre-tokenizer always parts a text before a single space between two
     other characters, so pieces between such spaces are encoded once and
-    remembered; the library encodes every piece that is not remembered, and as a
-    whole every text in which a space has white space beside it.
+    remembered, as an array of pieces and one of ids; the library encodes every
+    piece that is not remembered, and as a whole every text in which a space has
+    white space beside it.
     """
 
     _shared: dict[str, Encoder] = {}
@@ -181,9 +185,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        #: Ids of a space and a word, and of closing commas and stops.
-        self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Pieces, and the ids of a space and each of them.
+        self.pieces = pa.array([], pa.large_string())
+        self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -196,67 +204,109 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [_PACK[n](*ids) if (n := len(ids := e.ids)) < len(_PACK) else np.array(ids, "<u4").tobytes() for e in found]
 
+    def _tail(self, end: str) -> bytes:
+        if end not in self.tails:
+            if len(self.tails) > 1000:
+                self.tails = {}
+            self.tails[end] = self._plain([end])[0] if end else b""
+        return self.tails[end]
+
+    def _model(self, word: str, lead: str = "") -> bytes:
+        """Ids of letters, or a space and letters: one unit of the pre-tokenizer, so that the model alone is asked."""
+        plain = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(lead + plain)]
+        return _PACK[n](*ids) if (n := len(ids)) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def _letters(self, stems: list[str]) -> list[bytes]:
+        """Ids of a space and each word of letters, remembered or asked for."""
+        at = pc.fill_null(pc.index_in(pa.array(stems, pa.large_string()), value_set=self.pieces), -1).to_numpy()
+        ends = np.cumsum(self.lengths)
+        ids, low, high = self.ids.tobytes(), 4 * (ends - self.lengths), 4 * ends
+        return [ids[low[i] : high[i]] if i >= 0 else self._model(stem, "\u0120") for stem, i in zip(stems, at.tolist(), strict=True)]
+
     def _learn(self, words: list[str]) -> list[bytes | None]:
         """Ids of a space and each word; None for words that are, or have at an end, white space."""
-        known, tails, ask = self.known, self.tails, self.model.tokenize
         out: list[bytes | None] = [None] * len(words)
         other: list[int] = []
+        stems: dict[str, int] = {}
+        parts: list[tuple[int, int, bytes]] = []
         for i, p in enumerate(words):
-            if (found := known.get(p)) is not None:
-                out[i] = found
-                continue
-            stem, tail = p, b""
-            # Letters before closing commas or stops are a unit of their own, and so are those stops.
-            if p[-1:] in _STOPS:
-                stem = p.rstrip(",.")
-                if (tail := tails.get(end := p[len(stem) :])) is None:
-                    tail = tails[end] = self._plain([end])[0]
+            # Letters before closing signs are a unit of their own, and so are those signs; a line end
+            # between other characters is one, too.
+            line, *more = p.split("\n") if "\n" in p else (p,)
+            stem = line.rstrip(_SIGNS)
             if stem.isalpha():
-                if (found := known.get(stem)) is None:
-                    # A space and letters are one unit of the pre-tokenizer: the model alone is asked.
-                    plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_LETTERS)
-                    ids = [t.id for t in ask("\u0120" + plain)]
-                    found = _PACK[n](*ids) if (n := len(ids)) < len(_PACK) else np.array(ids, "<u4").tobytes()
-                    known[stem] = found
-                out[i] = found + tail
-            elif p and not p[0].isspace() and not p[-1].isspace():
+                tail = self._tail(line[len(stem) :])
+                for x in more:
+                    word = x.rstrip(_SIGNS)
+                    if not word.isalpha():
+                        break
+                    tail += self._tail("\n") + self._model(word) + self._tail(x[len(word) :])
+                else:
+                    parts.append((i, stems.setdefault(stem, len(stems)), tail))
+                    continue
+            if p and not p[0].isspace() and not p[-1].isspace():
                 other.append(i)
+        found = self._letters(list(stems))
+        for i, k, tail in parts:
+            out[i] = found[k] + tail
         for i, ids in zip(other, self._plain([" " + words[i] for i in other]), strict=True):
-            out[i] = known[words[i]] = ids
-        if len(known) > CACHE:
-            self.known = {}
+            out[i] = ids
         return out
 
+    def _places(self, flat: pa.Array) -> np.ndarray:
+        """Number of each piece among the remembered ones, those that are new learned first; -1 beside white space."""
+        if len(self.pieces) > CACHE:
+            self._forget()
+        at = pc.index_in(flat, value_set=self.pieces)
+        missed = at.is_null()
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        new = pc.unique(flat.filter(missed))
+        if len(new):
+            ids = self._learn(new.to_pylist())
+            good = np.array([x is not None for x in ids], bool)
+            number = np.where(good, len(self.pieces) + np.cumsum(good) - 1, -1)
+            where = np.flatnonzero(missed.to_numpy(zero_copy_only=False))
+            place[where] = number[pc.index_in(flat.filter(missed), value_set=new).to_numpy().astype(np.int64)]
+            kept = [x for x in ids if x is not None]
+            self.pieces = pa.concat_arrays([self.pieces, new.filter(pa.array(good))])
+            self.lengths = np.concatenate((self.lengths, np.array([len(x) // 4 for x in kept], np.int64)))
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(kept), "<u4")))
+        return place
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, END_ID after each, and the number of each text's ids with it."""
         n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         bounds = parts.offsets.to_numpy().astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        words, piece = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        found = self._learn(words)
-        bad = np.array([f is None for f in found], bool)
+        flat = parts.flatten()
+        piece = self._places(flat)
+        first, many = bounds[:-1], np.diff(bounds)
         # Heads have no space before them; one that is empty or ends in white space stands beside a space.
-        first, many = bounds[:-1], np.diff(bounds) > 1
-        heads = [words[i] for i in piece[first].tolist()]
-        whole = np.array([not h or h[-1].isspace() for h in heads], bool) & many
-        beside = bad[piece]
+        heads = flat.take(pa.array(first)).to_pylist()
+        whole = np.array([not h or h[-1].isspace() for h in heads], bool) & (many > 1)
+        beside = piece < 0
         beside[first] = False
-        whole |= np.add.reduceat(beside, first) > 0 if n else whole
-        heads = [t if w else h for t, w, h in zip(texts, whole.tolist(), heads, strict=True)]
-        table = [f or b"" for f in found] + self._plain(heads) + [_PACK[1](END_ID)]
-        piece[first] = len(found) + np.arange(n)
-        lengths = np.array([len(x) // 4 for x in table], np.int64)
-        values = np.frombuffer(b"".join(table), "<u4")
+        whole |= np.add.reduceat(beside, first) > 0
+        extra = [*self._plain([t if w else h for t, w, h in zip(texts, whole.tolist(), heads, strict=True)]), _PACK[1](END_ID)]
+        lengths = np.concatenate((self.lengths, [len(x) // 4 for x in extra]))
+        values = np.concatenate((self.ids, np.frombuffer(b"".join(extra), "<u4")))
         starts = np.cumsum(lengths) - lengths
-        dropped = np.repeat(whole, np.diff(bounds))
+        piece[first] = len(self.lengths) + np.arange(n)
+        text = np.repeat(np.arange(n), many)
+        dropped = whole[text]
         dropped[first] = False
-        piece = np.insert(piece, bounds[1:], len(table) - 1)
+        piece = np.insert(piece, bounds[1:], len(lengths) - 1)
         take = lengths[piece]
-        take[np.flatnonzero(dropped) + np.repeat(np.arange(n), np.diff(bounds))[dropped]] = 0
-        done = np.cumsum(take)
-        ids = values[np.repeat(starts[piece] - (done - take), take) + np.arange(int(done[-1]) if n else 0)]
-        return ids, np.add.reduceat(take, bounds[:-1] + np.arange(n)) if n else np.zeros(0, np.int64)
+        take[np.flatnonzero(dropped) + text[dropped]] = 0
+        out = []
+        for low in range(0, len(piece), GATHER):
+            p, k = piece[low : low + GATHER], take[low : low + GATHER]
+            done = np.cumsum(k)
+            out.append(values[np.repeat(starts[p] - (done - k), k) + np.arange(int(done[-1]))])
+        return np.concatenate(out), np.add.reduceat(take, bounds[:-1] + np.arange(n))
 
 
 # ---------------------------------------------------------------- tables
