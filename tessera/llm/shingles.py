@@ -13,8 +13,6 @@ PERMUTED_TO, BINNED_FROM = 640, 400
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
-_MASK = (1 << 64) - 1
-
 
 def _constants(name: str, n: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.sha256(f"{name} {i}".encode()).digest()[:8], "little") for i in range(n)], np.uint64)
@@ -114,11 +112,3 @@ def binned_signature(hashes: np.ndarray) -> np.ndarray:
     ends = np.append(at[1:], len(hashes))
     first = hashes[np.minimum(at, len(hashes) - 1)]
     return np.where(at < ends, (first >> np.uint64(16)).astype(np.uint32), np.uint32(0xFFFFFFFF))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Sizes of intersection and union of two sorted distinct sets."""
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    same = int(np.count_nonzero(both[1:] == both[:-1]))
-    return same, len(both) - same

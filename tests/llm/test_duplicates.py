@@ -174,7 +174,7 @@ def test_signatures_agree_with_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
     b = np.unique(np.concatenate((a[:2700], rng.integers(0, 2**63, 300, dtype=np.uint64))))
-    same, union = shingles.jaccard(a, b)
+    same, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
     for make in (shingles.permuted_signature, shingles.binned_signature):
         assert abs(np.mean(make(a) == make(b)) - same / union) < 0.12
 
