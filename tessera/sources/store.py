@@ -18,6 +18,10 @@ from tessera.operators.ingest import JOURNAL
 SCHEMAS = {"entries": ENTRIES, "journal": JOURNAL, "committed": COMMITTED}
 
 
+def _plain(x: object) -> str:
+    return x.isoformat() if isinstance(x, datetime) else str(x)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
@@ -61,21 +65,25 @@ class Store:
         for name, frame in tables.items():
             paths[name] = f"{self.path}/gen={n:08d}/{name}"
             frame.write.mode("overwrite").parquet(paths[name])
-        pointer = {"generation": n, "tables": paths, "meta": self.meta if meta is None else meta}
+        text = json.dumps({"generation": n, "tables": paths, "meta": self.meta if meta is None else meta}, default=_plain)
+        self._replace_pointer(text)
+        self.pointer = json.loads(text)
+        self._drop_old()
+        return n
+
+    def _replace_pointer(self, text: str) -> None:
+        """Write a new file, then rename it over the old one in one step."""
         draft, current = self._path(f"{self.path}/next.json"), self._path(f"{self.path}/current.json")
         stream = self._fs.create(draft, True)
         try:
-            stream.write(bytearray(json.dumps(pointer, default=lambda x: x.isoformat() if isinstance(x, datetime) else str(x)).encode()))
+            stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if current.toUri().getScheme() else self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(draft, current, options)
-        self.pointer = json.loads(json.dumps(pointer, default=lambda x: x.isoformat() if isinstance(x, datetime) else str(x)))
-        self._drop_old()
-        return n
+        fs, conf = self._jvm.org.apache.hadoop.fs, self.spark.sparkContext._jsc.hadoopConfiguration()
+        context = fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        overwrite = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        overwrite[0] = fs.Options.Rename.OVERWRITE
+        context.rename(draft, current, overwrite)
 
     def _drop_old(self) -> None:
         """Remove generations that no table of the last few pointers can need."""

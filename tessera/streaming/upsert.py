@@ -16,18 +16,22 @@ def upsert(stream: DataFrame, engine: Engine, checkpoint: str, mode: str = "writ
     that a batch delivered again after a failure is skipped.
     """
 
+    steps = {"write": engine.write, "guarded": engine.compare_and_write, "log": engine.apply_log}
+    if mode not in steps:
+        raise ValueError(f"unknown mode {mode}")
+    name = f"stream:{checkpoint}"
+
     def apply(batch: DataFrame, number: int) -> None:
-        if engine.batches.get(f"stream:{checkpoint}", {}).get("batch", -1) >= number:
+        before = engine.batches.get(name)
+        if before is not None and before["batch"] >= number:
             return
-        engine.batches[f"stream:{checkpoint}"] = {"batch": number}
-        if mode == "write":
-            engine.write(batch)
-        elif mode == "guarded":
-            engine.compare_and_write(batch)
-        elif mode == "log":
-            engine.apply_log(batch)
-        else:
-            raise ValueError(f"unknown mode {mode}")
+        engine.batches[name] = {"batch": number}
+        try:
+            steps[mode](batch)
+        except Exception:
+            # Not applied: the batch comes again.
+            engine.batches.pop(name) if before is None else engine.batches.update({name: before})
+            raise
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
