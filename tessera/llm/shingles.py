@@ -58,6 +58,17 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _cuts(data: bytes) -> list[int]:
+    """Places to cut a long text into parts of about CHUNK bytes, between words."""
+    cuts = [0]
+    while len(data) - cuts[-1] > 2 * CHUNK:
+        found = [i for c in b" \t\n\x0b\x0c\r" if (i := data.find(c, cuts[-1] + CHUNK)) >= 0]
+        if not found:
+            break
+        cuts.append(min(found))
+    return [*cuts, len(data)]
+
+
 def _of_words(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words, or of the whole if there are fewer; unsorted."""
     n = len(words)
@@ -86,6 +97,15 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
 
     held = 0
     for t in raw:
+        if len(t) > 2 * CHUNK:
+            # A word's hash does not depend on where it stands, so that parts of a text can follow on each other.
+            if group:
+                flush()
+                group, held = [], 0
+            ends = _cuts(t)
+            words = [_word_hashes(np.frombuffer(t, np.uint8)[a:b])[1] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out.append(np.unique(_of_words(np.concatenate(words), size)))
+            continue
         group.append(t)
         held += len(t) + 1
         if held >= CHUNK:

@@ -179,6 +179,15 @@ def test_signatures_agree_with_similarity():
         assert abs(np.mean(make(a) == make(b)) - same / union) < 0.12
 
 
+def test_long_texts_in_parts(monkeypatch):
+    rng = random.Random(11)
+    text = "".join(rng.choice("ab \n\t") for _ in range(9000)) + "c" * 3000
+    whole = shingles.shingle_sets(["x y", text, "z"], 4)
+    monkeypatch.setattr(shingles, "CHUNK", 500)
+    for a, b in zip(whole, shingles.shingle_sets(["x y", text, "z"], 4), strict=True):
+        assert (a == b).all() and len(a)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 3), (200, 201), (201, 200), (None, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
