@@ -222,15 +222,15 @@ def merge_last_touch(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT entity, age, CASE WHEN c_custkey % 3 = 0 THEN 'moved' ELSE city END AS city, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE level END AS level FROM profile "
-    "UNION ALL SELECT concat('user_new', CAST(c_custkey AS VARCHAR)), NULL, 'moved', NULL FROM profile WHERE c_custkey % 100 = 0", PROFILE,
+    "SELECT entity, age, CASE WHEN is_vip THEN 'moved' ELSE city END AS city, CASE WHEN is_vip THEN NULL ELSE level END AS level FROM profile "
+    "UNION ALL SELECT concat('user_new', CAST(c_custkey AS VARCHAR)), NULL, 'moved', NULL FROM profile WHERE score < 0", PROFILE,
 )
 def merge_window_delete(spark: SparkSession, d: str) -> DataFrame:
     """A window field that the patch lacks is removed; unknown entities are made."""
     entries, c = profile(spark, d), table(spark, d, "customer")
     name = F.concat(F.lit("user_"), F.col("c_custkey").cast("string"))
-    touched = c.where("c_custkey % 3 = 0").select(name.alias("entity")).union(
-        c.where("c_custkey % 100 = 0").select(F.concat(F.lit("user_new"), F.col("c_custkey").cast("string")))
+    touched = c.where("c_acctbal > 5000").select(name.alias("entity")).union(
+        c.where("c_acctbal < 0").select(F.concat(F.lit("user_new"), F.col("c_custkey").cast("string")))
     )
     patch = touched.select(
         F.lit(0).cast("bigint").alias("seq"), "entity", fields_of(city=string_value(F.lit("moved")), other=int_value(F.lit(1))).alias("fields"),
@@ -442,13 +442,14 @@ def backfill_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT f.entity, CASE WHEN length(f.entity) % 2 = 0 THEN NULL ELSE x + coalesce(p.active_days, 0) END AS added FROM firsts f LEFT JOIN profile p ON f.entity = p.entity WHERE length(f.entity) % 2 = 1",
+    "SELECT f.entity, x + coalesce(p.active_days, 0) AS added FROM firsts f LEFT JOIN profile p ON f.entity = p.entity WHERE f.entity NOT IN (SELECT concat('user_', CAST(o_custkey AS VARCHAR)) FROM orders WHERE o_orderstatus = 'P')",
     PROFILE, _FIRST,
 )
 def backfill_retry(spark: SparkSession, d: str) -> DataFrame:
     """What a task has committed is not applied again."""
     rows = counters(spark, d)
-    done = rows.where(F.length("entity") % 2 == 0).select(F.lit("t").alias("task_id"), "entity", F.lit(backfill.signature("t", rows)).alias("signature")).distinct()
+    held = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("user_"), F.col("o_custkey").cast("string")).alias("entity")).distinct()
+    done = held.select(F.lit("t").alias("task_id"), "entity", F.lit(backfill.signature("t", rows)).alias("signature"))
     _, _, decided = backfill.retry(profile(spark, d), rows, done, "t", "user_profile-v3", AT)
     return decided.select("entity", field("active_days", "i").alias("added"))
 
@@ -486,15 +487,15 @@ def partition_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _offline(spark: SparkSession, d: str) -> DataFrame:
-    """Two thirds of the profiles; levels are off by one for every fifth, cities are missing for every fourth."""
+    """Profiles in credit; levels are off by one for every fifth, cities are missing for every fourth."""
     k = F.substr(F.col("entity"), F.lit(6)).cast("bigint")
     level = F.when(k % 5 == 0, int_value(field("level", "i") + 1)).otherwise(F.col("fields")["level"])
     rest = F.map_filter("fields", lambda n, _: (n != "level") & ((n != "city") | (k % 4 != 0)))
-    return profile(spark, d).where(k % 3 != 0).withColumn("fields", F.map_concat(rest, F.create_map(F.lit("level"), level)))
+    return profile(spark, d).where(field("score", "f") > 0).withColumn("fields", F.map_concat(rest, F.create_map(F.lit("level"), level)))
 
 
-_DIFF = """diffs AS (SELECT entity, field, us, online, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE offline END AS offline FROM (
-  SELECT entity, c_custkey, us, unnest(['city', 'level', 'is_vip']) AS field, unnest([city, CAST(level AS VARCHAR), CAST(is_vip AS VARCHAR)]) AS online,
+_DIFF = """diffs AS (SELECT entity, field, us, online, CASE WHEN score > 0 THEN offline ELSE '' END AS offline FROM (
+  SELECT entity, score, us, unnest(['city', 'level', 'is_vip']) AS field, unnest([city, CAST(level AS VARCHAR), CAST(is_vip AS VARCHAR)]) AS online,
   unnest([CASE WHEN c_custkey % 4 = 0 THEN '' ELSE city END, CAST(CASE WHEN c_custkey % 5 = 0 THEN level + 1 ELSE level END AS VARCHAR), CAST(is_vip AS VARCHAR)]) AS offline FROM profile))"""
 
 
