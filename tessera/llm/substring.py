@@ -16,9 +16,9 @@ their anchors' grams are.
 4. Spans of repeated strings are united by document and cut out.
 
 Nothing but rows of numbers and the contexts of repeated classes is shuffled
-besides the texts themselves. Classes so frequent that a task should not hold
-them are dealt by context and resolved by digests of their strings; contexts as
-frequent are known to be repeated and dealt by text.
+besides the texts themselves. Frequent classes meet dealt by context, frequent
+contexts, known to be repeated, by text; classes of more contexts than a task
+should sort are resolved by digests of their strings.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ LENGTH, GRAM = 200, 64
 SCAN_BYTES, SORT_BYTES = 1 << 20, 4 << 20
 #: Share of sampled anchors from which a class counts as frequent, its least count in the sample, and the sample: one text in so many.
 HOT_SHARE, HOT_ROWS, HOT_SAMPLE, SALTS = 0.0005, 1000, 64, 256
+#: Contexts of a class that are sorted in one task.
+CLASS_SIZE = 20_000
 
 _STEPS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 _BYTES = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") for b in range(256)], np.uint64)
@@ -134,7 +136,7 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 _ANCHOR = "id long, lo int, span short, off short, cls long, c1 long, c2 long"
-_CONTEXT = "id long, lo int, span short, off short, cls long, salt int, twice boolean, text binary"
+_CONTEXT = "id long, lo int, span short, off short, cls long, large boolean, twice boolean, text binary"
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "short": pa.int16(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -238,7 +240,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             data = (text or "").encode()
             for r in found:
-                for k in ("lo", "span", "off", "cls", "salt", "twice"):
+                for k in ("lo", "span", "off", "cls", "large", "twice"):
                     columns[k].append(r[k])
                 columns["id"].append(key)
                 columns["text"].append(data[r["lo"] : r["lo"] + r["span"] + LENGTH])
@@ -372,7 +374,9 @@ def _dealt(anchors: DataFrame, classes: list[int], contexts: list[tuple[int, int
     return met.withColumn("salt", F.when(F.col("_id").isNull(), salt).when(named, SALTS + 1).otherwise(spread).cast("int"))
 
 
-def repeated_spans(rows: DataFrame, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repeated_spans(
+    rows: DataFrame, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS, class_size: int = CLASS_SIZE
+) -> DataFrame:
     """(id, lo, hi) of repeated bytes of ``rows`` (id, text), ids unlike for unlike texts; spans of one text may overlap."""
     spark = rows.sparkSession
     common.small_batches(spark)
@@ -386,18 +390,25 @@ def repeated_spans(rows: DataFrame, hot_share: float = HOT_SHARE, hot_rows: int
     )
     met = common.stored(met, "anchors")
     common.small_batches(spark)
-    wanted = met.where("wanted").groupBy("id").agg(F.collect_list(F.struct("lo", "span", "off", "cls", "salt", "twice")).alias("found"))
+    wanted = met.where("wanted").select("id", "lo", "span", "off", "cls", "twice")
+    # Classes of more contexts than a task should sort take another road; their number is known exactly here.
+    large = common.stored(wanted.groupBy("cls").count().where(F.col("count") > class_size).select("cls"), "large-classes")
+    some = not large.isEmpty()
+    if some:
+        wanted = wanted.join(large.withColumn("_l", F.lit(True)), "cls", "left").withColumn("large", F.col("_l").isNotNull())
+    else:
+        wanted = wanted.withColumn("large", F.lit(False))
+    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("lo", "span", "off", "cls", "large", "twice")).alias("found"))
     # What grows with the texts is never a side to broadcast, also where it is still small.
     texts = rows.join(wanted.hint("merge"), "id").select("id", "text", "found").mapInArrow(_contexts, _CONTEXT)
     columns = ["id", "lo", "span", "off", "cls", "twice", "text"]
-    # Contexts of frequent classes take another road; elsewhere a class is within one task.
-    if hot:
+    if some:
         texts = common.stored(texts, "contexts")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    cold = texts.where("salt = 0").repartition("cls").sortWithinPartitions("cls").select(*columns)
-    found = cold.mapInArrow(_sorted_out, "id long, lo int, hi int")
-    if hot:
-        strings = texts.where("salt > 0").select(*columns).mapInArrow(_digests, "id long, lo int, twice boolean, d1 long, d2 long")
+    small = texts.where("NOT large").repartition("cls").sortWithinPartitions("cls").select(*columns)
+    found = small.mapInArrow(_sorted_out, "id long, lo int, hi int")
+    if some:
+        strings = texts.where("large").select(*columns).mapInArrow(_digests, "id long, lo int, twice boolean, d1 long, d2 long")
         again = strings.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
         more = strings.join(again, ["d1", "d2"]).where("NOT twice")
         found = found.union(more.select("id", "lo", (F.col("lo") + LENGTH).cast("int").alias("hi")))

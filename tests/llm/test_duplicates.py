@@ -51,9 +51,9 @@ def passages(rng):
     return out + out[-5:] + [out[-1] + "!", "?" + out[-2]]
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_share": 0.0, "hot_rows": 1}])
+@pytest.mark.parametrize("limits", [{}, {"class_size": 2}, {"hot_share": 0.0, "hot_rows": 1}, {"hot_share": 0.0, "hot_rows": 1, "class_size": 1}])
 def test_substrings_match_brute_force(spark, docs, limits, monkeypatch):
-    monkeypatch.setattr(substring, "HOT_SAMPLE", 1 if limits else 64)
+    monkeypatch.setattr(substring, "HOT_SAMPLE", 1 if "hot_rows" in limits else 64)
     texts = passages(random.Random(3))
     wanted = brute_cut(texts)
     for r in substring.deduplicated(docs(texts), **limits).collect():
