@@ -59,18 +59,23 @@ class Engine:
 
     # ------------------------------------------------------------ state
 
-    def _commit(self, **tables: DataFrame) -> int:
+    def _commit(self, entries: tuple[DataFrame, list[int]] | None = None, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
         meta = {
             "versions": self.versions.state_dict(), "tasks": {k: vars(t) for k, t in self.tasks.items()},
             "batches": self.batches, "shards": self.router.shards,
         }
-        n = self.store.commit(tables, meta)
+        n = self.store.commit(tables, append, entries, meta)
         self.invalidate_all()
         return n
 
+    def _touched(self, keys: DataFrame) -> tuple[DataFrame, list[int]]:
+        """The entries of the buckets that hold ``keys``, and those buckets: all that a change of the keys reads and rewrites."""
+        buckets = self.store.buckets_of(keys)
+        return self.store.entries(buckets), buckets
+
     @property
     def entries(self) -> DataFrame:
-        return self.store.table("entries")
+        return self.store.entries()
 
     @property
     def journal(self) -> DataFrame:
@@ -119,10 +124,11 @@ class Engine:
 
     # ------------------------------------------------------------ reads
 
-    def read(self, keys: DataFrame, version_id: str = "") -> DataFrame:
-        """Snapshots of ``keys`` (entity) in the active version's layout, or a named one's."""
+    def read(self, keys: DataFrame, version_id: str = "", few: bool = False) -> DataFrame:
+        """Snapshots of ``keys`` (entity) in the active version's layout, or a named one's; ``few`` keys read their buckets only."""
         v = self.versions.get(version_id) if version_id else self.versions.resolve_active()
-        return reads.read(keys, self.entries, v, version_id or (v.id if v else ""))
+        entries = self._touched(keys)[0] if few else self.entries
+        return reads.read(keys, entries, v, version_id or (v.id if v else ""))
 
     def read_strings(self, keys: DataFrame, version_id: str = "") -> DataFrame:
         return self.read(keys, version_id).withColumn("fields", F.transform_values("fields", lambda _, v: canonical(v)))
@@ -153,24 +159,30 @@ class Engine:
 
     def write(self, rows: DataFrame, version_id: str | None = None, at: datetime | None = None) -> int:
         """Replace entities by rows (entity, fields), in order of a column seq if there is one."""
-        return self._commit(entries=writes.write(self.entries, self._log(self._valid(rows), version_id, at)))
+        log = self._log(self._valid(rows), version_id, at)
+        before, buckets = self._touched(log)
+        return self._commit((writes.write(before, log), buckets))
 
     def merge_write(self, rows: DataFrame, window: list[str], version_id: str, at: datetime | None = None) -> int:
-        return self._commit(entries=writes.merge_write(self.entries, self._log(self._valid(rows), version_id, at), window))
+        log = self._log(self._valid(rows), version_id, at)
+        before, buckets = self._touched(log)
+        return self._commit((writes.merge_write(before, log, window), buckets))
 
     def compare_and_write(self, rows: DataFrame, version_id: str | None = None, at: datetime | None = None) -> DataFrame:
         """Guarded replacement; the log with a column accepted."""
         log = self._log(self._valid(rows), version_id, at)
-        before = self.entries
+        before, buckets = self._touched(log)
         decided = writes.guarded(log, before, self.compat)
-        self._commit(entries=writes.compare_and_write(before, log, self.compat))
+        self._commit((writes.compare_and_write(before, log, self.compat), buckets))
         return decided
 
     def apply_log(self, ops: DataFrame) -> int:
-        return self._commit(entries=writes.apply_log(self.entries, ops))
+        before, buckets = self._touched(ops)
+        return self._commit((writes.apply_log(before, ops), buckets))
 
     def delete(self, keys: DataFrame) -> int:
-        return self._commit(entries=writes.delete(self.entries, keys))
+        before, buckets = self._touched(keys)
+        return self._commit((writes.delete(before, keys), buckets))
 
     # ------------------------------------------------------------ imports
 
@@ -184,14 +196,13 @@ class Engine:
         if not n:
             raise ValueError("no rows to import")
         window = ingest.field_window(rows, table)
-        before, journal = self.entries, self.journal
+        (before, buckets), journal = self._touched(rows), self.journal
         base = (journal.agg(F.max("journal_seq").alias("m")).first().m or 0) + 1
         ops = ingest.journal_of(before, rows, batch_id, base, self.import_window)
         size = self.import_window if self.import_window > 0 else ingest.DEFAULT_WINDOW
         self.batches[batch_id] = {"version_id": version_id, "segments": -(-n // size), "rows": n, "failed": False}
-        self._commit(
-            entries=ingest.import_batch(before, rows, window, version_id, at or self.clock()), journal=journal.unionByName(ops)
-        )
+        after = ingest.import_batch(before, rows, window, version_id, at or self.clock())
+        self._commit((after, buckets), append={"journal": ops})
         return self.batches[batch_id]
 
     def rollback_import(self, batch_id: str) -> None:
@@ -199,7 +210,8 @@ class Engine:
         if batch_id not in self.batches:
             raise KeyError(f"unknown batch {batch_id}")
         self.batches[batch_id]["failed"] = True
-        self._commit(entries=ingest.rollback(self.entries, self.journal, batch_id), journal=ingest.cleared(self.journal, batch_id))
+        before, buckets = self._touched(ingest.ops_for(self.journal, batch_id))
+        self._commit((ingest.rollback(before, self.journal, batch_id), buckets), journal=ingest.cleared(self.journal, batch_id))
 
     def batch(self, batch_id: str) -> dict | None:
         return self.batches.get(batch_id)
@@ -217,25 +229,28 @@ class Engine:
         v = self.versions.must_get(version_id)
         rows = self._valid(rows)
         now = at or self.clock()
-        after, decided = backfill.run(self.entries, rows, v.id, now, self.compat)
+        before, buckets = self._touched(rows)
+        after, decided = backfill.run(before, rows, v.id, now, self.compat)
         counts = decided.agg(F.count_if("accepted").alias("written"), F.count("*").alias("n")).first()
         total = rows.count() if self.compat else counts.n
         state = "done" if total and counts.n >= 1 else "running"
         self.tasks[task_id] = Task(task_id, v.table_id, state, total, total, now.isoformat())
-        tables = {"entries": after}
+        tables = {}
         if not self.compat:
             mark = backfill.signature(task_id, rows)
             new = decided.where("accepted").select(F.lit(task_id).alias("task_id"), "entity", F.lit(mark).alias("signature"))
             tables["committed"] = backfill.marked(self.committed, new)
-        self._commit(**tables)
+        self._commit((after, buckets), **tables)
         return counts.written
 
     def retry(self, task_id: str, version_id: str, rows: DataFrame, at: datetime | None = None) -> int:
         """Apply what the task has not committed under the rows' signature; the number of entities written."""
         v = self.versions.must_get(version_id)
-        after, committed, decided = backfill.retry(self.entries, self._valid(rows), self.committed, task_id, v.id, at or self.clock())
+        rows = self._valid(rows)
+        before, buckets = self._touched(rows)
+        after, committed, decided = backfill.retry(before, rows, self.committed, task_id, v.id, at or self.clock())
         written = decided.where("accepted").count()
-        self._commit(entries=after, committed=committed)
+        self._commit((after, buckets), committed=committed)
         return written
 
     def task(self, task_id: str) -> Task | None:
@@ -256,14 +271,17 @@ class Engine:
 
     def scan_expired(self, now: datetime | None = None) -> int:
         """Remove entries past their time; how many went."""
-        now, before = now or self.clock(), self.entries
-        n = ttl.expired(before, now, self.expiry).count()
+        now = now or self.clock()
+        old = ttl.expired(self.entries, now, self.expiry)
+        n = old.count()
         if n:
-            self._commit(entries=ttl.survivors(before, now, self.expiry))
+            before, buckets = self._touched(old)
+            self._commit((ttl.survivors(before, now, self.expiry), buckets))
         return n
 
     def expire_key(self, key: str, now: datetime | None = None) -> bool:
-        gone = ttl.expired(self.entries.where(F.col("entity") == key), now or self.clock(), self.expiry)
+        before, _ = self._touched(self.spark.createDataFrame([(key,)], "entity string"))
+        gone = ttl.expired(before.where(F.col("entity") == key), now or self.clock(), self.expiry)
         if gone.isEmpty():
             return False
         self.delete(gone.select("entity"))

@@ -1,21 +1,28 @@
 """Durable state: immutable Parquet generations behind one pointer file.
 
-A commit writes its tables to a new generation and then replaces the pointer, so
-that readers see all of a commit or nothing; one writer at a time.
+Entries lie in buckets by the hash of their key. A commit writes the buckets it
+touches, and the tables it changes, to a new generation and then replaces the
+pointer, so that readers see all of a commit or nothing and a small change does
+not rewrite the rest; one writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.functions.keys import slot
 from tessera.functions.values import ENTRIES
 from tessera.operators.backfill import COMMITTED
 from tessera.operators.ingest import JOURNAL
 
-SCHEMAS = {"entries": ENTRIES, "journal": JOURNAL, "committed": COMMITTED}
+SCHEMAS = {"journal": JOURNAL, "committed": COMMITTED}
+#: Buckets of a new store; the number stays with the store.
+BUCKETS = 64
 
 
 def _plain(x: object) -> str:
@@ -23,21 +30,21 @@ def _plain(x: object) -> str:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2, buckets: int = BUCKETS):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
         self._jvm = spark.sparkContext._jvm
         root = self._path(self.path)
         self._fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(root)
-        self.pointer = self._read_pointer()
+        self.pointer = self._read_pointer() or {"generation": 0, "tables": {}, "buckets": buckets, "entries": {}, "meta": {}}
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(name)
 
-    def _read_pointer(self) -> dict:
+    def _read_pointer(self) -> dict | None:
         file = self._path(f"{self.path}/current.json")
         if not self._fs.exists(file):
-            return {"generation": 0, "tables": {}, "meta": {}}
+            return None
         stream = self._fs.open(file)
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -54,18 +61,51 @@ class Store:
         return self.pointer["meta"]
 
     def table(self, name: str) -> DataFrame:
-        if name not in self.pointer["tables"]:
+        paths = self.pointer["tables"].get(name)
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.pointer["tables"][name])
-
-    def commit(self, tables: dict[str, DataFrame], meta: dict | None = None) -> int:
-        """Write ``tables`` as the next generation, tables left out stay as they are, and point to it."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
+
+    def entries(self, buckets: list[int] | None = None) -> DataFrame:
+        """All entries, or those of some buckets: only their files are listed and read."""
+        held = self.pointer["entries"]
+        paths = [held[k] for k in sorted(held) if buckets is None or int(k) in buckets]
+        return self.spark.read.schema(ENTRIES).parquet(*paths) if paths else self.spark.createDataFrame([], ENTRIES)
+
+    def buckets_of(self, keys: DataFrame) -> list[int]:
+        """Buckets of the keys (entity), at most as many as there are buckets."""
+        found = keys.select(slot(F.col("entity"), self.pointer["buckets"]).alias("k")).distinct().collect()
+        return sorted(r.k for r in found)
+
+    def commit(
+        self, tables: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None,
+        entries: tuple[DataFrame, list[int]] | None = None, meta: dict | None = None,
+    ) -> int:
+        """Write the next generation and point to it.
+
+        ``tables`` are replaced, ``append`` adds rows to a table, ``entries`` are
+        all entries of the buckets named with them. What is left out stays.
+        """
         n = self.generation + 1
-        paths = dict(self.pointer["tables"])
-        for name, frame in tables.items():
-            paths[name] = f"{self.path}/gen={n:08d}/{name}"
-            frame.write.mode("overwrite").parquet(paths[name])
-        text = json.dumps({"generation": n, "tables": paths, "meta": self.meta if meta is None else meta}, default=_plain)
+        home, held = f"{self.path}/gen={n:08d}", dict(self.pointer["tables"])
+        for name, frame in (tables or {}).items():
+            held[name] = [f"{home}/{name}"]
+            frame.write.mode("overwrite").parquet(held[name][0])
+        for name, frame in (append or {}).items():
+            held[name] = [*held.get(name, []), f"{home}/{name}-more"]
+            frame.write.mode("overwrite").parquet(held[name][-1])
+        places = dict(self.pointer["entries"])
+        if entries is not None:
+            frame, touched = entries
+            spread = frame.withColumn("bucket", slot(F.col("entity"), self.pointer["buckets"])).hint("rebalance", "bucket")
+            spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/entries")
+            for k in touched:
+                place = f"{home}/entries/bucket={k}"
+                places.pop(str(k), None)
+                if self._fs.exists(self._path(place)):
+                    places[str(k)] = place
+        pointer = {"generation": n, "tables": held, "buckets": self.pointer["buckets"], "entries": places, "meta": self.meta if meta is None else meta}
+        text = json.dumps(pointer, default=_plain)
         self._replace_pointer(text)
         self.pointer = json.loads(text)
         self._drop_old()
@@ -86,8 +126,9 @@ class Store:
         context.rename(draft, current, overwrite)
 
     def _drop_old(self) -> None:
-        """Remove generations that no table of the last few pointers can need."""
-        held = {p.rsplit("/", 2)[-2] for p in self.pointer["tables"].values()}
+        """Remove generations that neither the pointer nor a reader of the last few needs."""
+        paths = [*self.pointer["entries"].values(), *(p for ps in self.pointer["tables"].values() for p in ps)]
+        held = {m[0] for p in paths if (m := re.search(r"gen=\d+", p.removeprefix(self.path)))}
         for status in self._fs.listStatus(self._path(self.path)):
             name = status.getPath().getName()
             if name.startswith("gen=") and name not in held and int(name[4:]) <= self.generation - self.keep:

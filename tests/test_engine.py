@@ -198,3 +198,21 @@ def test_merge_and_log_through_the_engine(spark, engine):
     ops = spark.createDataFrame([(1, "delete", "u", None, None, "v", T0)], f"seq bigint, op string, entity string, fields map<string,{VALUE}>, window array<string>, version_id string, written_at timestamp_ntz")
     engine.apply_log(ops)
     assert engine.entries.count() == 0
+
+
+def test_a_change_rewrites_its_buckets_only(spark, engine):
+    many = spark.range(500).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("entity"), fields_of(x=int_value(F.col("id"))).alias("fields"))
+    engine.write(many, "v")
+    before = dict(engine.store.pointer["entries"])
+    engine.write(rows(spark, e7=fields_of(x=int_value(F.lit(-1)))), "v")
+    after = engine.store.pointer["entries"]
+    assert sum(after[k] != before[k] for k in before) == 1 and len(after) == len(before) <= 64
+    got = {r.entity: r.fields["x"].i for r in engine.entries.collect()}
+    assert got == {f"e{i}": (-1 if i == 7 else i) for i in range(500)}
+    assert engine.read(keys(spark, "e7"), few=True).first().fields["x"].i == -1
+    assert len(engine.read(keys(spark, "e7"), few=True).inputFiles()) < len(engine.entries.inputFiles())
+    for i in range(8):
+        engine.write(rows(spark, e7=fields_of(x=int_value(F.lit(i)))), "v")
+    assert engine.entries.count() == 500
+    engine.delete(keys(spark, *[f"e{i}" for i in range(500)]))
+    assert engine.entries.count() == 0 and engine.store.pointer["entries"] == {}
