@@ -27,7 +27,7 @@ _HEAD = struct.Struct("<QBH")
 #: Offsets up to this percentile fit the packed width; larger ones are exceptions.
 PERCENTILE = 95
 #: Tokens after which a shard is closed, texts of a partition in bytes, and pieces that a worker remembers.
-SHARD_TOKENS, PARTITION_BYTES, CACHE = 1_000_000, 24_000_000, 3_000_000
+SHARD_TOKENS, PARTITION_BYTES, CACHE = 1_000_000, 24_000_000, 1_200_000
 #: Pieces whose ids are put together at once.
 GATHER = 100_000
 #: Most partitions of a write: one row for each is broadcast when reading.
@@ -217,43 +217,32 @@ class Encoder:
         ids = [t.id for t in self.model.tokenize(lead + plain)]
         return _PACK[n](*ids) if (n := len(ids)) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
-    def _letters(self, stems: list[str]) -> list[bytes]:
-        """Ids of a space and each word of letters, remembered or asked for."""
-        at = pc.fill_null(pc.index_in(pa.array(stems, pa.large_string()), value_set=self.pieces), -1).to_numpy()
-        ends = np.cumsum(self.lengths)
-        ids, low, high = self.ids.tobytes(), 4 * (ends - self.lengths), 4 * ends
-        return [ids[low[i] : high[i]] if i >= 0 else self._model(stem, "\u0120") for stem, i in zip(stems, at.tolist(), strict=True)]
-
     def _learn(self, words: list[str]) -> list[bytes | None]:
         """Ids of a space and each word; None for words that are, or have at an end, white space."""
         out: list[bytes | None] = [None] * len(words)
         other: list[int] = []
-        stems: dict[str, int] = {}
-        parts: list[tuple[int, int, bytes]] = []
         for i, p in enumerate(words):
-            # Letters before closing signs are a unit of their own, and so are those signs; a line end
-            # between other characters is one, too.
-            line, *more = p.split("\n") if "\n" in p else (p,)
-            stem = line.rstrip(_SIGNS)
-            if stem.isalpha():
-                tail = self._tail(line[len(stem) :])
-                for x in more:
-                    word = x.rstrip(_SIGNS)
-                    if not word.isalpha():
-                        break
-                    tail += self._tail("\n") + self._model(word) + self._tail(x[len(word) :])
-                else:
-                    parts.append((i, stems.setdefault(stem, len(stems)), tail))
-                    continue
-            if p and not p[0].isspace() and not p[-1].isspace():
+            if p.isalpha():
+                out[i] = self._model(p, "\u0120")
+            elif (ids := self._lines(p)) is not None:
+                out[i] = ids
+            elif p and not p[0].isspace() and not p[-1].isspace():
                 other.append(i)
-        found = self._letters(list(stems))
-        for i, k, tail in parts:
-            out[i] = found[k] + tail
         for i, ids in zip(other, self._plain([" " + words[i] for i in other]), strict=True):
             out[i] = ids
         return out
 
+    def _lines(self, piece: str) -> bytes | None:
+        """Ids of a space and words that line ends part, each letters with closing signs; None for other pieces."""
+        ids, lead = b"", "\u0120"
+        for line in piece.split("\n"):
+            word = line.rstrip(_SIGNS)
+            if not word.isalpha():
+                return None
+            ids += (self._tail("\n") if ids else b"") + self._model(word, lead) + self._tail(line[len(word) :])
+            lead = ""
+        return ids
+
     def _places(self, flat: pa.Array) -> np.ndarray:
         """Number of each piece among the remembered ones, those that are new learned first; -1 beside white space."""
         if len(self.pieces) > CACHE:
@@ -282,31 +271,46 @@ class Encoder:
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         bounds = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.flatten()
-        piece = self._places(flat)
         first, many = bounds[:-1], np.diff(bounds)
+        # Letters before closing signs are a unit of their own, and so are those signs.
+        stems = pc.utf8_rtrim(flat, characters=_SIGNS)
+        signed = pc.and_(pc.not_equal(pc.binary_length(flat), pc.binary_length(stems)), pc.utf8_is_alpha(stems))
+        signed = signed.to_numpy(zero_copy_only=False).copy()
+        signed[first] = False
+        piece = self._places(pc.if_else(pa.array(signed), stems, flat))
+        signs = pc.replace_substring_regex(flat.filter(pa.array(signed)), pattern=r"^\pL+", replacement="").dictionary_encode()
         # Heads have no space before them; one that is empty or ends in white space stands beside a space.
         heads = flat.take(pa.array(first)).to_pylist()
         whole = np.array([not h or h[-1].isspace() for h in heads], bool) & (many > 1)
         beside = piece < 0
         beside[first] = False
         whole |= np.add.reduceat(beside, first) > 0
-        extra = [*self._plain([t if w else h for t, w, h in zip(texts, whole.tolist(), heads, strict=True)]), _PACK[1](END_ID)]
+        extra = self._plain([t if w else h for t, w, h in zip(texts, whole.tolist(), heads, strict=True)])
+        extra += [_PACK[1](END_ID), *(self._tail(t) for t in signs.dictionary.to_pylist())]
+        known = len(self.lengths)
         lengths = np.concatenate((self.lengths, [len(x) // 4 for x in extra]))
         values = np.concatenate((self.ids, np.frombuffer(b"".join(extra), "<u4")))
         starts = np.cumsum(lengths) - lengths
-        piece[first] = len(self.lengths) + np.arange(n)
+        piece[first] = known + np.arange(n)
+        # Of a text that is encoded as a whole, only its head stays.
         text = np.repeat(np.arange(n), many)
         dropped = whole[text]
         dropped[first] = False
-        piece = np.insert(piece, bounds[1:], len(lengths) - 1)
+        nothing = len(lengths)
+        piece[dropped] = nothing
+        lengths, starts = np.append(lengths, 0), np.append(starts, 0)
+        after = np.flatnonzero(signed)
+        sign = np.where(dropped[after], nothing, known + n + 1 + signs.indices.to_numpy())
+        # Signs follow their letters, the end id follows the text.
+        piece = np.insert(piece, np.concatenate((after + 1, bounds[1:])), np.concatenate((sign, np.full(n, known + n))))
         take = lengths[piece]
-        take[np.flatnonzero(dropped) + text[dropped]] = 0
         out = []
         for low in range(0, len(piece), GATHER):
             p, k = piece[low : low + GATHER], take[low : low + GATHER]
             done = np.cumsum(k)
             out.append(values[np.repeat(starts[p] - (done - k), k) + np.arange(int(done[-1]))])
-        return np.concatenate(out), np.add.reduceat(take, bounds[:-1] + np.arange(n))
+        begin = bounds[:-1] + np.arange(n) + np.searchsorted(after, first)
+        return np.concatenate(out), np.add.reduceat(take, begin)
 
 
 # ---------------------------------------------------------------- tables
@@ -344,14 +348,19 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ids, sizes = encoder.encode([t or "" for t in texts])
-            docs += keys
-            counts += sizes.tolist()
-            data.append(ids)
-            held += len(ids)
-            if held >= SHARD_TOKENS:
-                yield close()
-                seq, before, held = seq + 1, before + held, 0
-                docs, counts, data = [], [], []
+            at = 0
+            for k, n in zip(keys, sizes.tolist(), strict=True):
+                docs.append(k)
+                counts.append(n)
+                data.append(ids[at : at + n])
+                at, held = at + n, held + n
+                if held >= SHARD_TOKENS:
+                    yield close()
+                    seq, before, held = seq + 1, before + held, 0
+                    docs, counts, data = [], [], []
+            # What is still held must not keep the whole batch alive.
+            data = [np.concatenate(data)] if data else []
+            pa.default_memory_pool().release_unused()
         if docs:
             yield close()
 
