@@ -101,14 +101,16 @@ def segments(toxic: list[set[str]], ordinary: list[set[str]]) -> list[str]:
     return kept[::-1]
 
 
-def isotonic(points: list[tuple[float, int]]) -> tuple[list[float], list[float]]:
-    """Pool adjacent violators: the monotone step function nearest to the 0/1 labels, in ascending evidence."""
+def isotonic(points: list[tuple[float, int, float]]) -> tuple[list[float], list[float]]:
+    """Pool adjacent violators over (evidence, label, weight): the rising step function nearest to the labels."""
+    grouped: dict[float, list[float]] = {}
+    for x, y, w in points:
+        held = grouped.setdefault(x, [0.0, 0.0])
+        held[0] += y * w
+        held[1] += w
     blocks: list[list[float]] = []
-    grouped: dict[float, list[int]] = {}
-    for x, y in points:
-        grouped.setdefault(x, []).append(y)
     for x in sorted(grouped):
-        blocks.append([x, float(sum(grouped[x])), float(len(grouped[x]))])
+        blocks.append([x, *grouped[x]])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             _, s, n = blocks.pop()
             blocks[-1][1] += s
@@ -116,8 +118,11 @@ def isotonic(points: list[tuple[float, int]]) -> tuple[list[float], list[float]]
     return [b[0] for b in blocks], [(b[1] + 0.02) / (b[2] + 0.5) for b in blocks]
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries and calibration from labelled texts. No toxic example: every text scores 0."""
+def train(toxic: list[str], ordinary: list[str], weight: float = 1.0) -> Model:
+    """Dictionaries and calibration from labelled texts, of which an ordinary one stands for ``weight`` times as many as a toxic one.
+
+    No toxic example: every text scores 0.
+    """
     if not toxic:
         return Model(b"", b"", [0.0], [0.0])
     bad, good = [letters(t) for t in toxic], [letters(t) for t in ordinary]
@@ -133,13 +138,16 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     plain = b" ".join(base)
     model = Model(plain, plain + "".join(found).encode())
     model.steps, model.chances = isotonic(
-        [(model.evidence(t), 1) for t in toxic[1::2]] + [(model.evidence(t), 0) for t in ordinary[1::2]]
+        [(model.evidence(t), 1, 1.0) for t in toxic[1::2]] + [(model.evidence(t), 0, weight) for t in ordinary[1::2]]
     )
     return model
 
 
-def sample(documents: DataFrame, labels: DataFrame, key: str, label: str, rows: int) -> list[tuple[str, int]]:
-    """At most about ``rows`` labelled texts of each class, chosen by a hash of the text; the labels' shares are kept apart."""
+def sample(documents: DataFrame, labels: DataFrame, key: str, label: str, rows: int) -> tuple[list[tuple[str, int]], float]:
+    """At most about ``rows`` labelled texts of each class, chosen by a hash of the key, and what an ordinary one of them weighs.
+
+    The weight brings the sample back to the classes' shares among all labels.
+    """
     spark = documents.sparkSession
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"))
     known = known.where(~common.held_out(F.col(key))).groupBy(key).agg(F.max("_y").alias("_y"))
@@ -154,7 +162,9 @@ def sample(documents: DataFrame, labels: DataFrame, key: str, label: str, rows:
     chosen = known.where(chance < share)
     # About ``rows`` keys of each class: few enough to send to every task, so that no text is shuffled.
     got = texts.join(F.broadcast(chosen), key).select("text", "_y", F.xxhash64("text").alias("_h")).collect()
-    return [(r.text, r._y) for r in sorted(got, key=lambda r: (r._h, r.text))]
+    kept = {y: min(1.0, rows / n) for y, n in counts.items()}
+    weight = kept.get(1, 1.0) / kept.get(0, 1.0)
+    return [(r.text, r._y) for r in sorted(got, key=lambda r: (r._h, r.text))], weight
 
 
 def classify(
@@ -168,8 +178,8 @@ def classify(
     the lowest step's probability; without toxic labels every score is 0.
     Repeated rows are scored one by one; other columns are neither read nor kept.
     """
-    known = sample(documents, labels, key, label, rows)
-    model = train([t for t, y in known if y == 1], [t for t, y in known if y == 0])
+    known, weight = sample(documents, labels, key, label, rows)
+    model = train([t for t, y in known if y == 1], [t for t, y in known if y == 0], weight)
 
     def rows_of(keys: list, texts: list) -> dict:
         return {key: keys, "score": [model.score(t) for t in texts]}

@@ -67,8 +67,10 @@ def test_toxicity_edge_cases(spark, docs, edge_texts):
 
 def test_isotonic_steps_rise():
     rng = random.Random(1)
-    steps, chances = toxicity.isotonic([(x := rng.random(), int(rng.random() < x)) for _ in range(500)])
+    steps, chances = toxicity.isotonic([(x := rng.random(), int(rng.random() < x), 1.0) for _ in range(500)])
     assert steps == sorted(steps) and chances == sorted(chances)
+    heavy = toxicity.isotonic([(0.0, 0, 9.0), (0.0, 1, 1.0)])[1][0]
+    assert heavy < 0.15
 
 
 def brute_statistics(text):
