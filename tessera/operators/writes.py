@@ -74,8 +74,9 @@ def apply_log(entries: DataFrame, ops: DataFrame) -> DataFrame:
     names = F.when(F.col("op") == "write", F.map_keys("fields")).when(F.col("op") == "merge", F.col("window"))
     touch = log.select("entity", "seq", "fields", F.explode(names).alias("field"))
     touch = touch.select("entity", "seq", "field", F.col("fields")[F.col("field")].alias("value"))
-    touch = touch.join(ends.select("entity", "_reset"), "entity").where("_reset IS NULL OR seq >= _reset")
-    final = touch.groupBy("entity", "field").agg(F.max_by("value", "seq").alias("value")).where("value IS NOT NULL")
+    # The last touch of a field decides it, or the reset after it: one row of each field meets the resets.
+    final = touch.groupBy("entity", "field").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    final = final.join(ends.select("entity", "_reset"), "entity").where("value IS NOT NULL AND (_reset IS NULL OR seq >= _reset)")
     kept = final.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
     made = (
         ends.where("_last.op <> 'delete'").join(kept, "entity", "left")
