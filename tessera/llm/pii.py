@@ -23,8 +23,18 @@ _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 _DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 _CARD = r"(?<![\w-])(?:\d{4}[ -]){3}\d{1,7}(?![\w-])|(?<![\w-])\d{13,19}(?![\w-])"
+_NATIONAL = r"(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+#: Looks back on 7 to 15 digits behind a plus, written out: a look-behind takes no repeated groups of open length.
+_COUNTED = r"(?<=\+" + r"\d[ .()-]{0,3}" * 7 + r"(?:\d[ .()-]{0,3})?" * 8 + ")"
+#: What a group behind seven digits of a phone number must not begin: another value, a decimal, a time.
+_NEXT = rf"(?:{_IP}|{_DATE}|{_SSN}|(?:{_CARD})(?![ -]\d{{4}}(?!\w))|{_NATIONAL}|(?<= )\d{{1,4}}(?:[,:/]\d|\.\d(?!\d)))"
+_GROUP = rf"[ .-](?!{_COUNTED}{_NEXT})\d{{2,4}}"
+_ABROAD = rf"(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:{_GROUP}){{1,3}}(?!\w)"
+#: Country codes whose numbers have ten digits: a further group behind a space is no part of them.
+_TEN = r"(?![.-]\d)(?<=\+(?:1|7|44)(?:[ .-]?\(0\))?" + r"[ .()-]{0,3}\d" * 10 + ")"
+#: Each alternative tries fewer groups until the count of digits is right; a number has 7 to 15.
+_PHONE = rf"{_ABROAD}{_TEN}|{_ABROAD}{_COUNTED}|(?<![\w+])\(\d{{3}}\)[ .-]?\d{{3}}[ .-]\d{{4}}(?!\w)|{_NATIONAL}"
 _SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
 #: One pass over a text finds all kinds; the earlier alternative wins.
 PATTERN = "|".join([_EMAIL, _SECRET, _IP, _DATE, _SSN, _CARD, _PHONE])

@@ -118,6 +118,22 @@ def test_pseudonyms_keep_their_format(spark):
     assert re.search('"(.*)"', got[7])[1] == digits_by_hand("04dbebab91ab85687d33eeaaf9ac699e1188f962", "k", "secret", 16)
 
 
+def test_phone_ends_before_the_next_number(spark):
+    phones = ["+1 (826) 555-4081", "+44 20 7946 0958", "+49 30 1234 5678", "+7 (495) 123-45-67"]
+    behind = ["190.137.223.204", "123-45-6789", "4417 7442 8035 1547", "2024-02-29", "212-555-0123", "12:30", "12.5", "3,50"]
+    texts = [*phones, *behind, *[f"{p} {b}" for p in phones for b in behind], *[f"{p} {n}" for p in phones[:2] for n in ("19", "2024", "190.13", "12 34 56")]]
+    texts += ["+1 (826) 555-4081-190", "+49 30-1234 5678", "+49 30 123-45-6789", "+1 (8261) 555-4081", "+123 (4567) 8901 2345 6789", "+1 826 555 4081-190.137.223.204"]
+    got = dict(zip(texts, [r.text for r in pii.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "k").collect()], strict=True))
+    assert all(got[p] != p for p in phones) and all(got[b] != b for b in behind[:5])
+    assert all(got[f"{p} {b}"] == f"{got[p]} {got[b]}" for p in phones for b in behind)
+    assert all(got[f"{p} {n}"] == f"{got[p]} {n}" for p in phones[:2] for n in ("19", "2024", "190.13", "12 34 56"))
+    # Groups tied to a number stay part of it, also where its format is none of the country's; of too many digits the first go.
+    whole = {t: t[: len(re.match(r"\+\d+", t)[0])] for t in texts[-6:-2]}
+    assert all(all(g not in got[t][len(c) :] for g in re.findall(r"\d{4}", t[len(c) :])) for t, c in whole.items())
+    assert "4567" not in got[texts[-2]] and got[texts[-2]].endswith(" 6789") and "2345 " not in got[texts[-2]]
+    assert "555 4081" not in got[texts[-1]] and got[texts[-1]].endswith("-" + got["190.137.223.204"])
+
+
 def test_digits_are_permuted(spark):
     for radix, n in ((10, 1), (10, 3), (16, 2)):
         every = [np.base_repr(i, radix).lower().zfill(n) for i in range(radix**n)]
