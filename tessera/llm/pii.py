@@ -35,7 +35,7 @@ _ABROAD = rf"(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:{_GR
 _TEN = r"(?![.-]\d)(?<=\+(?:1|7|44)(?:[ .-]?\(0\))?" + r"[ .()-]{0,3}\d" * 10 + ")"
 #: Each alternative tries fewer groups until the count of digits is right; a number has 7 to 15.
 _PHONE = rf"{_ABROAD}{_TEN}|{_ABROAD}{_COUNTED}|(?<![\w+])\(\d{{3}}\)[ .-]?\d{{3}}[ .-]\d{{4}}(?!\w)|{_NATIONAL}"
-_SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+_SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 #: One pass over a text finds all kinds; the earlier alternative wins.
 PATTERN = "|".join([_EMAIL, _SECRET, _IP, _DATE, _SSN, _CARD, _PHONE])
 #: Days of the dates that are permuted, 1900-01-01 to 2099-12-31: 319 * 229.
@@ -127,13 +127,19 @@ def _cases(m: str, key: str) -> list[tuple[str, str]]:
     )
     local = f"substring_index({m}, '@', 1)"
     mail = f"concat({_refill(local, permuted(f"lower(regexp_replace({local}, '[^A-Za-z0-9]', ''))", 36, key, "'mail'"), '[A-Za-z0-9]')}, '@', substring_index({m}, '@', -1))"
+    # Both spellings have one pseudonym; of a mixed one, capitals stand where they stood.
+    secret = _let(
+        permuted(f"lower({m})", 16, key, "'secret'"), "p",
+        f"case when {m} = lower({m}) then p when {m} = upper({m}) then upper(p) "
+        f"else array_join(zip_with(split({m}, ''), split(p, ''), (a, b) -> if(a rlike '[A-F]', upper(b), b)), '') end",
+    )
     date = f"try_cast({m} as date)"
     country = f"regexp_extract({m}, '^[+][0-9]{{1,3}}', 0)"
     rest = f"substring({m}, length({country}) + 1)"
     phone = f"concat({country}, {_refill(rest, permuted(f"regexp_replace({rest}, '[^0-9]', '')", 10, key, "'phone'"), '[0-9]')})"
     return [
         (f"contains({m}, '@')", mail),
-        (f"{m} rlike '^[0-9a-f]{{32,64}}$'", permuted(m, 16, key, "'secret'")),
+        (f"{m} rlike '^[0-9A-Fa-f]{{32,64}}$'", secret),
         (f"{m} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$'", _let(_octets(m), "o", f"if(array_max(o) < 256, {ip}, {m})")),
         (f"{m} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'", _let(f"datediff({date}, date'1900-01-01')", "n", f"if(n between 0 and {_DAYS_A * _DAYS_B - 1}, {day}, {m})")),
         (f"{m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'", _refill(m, permuted(digits, 10, key, "'ssn'"), "[0-9]")),

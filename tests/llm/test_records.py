@@ -134,6 +134,19 @@ def test_phone_ends_before_the_next_number(spark):
     assert "555 4081" not in got[texts[-1]] and got[texts[-1]].endswith("-" + got["190.137.223.204"])
 
 
+def test_secrets_in_either_case_stay_linked(spark):
+    low = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    mixed = low[:20].upper() + low[20:]
+    frame = spark.createDataFrame([(f"k = {t};",) for t in (low, low.upper(), mixed, "7" * 32, low.upper()[:31], low.upper() + "G")], "text string").coalesce(1)
+    rows = pii.pseudonymised(frame, "k").collect()
+    got = [r.text[4:-1] for r in rows]
+    assert [r.n_replaced for r in rows] == [1, 1, 1, 1, 0, 0] and got[4:] == [low.upper()[:31], low.upper() + "G"]
+    assert got[0] == digits_by_hand(low, "k", "secret", 16) and got[1] == got[0].upper()
+    assert got[2].lower() == got[0] and got[2] != mixed and re.fullmatch("[0-9A-F]{40}", got[1])
+    assert [c for a, c in zip(mixed, got[2], strict=True) if not a.isupper() and c.isupper()] == []
+    assert got[3] == digits_by_hand("7" * 32, "k", "secret", 16)
+
+
 def test_digits_are_permuted(spark):
     for radix, n in ((10, 1), (10, 3), (16, 2)):
         every = [np.base_repr(i, radix).lower().zfill(n) for i in range(radix**n)]
