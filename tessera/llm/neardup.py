@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -265,15 +265,32 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     Texts are linked if 100 * |A and B| >= percent * |A or B| for their sets of
     ``size``-word shingles; a text with fewer words is one shingle. Null, empty
     and wordless texts have none and are linked with nothing. component_id is the
-    smallest key reachable. Repeated rows are copies with one key: they share its
+    smallest key reachable. Rows alike in key and text are copies that share one
     fate. Where keys repeat or are null, rows are told apart by a hash of key and
-    text. Other columns are neither read nor kept.
+    text; of a group's unlike texts under its smallest key one is kept, null is the
+    largest key. Other columns are neither read nor kept.
     """
-    rows = documents.select(F.col(key).alias("key"), "text")
+    found = _grouped(documents, _clash(documents, key), size, percent, key, piece)
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _clash(documents: DataFrame, key: str) -> bool:
+    """Whether keys repeat or are null."""
+    return not documents.groupBy(F.col(key).alias("key")).count().where("count > 1 OR key IS NULL").isEmpty()
+
+
+def _row_id(documents: DataFrame, clash: bool, key: str) -> tuple[Column, bool]:
+    """What tells rows apart: a hash of key and text, or the key itself where it does; and whether it is the hash."""
+    hashed = clash or dict(documents.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint")
+    # A null leaves a hash as it was: its place is hashed too.
+    return F.xxhash64(F.col(key).isNull(), key, "text") if hashed else F.col(key).cast("long"), hashed
+
+
+def _grouped(documents: DataFrame, clash: bool, size: int, percent: int, key: str, piece: int) -> DataFrame:
+    """(id, key, n, component_id, kept) of every row: see groups."""
+    made, hashed = _row_id(documents, clash, key)
+    rows = documents.select(F.col(key).alias("key"), "text", made.alias("id"))
     key_type = dict(rows.dtypes)["key"]
-    clash = not rows.groupBy("key").count().where("count > 1 OR key IS NULL").isEmpty()
-    hashed = clash or key_type not in ("bigint", "int", "smallint", "tinyint")
-    rows = rows.withColumn("id", F.xxhash64("key", "text") if hashed else F.col("key").cast("long"))
     base = common.stored(_signed(rows, size, key_type), "signatures")
     classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("class"))
     classes = common.stored(classes, "classes")
@@ -300,22 +317,22 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     named = named.select("id", "key", "n", F.coalesce("group", "id").alias("group"))
     if hashed:
         named = common.stored(named, "named")
-        least = named.groupBy("group").agg(F.min("key").alias("component_id"))
-        named = named.join(least, "group")
-    else:
-        # Keys are their own ids: the smallest node of a component is its smallest key.
-        named = named.withColumn("component_id", F.col("group").cast(key_type))
-    kept = F.col("key").eqNullSafe(F.col("component_id"))
-    return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+        first = F.min_by("id", F.struct(F.col("key").isNull(), "key", "id"))
+        least = named.groupBy("group").agg(F.min("key").alias("component_id"), first.alias("_first"))
+        return named.join(least, "group").select("id", "key", "n", "component_id", (F.col("id") == F.col("_first")).alias("kept"))
+    # Keys are their own ids: the smallest node of a component is its smallest key.
+    named = named.withColumn("component_id", F.col("group").cast(key_type))
+    return named.select("id", "key", "n", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
 
 def keep(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, in its own columns: the one with the smallest doc_id; of repeated rows, one."""
-    found = groups(documents, size, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = common.packed(documents, F.col("doc_id").alias("_key"))
-    out = rows.join(found, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = not rows.groupBy("_key").count().where("count > 1").isEmpty()
-    return (out.dropDuplicates(["_key"]) if repeated else out).select("_row.*")
+    """One document of each group, in its own columns: the one with the smallest doc_id, null the largest; of rows alike in doc_id and text, one."""
+    clash = _clash(documents, "doc_id")
+    found = _grouped(documents, clash, size, percent, "doc_id", PIECE).where("kept").select(F.col("id").alias("_kept"), F.col("key").alias("_of")).distinct()
+    rows = common.packed(documents, _row_id(documents, clash, "doc_id")[0].alias("_id"), F.col("doc_id").alias("_key"))
+    same = F.col("_id") == F.col("_kept")
+    out = rows.join(found, same & F.col("_key").eqNullSafe(F.col("_of")) if clash else same, "left_semi")
+    return (out.dropDuplicates(["_id", "_key"]) if clash else out).select("_row.*")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
-MAGIC, BLOCK = b"TPFR", 256
+MAGIC, BLOCK = b"TPF2", 256
 _HEAD = struct.Struct("<QBH")
 #: Offsets up to this percentile fit the packed width; larger ones are exceptions.
 PERCENTILE = 95
@@ -126,21 +126,22 @@ def decode(data: memoryview, first: int = 0, last: int | None = None) -> tuple[n
     return out.reshape(-1)[first - lo * BLOCK : last - lo * BLOCK], used
 
 
-def write_shard(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
-    """A shard: header, documents' ids (as 64-bit patterns) and token counts, and all token ids."""
-    parts = [encode(np.array(doc_ids, np.int64).view(np.uint64)), encode(np.array(counts, np.uint64)), encode(ids)]
-    return MAGIC + struct.pack("<3Q", *map(len, parts)) + b"".join(parts)
+def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+    """A shard: header, documents' ids (as 64-bit patterns; nulls come first, the header has their number) and token counts, and all token ids."""
+    nulls = doc_ids.count(None)
+    parts = [encode(np.array(doc_ids[nulls:], np.int64).view(np.uint64)), encode(np.array(counts, np.uint64)), encode(ids)]
+    return MAGIC + struct.pack("<4Q", nulls, *map(len, parts)) + b"".join(parts)
 
 
-def read_shard(shard: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_shard(shard: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     view = memoryview(shard)
     if bytes(view[:4]) != MAGIC:
         raise ValueError("not a token shard")
-    a, b, c = struct.unpack_from("<3Q", view, 4)
-    docs, _ = decode(view[28 : 28 + a])
-    counts, _ = decode(view[28 + a : 28 + a + b])
-    ids, _ = decode(view[28 + a + b : 28 + a + b + c])
-    return docs.view(np.int64), counts.astype(np.int64), ids.astype(np.uint32)
+    nulls, a, b, c = struct.unpack_from("<4Q", view, 4)
+    docs, _ = decode(view[36 : 36 + a])
+    counts, _ = decode(view[36 + a : 36 + a + b])
+    ids, _ = decode(view[36 + a + b : 36 + a + b + c])
+    return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(docs.view(np.int64))]), counts.astype(np.int64), ids.astype(np.uint32)
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -320,7 +321,8 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
     """Encode every text and write shards in ascending order of ``key``; the table of shards as read back.
 
     Rows: part (range of keys), seq (shard in it), first_key, n_docs, n_tokens,
-    before (ids of the part's earlier shards), shard. Null texts count as empty: the end id alone. Texts of a
+    before (ids of the part's earlier shards), shard. Null texts count as empty: the end id alone. Null keys
+    come before all others and stay null. Texts of a
     repeated key follow on each other by their hash. An empty table gives no shard. Other columns are
     neither read nor kept.
     """
@@ -395,7 +397,7 @@ def read(shards: DataFrame, key: str = "doc_id") -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (docs, start + ends - counts, counts, crc)],
+                    [docs, *(pa.array(x, pa.int64()) for x in (start + ends - counts, counts, crc))],
                     [key, "start", "n_tokens", "ids_crc32"],
                 )
 

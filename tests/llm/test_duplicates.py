@@ -170,6 +170,22 @@ def test_groups_with_null_and_repeated_keys(spark):
     assert {(r.doc_id, r.component_id) for r in got if r.n_shingles > 1} == {(5, 2), (None, 2), (2, 2)}
 
 
+def test_unlike_texts_under_one_key_stay(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(50))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, text("b") + " more"), (None, None), (None, ""),
+        (5, text("c")), (5, text("d")), (5, text("d")), (5, text("d") + " more"), (5, None),
+        # The copy of 7 goes with 3, its other text stays.
+        (3, text("e")), (7, text("e") + " more"), (7, text("f")), (None, text("f") + " more"), (9, text("g")),
+    ]
+    got = [tuple(r) for r in neardup.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    one = lambda key, c: sum(g in ((key, text(c)), (key, text(c) + " more")) for g in got)
+    assert all(one(k, c) == 1 for k, c in ((None, "a"), (None, "b"), (5, "c"), (5, "d"), (3, "e"), (7, "f"), (9, "g")))
+    assert {(None, None), (None, ""), (5, None)} <= set(got) and len(got) == 10
+    found = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) in (10, 11, 12)
+
+
 def test_signatures_agree_with_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))

@@ -221,6 +221,19 @@ def test_shards(spark, docs, edge_texts, monkeypatch):
     assert tokens.encoded(frame.where("false")).count() == 0
 
 
+def test_shards_of_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARD_TOKENS", 4)
+    rows = [(None, "a b"), (3, "c"), (None, "d e f"), (-2, "g"), (None, None), (3, "h i")]
+    got = sorted(tokens.encoded(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, None, -2, 3, 3]
+    plain = tokens.Encoder.of(tokens.vocabulary_path()).tokenizer
+    crc = lambda t: zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(k), crc(t)) for k, t in rows)
+    assert all(r.start + r.n_tokens == after.start for r, after in zip(got, got[1:], strict=False))
+    docs, counts, ids = tokens.read_shard(tokens.write_shard([None, None, -1, 2**62], [1, 2, 1, 1], np.arange(5)))
+    assert (docs.to_pylist(), counts.tolist(), ids.tolist()) == ([None, None, -1, 2**62], [1, 2, 1, 1], [0, 1, 2, 3, 4])
+
+
 def test_bad_shard():
     with pytest.raises(ValueError):
         tokens.read_shard(b"nope" + bytes(40))
