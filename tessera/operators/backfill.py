@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +44,22 @@ def added(new: Column, old: Column) -> Column:
     return F.transform_values(new, add)
 
 
+def _wrapped_sum(a: Column, b: Column) -> Column:
+    """a + b of 64-bit integers, which wraps around."""
+    half = F.lit(Decimal(2**63))
+    total = a.cast("decimal(20,0)") + b.cast("decimal(20,0)") + half
+    return (F.pmod(total, F.lit(Decimal(2**64))) - half).cast("bigint")
+
+
 def doubled(new: Column, old: Column, copies: Column) -> Column:
-    """What ``copies`` equal rows in one run come to in the literal behaviour: (old + new) * 2 ** (copies - 1) for int fields held before."""
+    """What ``copies`` equal rows in one run come to in the literal behaviour: (old + new) * 2 ** (copies - 1) for int fields, wrapped around at 64 bits as there."""
+    times = (copies - 1).cast("int")
 
     def grow(k: Column, v: Column) -> Column:
-        base = v.i + F.coalesce(F.when(old[k].type == "int", old[k].i), F.lit(0))
-        return F.when(v.type == "int", int_value(base * F.pow(F.lit(2.0), copies - 1).cast("bigint"))).otherwise(v)
+        base = _wrapped_sum(v.i, F.coalesce(F.when(old[k].type == "int", old[k].i), F.lit(0)))
+        # A shift takes its distance modulo 64.
+        grown = F.when(times < 64, F.call_function("shiftleft", base, times)).otherwise(F.lit(0).cast("bigint"))
+        return F.when(v.type == "int", int_value(grown)).otherwise(v)
 
     return F.transform_values(new, grow)
 

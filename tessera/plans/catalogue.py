@@ -464,6 +464,13 @@ def backfill_compound(spark: SparkSession, d: str) -> DataFrame:
     return few.join(old, "entity", "left").select("entity", value.alias("fields")).select("entity", field("active_days", "i").alias("total"))
 
 
+@query()
+def backfill_compound_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every copy of a row compounds, through the run itself and wrapped around at 64 bits as there; SQL's integers do not wrap."""
+    _, decided = backfill.run(profile(spark, d), counters(spark, d), "user_profile-v3", AT, compat=True)
+    return decided.select("entity", field("active_days", "i").alias("total"))
+
+
 @query(
     "SELECT seq, entity, CAST(sum(x) OVER (PARTITION BY entity, island ORDER BY seq) AS BIGINT) AS total FROM (SELECT *, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY seq) AS island FROM (SELECT seq, entity, CASE WHEN field = 'click' THEN seq % 50 END AS x FROM oplog))",
     OPLOG,

@@ -165,3 +165,25 @@ def test_delete_is_idempotent(spark):
     keys = spark.createDataFrame([("a",), ("a",), ("zz",)], "entity string")
     assert [r.entity for r in writes.delete(start, keys).collect()] == ["b"]
     assert start.count() == 2 and start.where(F.col("entity") == "a").count() == 1
+
+
+def test_literal_backfill_compounds_without_a_cap(spark):
+    from collections import Counter
+
+    from tessera.plans import adapters, catalogue
+
+    d = "/root/testdata/sf0.1"
+    held = {r.entity: r.p for r in adapters.profile(spark, d).selectExpr("entity", "fields['active_days'].i AS p").collect()}
+    rows = adapters.counters(spark, d).selectExpr("row_no", "entity", "fields['active_days'].i AS x").collect()
+    copies, first = Counter(r.entity for r in rows), {}
+    for r in sorted(rows, key=lambda r: r.row_no):
+        first.setdefault(r.entity, r.x)
+    wanted = {}
+    for e, x in first.items():
+        value, row = held.get(e) or 0, x
+        for _ in range(copies[e]):
+            # The row's map is changed in place: the next copy adds what this one came to.
+            value = row = (value + row + 2**63) % 2**64 - 2**63
+        wanted[e] = value
+    got = {r.entity: r.total for r in catalogue.QUERIES["backfill_compound_all"](spark, d).collect()}
+    assert got == wanted and max(copies.values()) > 65 and any(v < 0 for v in wanted.values())
