@@ -7,16 +7,22 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts are long, so batches are far below Spark's default.
-BATCH_ROWS = 512
+#: Rows and bytes of text that an operator's function works on at once.
+BATCH_ROWS, BATCH_BYTES = 512, 8_000_000
+#: Most values that are dealt apart as hot ones, and rows that a hot one has at least.
+HOT_VALUES, HOT_ROWS = 5_000, 1_000
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of this machine import this package from where the driver has it."""
+    """Let Python workers of this machine import this package from where the driver has it; a cluster of several gets it by ``--py-files``."""
+    if not spark.sparkContext.master.startswith("local"):
+        return
     root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in held.get("PYTHONPATH", "").split(os.pathsep):
         held["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held.get("PYTHONPATH")]))
@@ -27,21 +33,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
-    importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def pieces(batches: Iterator[pa.RecordBatch], text: int, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows`` rows and about ``size`` bytes of column ``text``, whatever the session's batches are; a longer text is a piece of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or one of our own where none is set."""
+    """The folder that driver and executors share: the cluster's, or one of our own on a single machine where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
     if not found:
-        # Only a session without the setting (tests, one machine) comes here.
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # Driver and executors are one process here.
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -49,8 +65,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The application's folder of intermediate tables in the shared one."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; lazy results of operators that were not read yet go with them."""
+    drop(spark, scratch_root(spark))
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -61,6 +92,23 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """``left`` with the columns of ``right``, one row for each ``on`` there at most, or nulls.
+
+    Values of ``on`` that hold many rows of ``left`` meet their row by a broadcast,
+    of HOT_VALUES rows at most as each holds more than that part of all rows;
+    all others by a merge join. Null meets nothing. ``counts``: rows of each value, if known.
+    """
+    counts = left.groupBy(*on).count() if counts is None else counts
+    least = max(HOT_ROWS, (counts.agg(F.sum("count").alias("n")).first().n or 0) // HOT_VALUES)
+    hot = stored(counts.where(F.col("count") > least).select(*on), "hot")
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), on, "left")
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left")
+    many = marked.where("__hot").join(F.broadcast(right.join(F.broadcast(hot), on)), on, "left")
+    return many.unionByName(marked.where("__hot IS NULL").join(right.hint("merge"), on, "left")).drop("__hot")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -74,17 +122,16 @@ def packed(df: DataFrame, *columns: str) -> DataFrame:
 def arrow_map(
     df: DataFrame, rows: Callable[[list, list], dict], schema: str, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Run ``rows(keys, texts) -> columns`` over Arrow batches of (key, text); no row order or batch border matters."""
+    """Run ``rows(keys, texts) -> columns`` over pieces of Arrow batches of (key, text); no row order or batch border matters."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
-    small_batches(df.sparkSession)
+    importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                got = rows(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+        for batch in pieces(batches, 1):
+            got = rows(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -154,7 +154,7 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
     schema = _arrow(_ANCHOR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches, 1):
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             found = anchors([(t or "").encode() for t in batch.column(1).to_pylist()])
             if len(found["doc"]):
@@ -235,8 +235,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow(_CONTEXT)
-    for batch in batches:
-        columns: dict[str, list] = {f.name: [] for f in schema}
+    columns: dict[str, list] = {f.name: [] for f in schema}
+    size = 0
+    for batch in common.pieces(batches, 1):
         for key, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             data = (text or "").encode()
             for r in found:
@@ -244,7 +245,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     columns[k].append(r[k])
                 columns["id"].append(key)
                 columns["text"].append(data[r["lo"] : r["lo"] + r["span"] + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+                size += r["span"] + LENGTH
+                # Contexts overlap, so that a text's may be many times its size.
+                if size >= common.BATCH_BYTES:
+                    yield _batch(schema, columns)
+                    columns, size = {f.name: [] for f in schema}, 0
+    if size:
+        yield _batch(schema, columns)
 
 
 def repeated_starts(rows: list[tuple[int, int, int, bool, bytes]]) -> list[tuple[int, int]]:
@@ -328,7 +335,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of frequent classes' contexts as a digest."""
     schema = _arrow("id long, lo int, twice boolean, d1 long, d2 long")
-    for batch in batches:
+    for batch in common.pieces(batches, 6):
         out: dict[str, list] = {f.name: [] for f in schema}
         for i, lo, span, _, _, twice, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             for k in range(span + 1):
@@ -378,18 +385,14 @@ def repeated_spans(
     rows: DataFrame, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS, class_size: int = CLASS_SIZE
 ) -> DataFrame:
     """(id, lo, hi) of repeated bytes of ``rows`` (id, text), ids unlike for unlike texts; spans of one text may overlap."""
-    spark = rows.sparkSession
-    common.small_batches(spark)
     hot, contexts = _frequent(rows, hot_share, hot_rows)
     salted = _dealt(_anchor_rows(rows), hot, contexts)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     met = (
         salted.repartition("cls", "salt").sortWithinPartitions("cls", "salt", "c1", "c2")
         .select("id", "lo", "span", "off", "cls", "salt", "c1", "c2")
         .mapInArrow(_met, "id long, lo int, span short, off short, cls long, salt int, twice boolean, wanted boolean")
     )
     met = common.stored(met, "anchors")
-    common.small_batches(spark)
     wanted = met.where("wanted").select("id", "lo", "span", "off", "cls", "twice")
     # Classes of more contexts than a task should sort take another road; their number is known exactly here.
     large = common.stored(wanted.groupBy("cls").count().where(F.col("count") > class_size).select("cls"), "large-classes")
@@ -404,7 +407,6 @@ def repeated_spans(
     columns = ["id", "lo", "span", "off", "cls", "twice", "text"]
     if some:
         texts = common.stored(texts, "contexts")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     small = texts.where("NOT large").repartition("cls").sortWithinPartitions("cls").select(*columns)
     found = small.mapInArrow(_sorted_out, "id long, lo int, hi int")
     if some:
@@ -437,11 +439,13 @@ def _cut(text: str | None, spans: list) -> tuple[bytes, int, int, list[tuple[int
 def deduplicated(documents: DataFrame, key: str = "doc_id", **limits) -> DataFrame:
     """(key, kept binary, n_bytes, n_removed, spans) of every row of ``documents``.
 
-    Null texts count as empty; texts under LENGTH bytes are never cut. Repeated
-    rows are copies of each other. Where keys repeat or are null, rows are told
-    apart by a hash of key and text. Other columns are neither read nor kept.
+    Null texts count as empty; texts under LENGTH bytes are never cut. Very long
+    texts are hashed in parts of SCAN_BYTES and cut whole. Repeated rows are copies
+    of each other, and of equal strings none is spared. Where keys repeat or are
+    null, rows are told apart by a hash of key and text. An empty table gives no
+    row. Other columns are neither read nor kept, so that no name clashes.
     """
-    spark = documents.sparkSession
+    common.importable(documents.sparkSession)
     rows = documents.select(F.col(key).alias("_k"), "text")
     clash = rows.groupBy("_k").count().where("count > 1 OR _k IS NULL")
     unlike = not clash.isEmpty() or dict(rows.dtypes)["_k"] not in ("bigint", "int", "smallint", "tinyint")
@@ -453,7 +457,7 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", **limits) -> DataFra
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches, 1):
             keys, texts, found = (batch.column(i).to_pylist() for i in range(3))
             done = [_cut(t, s) for t, s in zip(texts, found, strict=True)]
             columns = [
@@ -462,7 +466,6 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", **limits) -> DataFra
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    common.small_batches(spark)
     return rows.join(cuts.hint("merge"), "id", "left").select("_k", "text", "spans").mapInArrow(run, schema)
 
 

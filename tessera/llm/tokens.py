@@ -28,6 +28,8 @@ _HEAD = struct.Struct("<QBH")
 PERCENTILE = 95
 #: Tokens after which a shard is closed, texts of a partition in bytes, and pieces that a worker remembers.
 SHARD_TOKENS, PARTITION_BYTES, CACHE = 1_000_000, 24_000_000, 1_200_000
+#: Rows and bytes of text that are encoded at once.
+ENCODE_ROWS, ENCODE_BYTES = 4096, 16_000_000
 #: Pieces whose ids are put together at once.
 GATHER = 100_000
 #: Most partitions of a write: one row for each is broadcast when reading.
@@ -175,7 +177,7 @@ class Encoder:
     other characters, so pieces between such spaces are encoded once and
     remembered, as an array of pieces and one of ids; the library encodes every
     piece that is not remembered, and as a whole every text in which a space has
-    white space beside it.
+    white space beside it or that holds an added token.
     """
 
     _shared: dict[str, Encoder] = {}
@@ -184,8 +186,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Texts of tokens that the library finds before it parts a text.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tails: dict[str, bytes] = {}
         self._forget()
 
@@ -269,7 +272,8 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        strings = pa.array(texts, pa.large_string())
+        parts = pc.split_pattern(strings, " ")
         bounds = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.flatten()
         first, many = bounds[:-1], np.diff(bounds)
@@ -283,6 +287,8 @@ class Encoder:
         # Heads have no space before them; one that is empty or ends in white space stands beside a space.
         heads = flat.take(pa.array(first)).to_pylist()
         whole = np.array([not h or h[-1].isspace() for h in heads], bool) & (many > 1)
+        for token in self.added:
+            whole |= pc.match_substring(strings, token).to_numpy(zero_copy_only=False)
         beside = piece < 0
         beside[first] = False
         whole |= np.add.reduceat(beside, first) > 0
@@ -322,8 +328,9 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
 
     Rows: part (range of keys), seq (shard in it), first_key, n_docs, n_tokens,
     before (ids of the part's earlier shards), shard. Null texts count as empty: the end id alone. Null keys
-    come before all others and stay null. Texts of a
-    repeated key follow on each other by their hash. An empty table gives no shard. Other columns are
+    come before all others and stay null; a key is an integer, others fail the cast. Texts of a
+    repeated key follow on each other by their hash. An empty table gives no shard. A very long text is
+    encoded whole, alone if it has more than ENCODE_BYTES, and makes one shard however long. Other columns are
     neither read nor kept.
     """
     spark = documents.sparkSession
@@ -347,7 +354,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
                 names,
             )
 
-        for batch in batches:
+        for batch in common.pieces(batches, 1, ENCODE_ROWS, ENCODE_BYTES):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ids, sizes = encoder.encode([t or "" for t in texts])
             at = 0
@@ -366,7 +373,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, key: str = "doc_id")
         if docs:
             yield close()
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    common.importable(spark)
     size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // max(PARTITION_BYTES, -(-size // MAX_PARTS))))
     # Texts of one key may be many: their hashes part them and give them an order.
@@ -401,8 +408,7 @@ def read(shards: DataFrame, key: str = "doc_id") -> DataFrame:
                     [key, "start", "n_tokens", "ids_crc32"],
                 )
 
-    spark = shards.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    common.importable(shards.sparkSession)
     placed = shards.select("part", "before", "shard").join(F.broadcast(index(shards)), "part")
     return placed.select((F.col("start") + F.col("before")).alias("start"), "shard").mapInArrow(documents, schema)
 
