@@ -1,8 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-The windows of all test items, over normalised words, become the automaton's
-patterns; every text is scanned once. Hits are found in the normalised text and
-mapped back to words and to character offsets of the original.
+Chunks of all test items, over normalised words, become the automaton's
+patterns; every text is scanned once. Hits are found in the normalised text,
+extended to whole windows, and mapped back to words and to character offsets of
+the original.
 """
 
 from __future__ import annotations
@@ -10,19 +11,20 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of item text that one automaton may hold; a larger benchmark is split into several, each over all texts.
-BLOCK_BYTES = 16_000_000
+#: Bytes of item text in one automaton, which takes about 45 bytes of memory for each; a larger benchmark goes block by block over all texts.
+BLOCK_BYTES = 8_000_000
 
 # ASCII letters are lower-cased, other ASCII that is no digit becomes a space; all other bytes stay.
 _FOLD = bytes(
@@ -36,36 +38,46 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def patterns(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[str, list[str]]:
-    """Window text, with a space at both ends, to the ids of the items that have it."""
-    found: dict[str, set[str]] = defaultdict(set)
-    for key, text in items:
-        ws = words(text)
-        for i in range(max(1, len(ws) - window + 1) if ws else 0):
-            found[(b" " + b" ".join(ws[i : i + window]) + b" ").decode("latin-1")].add(str(key))
-    return {k: sorted(v) for k, v in found.items()}
-
-
 class Scanner:
-    """Pickles as its patterns; each process builds the automaton once and keeps it by the patterns' digest."""
+    """Finds windows of items in texts by one automaton.
+
+    Every window of ``window`` words holds one of an item's aligned chunks of half
+    as many words, so that the automaton has each word of an item once instead of
+    in every window; a chunk that is met is extended word by word, and only runs of
+    a whole window or more are hits. An item shorter than a window is one pattern.
+    Pickles as its items; a process builds the automaton once and keeps the last one.
+    """
 
-    _built: dict[str, object] = {}
+    _built: dict[str, tuple] = {}
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.patterns = patterns(items, window)
-        self.digest = hashlib.sha256(repr(sorted(self.patterns.items())).encode()).hexdigest()
-
-    def automaton(self):
-        if (key := self.digest) not in self._built:
-            if len(self._built) > 8:
-                self._built.clear()
-            made = ahocorasick.Automaton()
-            for text, ids in self.patterns.items():
-                made.add_word(text, (text.count(" ") - 1, ids))
-            if self.patterns:
+        self.window, self.items = window, defaultdict(list)
+        for key, text in items:
+            if ws := words(text):
+                self.items[b" ".join(ws).decode("latin-1")].append(key)
+        self.items = dict(self.items)
+        self.digest = hashlib.sha256(repr((window, sorted((t, sorted(map(str, k))) for t, k in self.items.items()))).encode()).hexdigest()
+
+    def automaton(self) -> tuple:
+        """The automaton, each item's words, and its ids."""
+        if self.digest not in self._built:
+            self._built.clear()
+            made, known, spelled = ahocorasick.Automaton(), [], {}
+            size = (self.window + 1) // 2
+            for n, text in enumerate(self.items):
+                ws = [spelled.setdefault(w, w) for w in text.split(" ")]
+                known.append(ws)
+                step, starts = (size, range(0, len(ws) - size + 1, size)) if len(ws) >= self.window else (len(ws), [0])
+                for at in starts:
+                    pattern = f" {' '.join(ws[at : at + step])} "
+                    if pattern in made:
+                        made.get(pattern)[1].append((n, at))
+                    else:
+                        made.add_word(pattern, (step, [(n, at)]))
+            if known:
                 made.make_automaton()
-            self._built[key] = made
-        return self._built[key]
+            self._built[self.digest] = (made, known, [[str(k) for k in keys if k is not None] for keys in self.items.values()])
+        return self._built[self.digest]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, merged [from, to) word spans that windows cover, and the ids of their items."""
@@ -75,15 +87,33 @@ class Scanner:
         n = flat.count(b" ") + 1
         hits: list[tuple[int, int]] = []
         ids: set[str] = set()
-        starts = None
-        if self.patterns:
-            for end, (size, items) in self.automaton().iter(f" {flat.decode('latin-1')} "):
-                if starts is None:
-                    # The k-th space of the padded text stands before word k.
-                    starts = np.flatnonzero(np.frombuffer(b" " + flat + b" ", np.uint8) == 32)
-                last = int(np.searchsorted(starts, end))
-                hits.append((last - size, last))
-                ids.update(items)
+        if not self.items:
+            return n, hits, ids
+        made, known, names = self.automaton()
+        starts = own = None
+        #: By item and difference of places, how far a run was followed.
+        seen: dict[tuple[int, int], int] = {}
+        padded = f" {flat.decode('latin-1')} "
+        for end, (size, places) in made.iter(padded):
+            if starts is None:
+                # The k-th space of the padded text stands before word k.
+                starts = np.flatnonzero(np.frombuffer(padded.encode("latin-1"), np.uint8) == 32)
+                own = padded[1:-1].split(" ")
+            last = int(np.searchsorted(starts, end))
+            for item, at in places:
+                ws, away = known[item], last - size - at
+                if seen.get((item, away), -1) >= last:
+                    continue
+                a, b = last - size, last
+                while a > max(0, away) and own[a - 1] == ws[a - 1 - away]:
+                    a -= 1
+                top = min(n, len(ws) + away)
+                while b < top and own[b] == ws[b - away]:
+                    b += 1
+                seen[item, away] = b
+                if b - a >= min(self.window, len(ws)):
+                    hits.append((a, b))
+                    ids.update(names[item])
         return n, merged(hits), ids
 
 
@@ -110,12 +140,12 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 
 def blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[object, str | None]]]:
-    """Items in blocks of bounded size, streamed to the driver block by block."""
+    """Items in blocks of bounded size, streamed to the driver, which holds one of them at a time."""
     block: list[tuple[object, str | None]] = []
     size = 0
     for row in benchmark.select(F.col(key).alias("k"), F.col(text).alias("t")).toLocalIterator():
         block.append((row.k, row.t))
-        size += len(row.t or "") * 2
+        size += len((row.t or "").encode())
         if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -143,23 +173,37 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     ``spans`` are [start, end) character offsets of contaminated passages in the
     original text. Null and wordless texts have no words and no hits, null and
-    wordless items no windows; an empty benchmark leaves every text clean.
+    wordless items no windows, items with a null id hit without being named; an
+    empty benchmark leaves every text clean, an empty table gives no row. Very long
+    texts are scanned whole, one at a time. Repeated rows are judged one by one.
+    A benchmark of several blocks takes a written pass over the texts for each.
     Columns of either side other than key and text are neither read nor kept.
     """
-    common.small_batches(documents.sparkSession)
-    scanners = [Scanner(b, window) for b in blocks(benchmark, "item_id", "text")] or [Scanner([])]
-    each = [F.col(f"_r{i}") for i in range(len(scanners))]
-    found = documents.select(key, *[_scan(s)(F.col("text")).alias(f"_r{i}") for i, s in enumerate(scanners)])
-    words, items, spans = (F.concat(*[r[name] for r in each]) for name in ("words", "items", "spans"))
-    if len(each) > 1:
-        words, items, spans = _union(words), F.array_sort(F.array_distinct(items)), _union(spans)
-    out = found.select(key, each[0].n_words.alias("n_words"), words.alias("words"), items.alias("items"), spans.alias("spans"))
+    common.importable(documents.sparkSession)
+    kind = "struct<n_words:bigint,words:array<struct<a:bigint,b:bigint>>,items:array<string>,spans:array<struct<a:bigint,b:bigint>>>"
+    found = documents.select(F.col(key).alias("key"), "text", F.lit(None).cast(kind).alias("held"))
+    before = False
+    for block in chain(blocks(benchmark, "item_id", "text"), [[]]):
+        if not block and before:
+            break
+        if before:
+            found = common.stored(found, "contamination")
+        r, held = _scan(Scanner(block, window))(F.col("text")), F.col("held")
+        found = found.select("key", "text", "held", r.alias("now"))
+        now = F.col("now")
+        if before:
+            now = F.struct(
+                now.n_words.alias("n_words"), _union(F.concat(held.words, now.words)).alias("words"),
+                F.array_sort(F.array_union(held.items, now["items"])).alias("items"), _union(F.concat(held.spans, now.spans)).alias("spans"),
+            )
+        found, before = found.select("key", "text", now.alias("held")), True
+    out = found.select(F.col("key").alias(key), "held.*")
     covered = F.aggregate("words", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
     return out.select(key, "n_words", covered.alias("n_hit"), "items", "spans", (F.size("words") > 0).alias("contaminated"))
 
 
-def _union(spans):
-    """Disjoint spans in order, of sorted or unsorted ones; as many as there were blocks are merged for a text."""
+def _union(spans: Column) -> Column:
+    """Disjoint spans in order, of those that several blocks found in a text."""
     ordered = F.array_sort(spans)
     empty = F.filter(ordered, lambda s: F.lit(False))
     return F.aggregate(
@@ -184,10 +228,16 @@ def _hit(scanner: Scanner):
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents without a benchmark passage, all columns kept; the texts are scanned in place, without a join."""
-    common.small_batches(documents.sparkSession)
+    """Documents without a benchmark passage, all columns kept; the texts are scanned in place, without a join.
+
+    Null, empty and wordless texts stay, very long ones are scanned whole, repeated
+    rows share one fate. A benchmark of several blocks takes a written pass for each.
+    """
+    common.importable(documents.sparkSession)
     out = documents
-    for block in blocks(benchmark, "item_id", "text"):
+    for n, block in enumerate(blocks(benchmark, "item_id", "text")):
+        if n:
+            out = common.stored(out, "decontaminated")
         out = out.where(~_hit(Scanner(block, window))(F.col("text")))
     return out
 

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm import decontaminate, mixing, pii, registry, tokens, urls
 from tessera.llm.common import table
@@ -47,7 +48,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [16_000_000, 40])
+@pytest.mark.parametrize("block", [8_000_000, 40])
 def test_contamination_matches_brute_force(spark, docs, edge_texts, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rng = random.Random(1)
@@ -65,6 +66,37 @@ def test_contamination_matches_brute_force(spark, docs, edge_texts, block, monke
     assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
 
 
+def test_scanner_matches_brute_force():
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice(["a", "b", "\u00e9"][: rng.choice([1, 2, 3])]) for _ in range(n))
+    for _ in range(150):
+        items = [(i, text(rng.choice([0, 1, 2, 9, 10, 11, 14, 25]))) for i in range(rng.randint(0, 5))] + [(None, None)]
+        scanner = decontaminate.Scanner(items)
+        for doc in [text(rng.randint(0, 40)) for _ in range(4)] + [f"{text(7)} {t} {text(3)}" for _, t in items]:
+            n, spans, ids = scanner.scan(doc)
+            assert (n, sum(b - a for a, b in spans), sorted(ids)) == brute_hits(doc, items)
+            assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_automaton_memory_is_bounded():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10))) for _ in range(20_000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(300))) for i in range(400)]
+    scanner = decontaminate.Scanner(items)
+    size = sum(len(t) for _, t in items)
+    assert scanner.automaton()[0].get_stats()["total_size"] < 40 * size
+    # A worker keeps one automaton, whichever blocks it has met.
+    decontaminate.Scanner(items[:3]).automaton()
+    assert len(decontaminate.Scanner._built) == 1
+    assert scanner.scan(f"x {items[7][1]} y")[1:] == ([(1, 301)], {"7"})
+
+
+def test_null_items_and_repeated_rows(spark, docs):
+    bench = spark.createDataFrame([(None, "one two"), (3, "three four"), (3, "five"), (4, "Three, FOUR")], "item_id long, text string")
+    got = [(r.n_hit, r.items, r.contaminated) for r in decontaminate.contamination(docs(["one two", "three four five", "three four five", None, "six"]), bench).orderBy("doc_id").collect()]
+    assert got == [(2, [], True), (3, ["3", "4"], True), (3, ["3", "4"], True), (0, [], False), (0, [], False)]
+
+
 def test_empty_benchmark(spark, docs, edge_texts):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.contamination(docs(edge_texts), none).collect())
@@ -195,12 +227,16 @@ def test_exceptions_are_few_and_blocks_small():
 
 def test_encoder_equals_the_library():
     encoder = tokens.Encoder(tokens.vocabulary_path())
+    fresh = Tokenizer.from_file(tokens.vocabulary_path())
+    assert fresh.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     rng = random.Random(3)
     texts = ["", " ", "  ", "a", "a b", "a  b", " a", "a ", "\n", "a\n b", "a \nb", "it's I'll", "a\u00a0b", "<|endoftext|> x", "x\r\n y", "end. and, so... no,. ."]
-    texts += ["".join(rng.choice(" \n\tab'1!é,.\u3000") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    end = "<|endoftext|>"
+    texts += [f"a {end} b", f"{end}a b", f"a b{end}", f"a b {end}", f"a {end}{end} b", f"a {end} {end}", f"word{end}word, more.", end, end * 2, end[:-1] + " b", f" {end}\n"]
+    texts += ["".join(rng.choice([*" \n\tab'1!é,.\u3000", end]) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
     ids, counts = encoder.encode(texts)
     at = 0
-    for t, e, n in zip(texts, encoder.tokenizer.encode_batch(texts, add_special_tokens=False), counts.tolist(), strict=True):
+    for t, e, n in zip(texts, fresh.encode_batch(texts, add_special_tokens=False), counts.tolist(), strict=True):
         assert ids[at : at + n].tolist() == [*e.ids, 0], repr(t)
         at += n
     assert at == len(ids) and [len(x) for x in encoder.encode([])] == [0, 0]
@@ -208,10 +244,10 @@ def test_encoder_equals_the_library():
 
 def test_shards(spark, docs, edge_texts, monkeypatch):
     monkeypatch.setattr(tokens, "SHARD_TOKENS", 50)
-    frame = docs(edge_texts)
+    frame = docs([*edge_texts, "a <|endoftext|> b"])
     frame = frame.union(frame.where("doc_id = 7"))
     got = sorted(tokens.encoded(frame).collect(), key=lambda r: r.start)
-    plain = tokens.Encoder.of(tokens.vocabulary_path()).tokenizer
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
     rows = sorted((r.doc_id, r.text) for r in frame.collect() if r.text is not None) + [(r.doc_id, "") for r in frame.collect() if r.text is None]
     start = 0
     for r, (key, text) in zip(got, sorted(rows), strict=True):
@@ -226,7 +262,7 @@ def test_shards_of_null_keys(spark, monkeypatch):
     rows = [(None, "a b"), (3, "c"), (None, "d e f"), (-2, "g"), (None, None), (3, "h i")]
     got = sorted(tokens.encoded(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, None, None, -2, 3, 3]
-    plain = tokens.Encoder.of(tokens.vocabulary_path()).tokenizer
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
     crc = lambda t: zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
     assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(k), crc(t)) for k, t in rows)
     assert all(r.start + r.n_tokens == after.start for r, after in zip(got, got[1:], strict=False))
