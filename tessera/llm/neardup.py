@@ -2,23 +2,28 @@
 
 1. Each text becomes its set of word shingles, a digest of it and a min-hash
    signature. Texts with equal sets are one class; one of each goes on.
-2. The forest keeps TREES sorted orders of the signatures. Neighbours in an order
-   that share a prefix of DEPTH values are candidates; where a region is so thin
-   that a text shares that much with nobody, its neighbours by a shorter prefix are.
-   Links of neighbours alone tie the candidates of a region together, so that they
-   grow with the texts and not with the square of a region.
+2. The forest keeps TREES sorted orders of the signatures: in each, a text is the
+   sequence of its DEPTH min-hash values. The longest common prefixes of an order
+   part it into regions, of prefixes as long as the region's density asks for: the
+   shortest from THIN values on that LEAF texts or fewer share. The texts of a
+   region, and each text and its NEAR neighbours by common prefix, are candidates
+   if their sketches, a bit of every value, leave the similarity possible. Texts
+   that candidates tie together in a region are sent on as a tree of links, so that
+   these grow with the texts and not with the square of a region.
 3. Tied texts form blocks. A block's sets meet in one task, where an inverted index
-   counts all intersections; blocks too large for a task are resolved in pieces.
+   counts their intersections; blocks too large for a task are resolved in pieces.
 4. Components of the confirmed links name the groups.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,38 +31,45 @@ from tessera.llm import common
 from tessera.llm import shingles as S
 from tessera.llm.components import connected_components
 
-TREES, DEPTH, THIN = 32, 4, 3
-#: Texts that a task resolves together; a larger block goes piece by piece.
-PIECE = 4096
+#: Orders, values of a text in each, and the shortest prefix that makes candidates.
+TREES, DEPTH, THIN = 24, 8, 3
+#: Texts of a region that are all compared, and neighbours that are compared in any region.
+LEAF, NEAR = 64, 4
+#: Deviations below its mean from which a sketch's agreement rules a pair out: one pair in a thousand million.
+SIGMAS = 6.0
+#: Rows of an order that are looked at together.
+ROWS = 20_000
+#: Shingles that a task resolves together; a larger block goes piece by piece.
+PIECE = 400_000
 
-_BASE = "id long, key {key}, n long, d1 long, d2 long, thin array<long>, deep array<long>"
+_BASE = "id long, key {key}, n long, d1 long, d2 long, tree array<int>, hi array<long>, lo array<long>, sketch array<long>"
+_WORDS = S.VALUES // 64
 
 
-def _prefix_keys(signature: np.ndarray, depth: int, salt: int) -> list[int]:
-    """A number for the first ``depth`` values of each tree's part of the signature."""
-    part = signature.reshape(TREES, S.VALUES // TREES)[:, :depth].astype(np.uint64)
-    h = np.arange(TREES, dtype=np.uint64) + np.uint64(1 + 1000 * salt)
-    for i in range(depth):
-        h = S.mix(h * np.uint64(0x9E3779B97F4A7C15) + part[:, i])
-    return h.view(np.int64).tolist()
+def _trees(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Orders that a set is in, its values in each as two big-endian words, and its sketches.
 
-
-def _keys(hashes: np.ndarray) -> tuple[list[int], list[int]]:
-    thin: list[int] = []
-    deep: list[int] = []
+    Sets of a size that both kinds of signature serve are in the orders of both.
+    """
     kinds = []
     if 0 < len(hashes) <= S.PERMUTED_TO:
-        kinds.append((1, S.permuted_signature(hashes)))
+        kinds.append((0, S.permuted_signature(hashes)))
     if len(hashes) >= S.BINNED_FROM:
-        kinds.append((2, S.binned_signature(hashes)))
-    for salt, signature in kinds:
-        thin += _prefix_keys(signature, THIN, salt)
-        deep += _prefix_keys(signature, DEPTH, salt)
-    return thin, deep
+        kinds.append((1, S.binned_signature(hashes)))
+    none = np.zeros(0, np.int64)
+    if not kinds:
+        return none, none.reshape(0, 2), none
+    trees = np.concatenate([np.arange(TREES) + TREES * kind for kind, _ in kinds])
+    words = np.concatenate([s.astype(">u2").view(">i8").astype(np.int64).reshape(TREES, 2) for _, s in kinds])
+    return trees, words, np.concatenate([S.sketch(s) for _, s in kinds])
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts), kind))
 
 
 def _signed(documents: DataFrame, size: int, key_type: str) -> DataFrame:
-    """One row for each text: shingle count, digest of the set, and a key of each tree's prefixes."""
+    """One row for each text: shingle count, digest of the set, and its places in the orders."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -65,88 +77,156 @@ def _signed(documents: DataFrame, size: int, key_type: str) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches, 2):
             sets = S.shingle_sets(batch.column(2).to_pylist(), size)
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            keys = [_keys(s) for s in sets]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+            places = [_trees(s) for s in sets]
             columns = [
-                batch.column(0), batch.column(1), [len(s) for s in sets],
-                [int.from_bytes(d[:8], "little", signed=True) for d in digests],
-                [int.from_bytes(d[8:], "little", signed=True) for d in digests],
-                [k[0] for k in keys], [k[1] for k in keys],
+                batch.column(0), batch.column(1), [len(s) for s in sets], digests[:, 0], digests[:, 1],
+                _lists([p[0] for p in places], pa.int32()), *(_lists([p[1][:, i] for p in places], pa.int64()) for i in (0, 1)),
+                _lists([p[2] for p in places], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)],
                 schema=arrow,
             )
 
-    common.small_batches(documents.sparkSession)
+    common.importable(documents.sparkSession)
     return documents.select("id", "key", "text").mapInArrow(run, schema)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (thin, deep, id) in order to candidate links; the partition's two first and two last rows with ``edge`` set.
+# ---------------------------------------------------------------- candidates
+
+#: Columns of an order's rows, sorted by the first four: order, values, text, sketch.
+_ORDER = ["tree", "hi", "lo", "id", *[f"s{i}" for i in range(_WORDS)]]
+_FOUND = "kind int, part int, a long, b long, tree int, hi long, lo long, id long, " + ", ".join(f"s{i} long" for i in range(_WORDS))
+
+
+def common_prefixes(tree: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """How many values each row shares with the one before; the first row, and the first of an order, -1."""
+    out = np.full(len(tree), -1, np.int8)
+    if len(tree) > 1:
+        x, y = ((w[1:] ^ w[:-1]).view(np.uint64) for w in (hi, lo))
+        shared = sum(((x >> np.uint64(64 - 16 * k)) == 0).astype(np.int8) for k in range(1, 5))
+        shared += sum(((x == 0) & ((y >> np.uint64(64 - 16 * k)) == 0)).astype(np.int8) for k in range(1, 5))
+        out[1:] = np.where(tree[1:] == tree[:-1], shared, -1)
+    return out
+
+
+def least_agreement(percent: int) -> int:
+    """Bits of the sketches that a pair of the wanted similarity has in common at least."""
+    p = (1 + percent / 100) / 2
+    return math.floor(S.VALUES * p - SIGMAS * math.sqrt(S.VALUES * p * (1 - p)))
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that pairs (a, b) tie each of ``n`` rows to."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def tied(rows: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the texts that candidates tie together among rows of _ORDER."""
+    tree, hi, lo, ids, *sketch = rows
+    n = len(ids)
+    shared = common_prefixes(tree, hi, lo)
+    # A row's region: that of the shortest prefix which no more than LEAF rows share.
+    region, thin = np.full(n, -1, np.int64), np.zeros(0)
+    for depth in range(THIN, DEPTH + 1):
+        run = np.cumsum(shared < depth) - 1
+        thin = run if depth == THIN else thin
+        fits = (np.bincount(run)[run] <= LEAF) & (region < 0)
+        region[fits] = run[fits] * (DEPTH + 1) + depth
+    # The whole sequence is shared by more: such rows are tied in order, without a look at their sketches.
+    dense = np.flatnonzero((region[1:] < 0) & (region[:-1] < 0) & (shared[1:] == DEPTH))
+    found = [(dense, dense + 1)]
+    at = np.arange(n)
+    for k in range(1, min(LEAF, n)):
+        at = at[at + k < n]
+        same = (region[at] == region[at + k]) & (region[at] >= 0)
+        if k <= NEAR:
+            pairs = at[same | (thin[at] == thin[at + k])]
+        else:
+            # Rows whose region ends within k rows have no partner further on.
+            pairs = at = at[same]
+        if not len(pairs) and k > NEAR:
+            break
+        differ = sum(np.bitwise_count((s[pairs] ^ s[pairs + k]).view(np.uint64)).astype(np.int64) for s in sketch)
+        near = pairs[S.VALUES - differ >= least]
+        found.append((near, near + k))
+    a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    root = _roots(n, a, b)
+    moved = np.flatnonzero(root != np.arange(n))
+    return ids[root[moved]], ids[moved]
+
+
+def _ties(least: int):
+    """Rows of _ORDER, sorted, to links (kind 0), the first (1) and last (2) LEAF rows, and the number of rows, as ``a`` (3)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(_FOUND))
 
-    A row is decided once the next one is known, so one row at a time waits.
-    """
-    names = ["edge", "thin", "deep", "a", "b"]
-    types = [pa.int32(), *[pa.int64()] * 4]
-
-    def out(edge: np.ndarray, thin: np.ndarray, deep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((edge, thin, deep, a, b), types, strict=True)], names)
-
-    held: list[np.ndarray] | None = None
-    ends: list[tuple[int, int, int]] = []
-    total = 0
-    last: list[tuple[int, int, int]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [c.to_numpy() for c in batch.columns]
-        total += batch.num_rows
-        for i in range(min(2 - len(ends), batch.num_rows) if len(ends) < 2 else 0):
-            ends.append(tuple(int(c[i]) for c in rows))
-        last = (last + [tuple(int(c[i]) for c in rows) for i in range(max(0, batch.num_rows - 2), batch.num_rows)])[-2:]
+    def out(kind: int, part: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+        columns |= {"kind": np.full(n, kind), "part": np.full(n, part)}
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] | None = None
+        # A region of LEAF rows or fewer that goes on in the next batch has all its rows here among the last ones.
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            rows = [c.to_numpy() for c in batch.columns]
+            if total < LEAF:
+                first = [r[: LEAF - total] for r in rows]
+                yield out(1, part, len(first[0]), **dict(zip(_ORDER, first, strict=True)))
+            total += batch.num_rows
+            if held is not None:
+                rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
+            a, b = tied(rows, least)
+            if len(a):
+                yield out(0, part, len(a), a=a, b=b)
+            held = [r[-LEAF:].copy() for r in rows]
         if held is not None:
-            rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
-        a, b = pair_links(*rows)
-        if len(a):
-            zero = np.zeros(len(a), np.int64)
-            yield out(zero, zero, zero, a, b)
-        # The links of the last two rows are looked at again with the rows to come.
-        held = [r[-2:] for r in rows]
-    if total:
-        rows = list(dict.fromkeys(ends + last))
-        yield out(*(np.array(x, np.int64) for x in zip(*[(1, t, d, i, i) for t, d, i in rows], strict=True)))
-
-
-def pair_links(thin: np.ndarray, deep: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of neighbours in order: by the deep prefix, or by the thin one where either shares no deep prefix with a neighbour."""
-    if len(ids) < 2:
-        return ids[:0], ids[:0]
-    near = deep[1:] == deep[:-1]
-    alone = np.ones(len(ids), bool)
-    alone[1:] &= ~near
-    alone[:-1] &= ~near
-    tied = near | ((thin[1:] == thin[:-1]) & (alone[1:] | alone[:-1]))
-    return ids[:-1][tied], ids[1:][tied]
-
-
-def candidates(trees: DataFrame) -> DataFrame:
-    """(a, b): links of neighbours in every tree. Ranges of the order may cut a region anywhere; their ends meet on the driver, four rows each."""
-    spark = trees.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+            yield out(2, part, len(held[0]), **dict(zip(_ORDER, held, strict=True)))
+            yield out(3, part, 1, a=np.array([total]))
+
+    return run
+
+
+def candidates(orders: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the texts that candidates tie together in each order (rows of _ORDER).
+
+    The orders are cut into ranges. The rows on both sides of a cut meet again, for
+    regions that it parts; only the number of rows of each range reaches the driver.
+    """
+    spark = orders.sparkSession
+    ties = _ties(least_agreement(percent))
+    keys = _ORDER[:4]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = trees.repartitionByRange(parts, "thin", "deep", "id").sortWithinPartitions("thin", "deep", "id")
-    found = common.stored(
-        ordered.select("thin", "deep", "id").mapInArrow(_neighbours, "edge int, thin long, deep long, a long, b long"), "neighbours"
-    )
-    ends = sorted({(r.thin, r.deep, r.a) for r in found.where("edge = 1").collect()})
-    a, b = pair_links(*(np.array([e[i] for e in ends], np.int64) for i in range(3)))
-    links = found.where("edge = 0").select("a", "b")
-    if len(a):
-        links = links.union(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long"))
-    return links.where("a <> b").distinct()
+    ordered = orders.select(*_ORDER).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    found = common.stored(ordered.mapInArrow(ties, _FOUND), "candidates")
+    # Ranges between two of LEAF rows or more share a cut with both.
+    cuts, cut = [], 0
+    for part, n in sorted((r.part, r.a) for r in found.where("kind = 3").select("part", "a").collect()):
+        cuts.append((part, 1, cut))
+        cut += n >= LEAF
+        cuts.append((part, 2, cut))
+    ends = found.where("kind IN (1, 2)").join(F.broadcast(spark.createDataFrame(cuts, "part int, kind int, cut int")), ["part", "kind"])
+    again = ends.select("cut", *_ORDER).distinct().repartition("cut").sortWithinPartitions("cut", *keys)
+    more = again.select(*_ORDER).mapInArrow(ties, _FOUND)
+    return found.where("kind = 0").select("a", "b").union(more.where("kind = 0").select("a", "b")).where("a <> b")
+
+
+# ---------------------------------------------------------------- confirmation
 
 
 def resolve(ids: list[int], sets: list[np.ndarray], percent: int, old: int = 0) -> list[tuple[int, int]]:
@@ -165,6 +245,8 @@ def resolve(ids: list[int], sets: list[np.ndarray], percent: int, old: int = 0)
     root = np.arange(m)
     links: list[tuple[int, int]] = []
     for k in range(m - 1 if not old else m):
+        if (root[max(k + 1, old) :] == root[k]).all():
+            continue
         own = at[end[k] - sizes[k] : end[k]]
         own = own[count[own] > 1]
         if not len(own):
@@ -209,26 +291,24 @@ def _resolver(percent: int):
 
 def _confirmed(tasks: DataFrame, percent: int) -> DataFrame:
     """Links of the sets that meet in a task: rows (task, old, id, set)."""
-    tasks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     met = tasks.select("task", "old", "id", "set").repartition("task").sortWithinPartitions("task")
     return met.mapInArrow(_resolver(percent), "a long, b long")
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
-    """(id, block, size, set) of documents (id, text, block, size)."""
+    """(id, block, size, set) of documents (id, text, block, size), the size being the block's shingles."""
     arrow = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches, 3):
             sets = [s.astype("<u8").tobytes() for s in S.shingle_sets(batch.column(3).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], schema=arrow)
 
-    common.small_batches(documents.sparkSession)
     return documents.select("id", "block", "size", "text").mapInArrow(run, "id long, block long, size long, set binary")
 
 
 def _large(sets: DataFrame, percent: int, piece: int) -> DataFrame:
-    """Links in blocks of more than ``piece`` texts.
+    """Links in blocks of more than ``piece`` shingles.
 
     First each piece meets itself and the block's first piece. Then the texts
     outside the block's largest component so far meet every piece: pairs within
@@ -247,7 +327,7 @@ def _large(sets: DataFrame, percent: int, piece: int) -> DataFrame:
     main = known.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", "component")).alias("component"))
     tied = known.join(main, ["block", "component"]).select("id")
     outside = sets.join(tied, "id", "left_anti").withColumn("part", F.lit(0))
-    sizes = outside.groupBy("block").agg(F.ceil(F.count("*") / piece).cast("int").alias("parts"))
+    sizes = outside.groupBy("block").agg(F.ceil(F.sum(F.octet_length("set") / 8) / piece).cast("int").alias("parts"))
     outside = outside.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int"))
     queries = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     queries = queries.withColumn("old", F.lit(0)).withColumn("task", task(F.lit(1), F.col("part"), F.col("other")))
@@ -268,7 +348,8 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     smallest key reachable. Rows alike in key and text are copies that share one
     fate. Where keys repeat or are null, rows are told apart by a hash of key and
     text; of a group's unlike texts under its smallest key one is kept, null is the
-    largest key. Other columns are neither read nor kept.
+    largest key. Texts of any length are hashed whole; an empty table gives no row.
+    Other columns are neither read nor kept, so that no name clashes.
     """
     found = _grouped(documents, _clash(documents, key), size, percent, key, piece)
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
@@ -292,16 +373,20 @@ def _grouped(documents: DataFrame, clash: bool, size: int, percent: int, key: st
     rows = documents.select(F.col(key).alias("key"), "text", made.alias("id"))
     key_type = dict(rows.dtypes)["key"]
     base = common.stored(_signed(rows, size, key_type), "signatures")
-    classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("class"))
+    classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("class"), F.count("*").alias("count"), F.min("n").alias("n"))
     classes = common.stored(classes, "classes")
     one = base.join(classes.select(F.col("class").alias("id")).hint("merge"), "id", "left_semi")
-    trees = one.select("id", F.explode(F.arrays_zip("thin", "deep")).alias("t")).select("t.thin", "t.deep", "id")
-    blocks = connected_components(candidates(trees))
-    blocks = common.stored(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")), "blocks")
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    wanted = rows.dropDuplicates(["id"]) if hashed else rows
+    one = one.select("id", "sketch", F.explode(F.arrays_zip("tree", "hi", "lo")).alias("t"))
+    # Where a set is in the orders of both kinds, the second kind's sketch follows the first's.
+    second = F.when((F.col("t.tree") >= TREES) & (F.size("sketch") > _WORDS), _WORDS).otherwise(0)
+    orders = one.select("t.tree", "t.hi", "t.lo", "id", *[F.get("sketch", second + i).alias(f"s{i}") for i in range(_WORDS)])
+    blocks = connected_components(candidates(orders, percent))
     # The blocks grow with the texts: never a side to broadcast, also where it is still small.
-    sets = _sets(wanted.join(blocks.join(sizes, "block").hint("merge"), "id"), size)
+    counted = classes.select(F.col("class").alias("id"), "n").hint("merge")
+    blocks = common.stored(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")).join(counted, "id"), "blocks")
+    sizes = blocks.groupBy("block").agg(F.sum("n").alias("size"))
+    wanted = rows.dropDuplicates(["id"]) if hashed else rows
+    sets = _sets(wanted.join(blocks.select("id", "block").join(sizes, "block").hint("merge"), "id"), size)
     large = not sizes.where(F.col("size") > piece).isEmpty()
     if large:
         sets = common.stored(sets, "sets")
@@ -310,16 +395,18 @@ def _grouped(documents: DataFrame, clash: bool, size: int, percent: int, key: st
     if large:
         links = links.union(_large(sets.where(F.col("size") > piece), percent, piece))
     linked = connected_components(common.stored(links, "confirmed"))
-    # Classes learn their component first, so that a class with very many copies meets one join only.
     known = classes.join(linked.select(F.col("node").alias("class"), "component"), "class", "left")
     known = known.select("d1", "d2", F.coalesce("component", "class").alias("group"))
-    named = base.select("id", "key", "n", "d1", "d2").join(known.hint("merge"), ["d1", "d2"], "left")
-    named = named.select("id", "key", "n", F.coalesce("group", "id").alias("group"))
+    # Texts without a shingle, however many, are linked with nothing; a class of very many copies is met by a broadcast.
+    named = base.select("id", "key", "n", "d1", "d2")
+    met = common.hot_join(named.where("n > 0"), known, ["d1", "d2"], classes.select("d1", "d2", "count"))
+    named = met.select("id", "key", "n", "group").union(named.where("n = 0").select("id", "key", "n", F.col("id").alias("group")))
     if hashed:
         named = common.stored(named, "named")
         first = F.min_by("id", F.struct(F.col("key").isNull(), "key", "id"))
         least = named.groupBy("group").agg(F.min("key").alias("component_id"), first.alias("_first"))
-        return named.join(least, "group").select("id", "key", "n", "component_id", (F.col("id") == F.col("_first")).alias("kept"))
+        found = common.hot_join(named, least, ["group"])
+        return found.select("id", "key", "n", "component_id", (F.col("id") == F.col("_first")).alias("kept"))
     # Keys are their own ids: the smallest node of a component is its smallest key.
     named = named.withColumn("component_id", F.col("group").cast(key_type))
     return named.select("id", "key", "n", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))

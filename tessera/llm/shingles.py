@@ -6,8 +6,8 @@ import hashlib
 
 import numpy as np
 
-#: Values of a signature.
-VALUES = 128
+#: Values of a signature, of 16 bits each.
+VALUES = 192
 #: Sets up to this size have a signature of true permutations, sets from the other on one of bins; between them, both.
 PERMUTED_TO, BINNED_FROM = 640, 400
 #: Bytes of text that are hashed at once.
@@ -117,18 +117,23 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
 
 
 def permuted_signature(hashes: np.ndarray) -> np.ndarray:
-    """The smallest value under each of VALUES permutations."""
+    """16 bits of the smallest value under each of VALUES permutations."""
     out = np.full(VALUES, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(hashes), 512):
         part = (hashes[i : i + 512, None] * _FACTORS + _SHIFTS) >> np.uint64(32)
         np.minimum(out, part.min(axis=0).astype(np.uint32), out=out)
-    return out
+    return out.astype(np.uint16)
 
 
 def binned_signature(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash of each of VALUES equal ranges, one permutation for all; an empty range has the greatest value."""
-    edges = (np.arange(VALUES, dtype=np.uint64)) << np.uint64(64 - VALUES.bit_length() + 1)
+    """16 bits of the smallest hash of each of VALUES equal ranges, one permutation for all; an empty range has the greatest value."""
+    edges = np.arange(VALUES, dtype=np.uint64) * np.uint64((1 << 64) // VALUES)
     at = np.searchsorted(hashes, edges)
     ends = np.append(at[1:], len(hashes))
     first = hashes[np.minimum(at, len(hashes) - 1)]
-    return np.where(at < ends, (first >> np.uint64(16)).astype(np.uint32), np.uint32(0xFFFFFFFF))
+    return np.where(at < ends, (first >> np.uint64(16)).astype(np.uint16), np.uint16(0xFFFF))
+
+
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """One bit of each value in 64-bit words: of similar sets, as many agree as values do, and half of the others."""
+    return np.packbits((signature & np.uint16(1)).astype(np.uint8)).view(">i8").astype(np.int64)

@@ -144,7 +144,7 @@ def edited(rng, n=60):
     return out
 
 
-@pytest.mark.parametrize("piece", [4096, 4])
+@pytest.mark.parametrize("piece", [400_000, 400])
 def test_groups_match_brute_force(spark, docs, edge_texts, piece):
     texts = edge_texts + edited(random.Random(8))
     wanted = brute_groups(texts, 4)
@@ -186,6 +186,79 @@ def test_unlike_texts_under_one_key_stay(spark):
     assert len(found) == len(rows) and sum(r.kept for r in found) in (10, 11, 12)
 
 
+def order_rows(rng, n):
+    """Rows of two orders with few values, so that regions are of all depths and sizes, sorted."""
+    values = rng.choice([1, 2, 9], p=[0.6, 0.3, 0.1], size=(n, 8)).astype(">u2")
+    values[: n // 5] = 7
+    words = values.view(">i8").astype(np.int64)
+    sketch = rng.choice(np.array([0, 1, 0xFFFF, 2**62], np.int64), size=(n, 3))
+    rows = [rng.integers(0, 2, n), words[:, 0], words[:, 1], np.arange(n) + 1000, *sketch.T]
+    order = np.lexsort(rows[3::-1])
+    return [r[order] for r in rows]
+
+
+def wanted_ties(rows, least):
+    """Pairs of regions and near neighbours that the definition asks for, by comparing all with all."""
+    n = len(rows[0])
+    values = [(int(rows[0][i]), *np.array([rows[1][i], rows[2][i]], ">i8").view(">u2").tolist()) for i in range(n)]
+    size = Counter(v[: 1 + d] for v in values for d in range(3, 9))
+    depth = [next((d for d in range(3, 9) if size[v[: 1 + d]] <= neardup.LEAF), None) for v in values]
+    agree = lambda i, j: 192 - sum((int(s[i]) ^ int(s[j])).bit_count() if int(s[i]) >= 0 and int(s[j]) >= 0 else ((int(s[i]) ^ int(s[j])) & (2**64 - 1)).bit_count() for s in rows[4:])
+    for i in range(n):
+        for j in range(i + 1, n):
+            if depth[i] is None and depth[j] is None and values[i] == values[j] and j == i + 1:
+                yield i, j
+            elif depth[i] and depth[i] == depth[j] and values[i][: 1 + depth[i]] == values[j][: 1 + depth[i]] and agree(i, j) >= least:
+                yield i, j
+            elif j - i <= neardup.NEAR and values[i][:4] == values[j][:4] and agree(i, j) >= least:
+                yield i, j
+
+
+def test_regions_of_an_order(monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 6)
+    for seed in range(30):
+        rows = order_rows(np.random.default_rng(seed), 150)
+        a, b = neardup.tied(rows, 190)
+        root = {int(y): int(x) for x, y in zip(a, b, strict=True)}
+        at = rows[3].tolist()
+        pairs = list(wanted_ties(rows, 190))
+        assert pairs and all(root.get(at[i], at[i]) == root.get(at[j], at[j]) for i, j in pairs)
+        # Nothing else ties rows: as many trees as the pairs have.
+        parent = list(range(150))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in pairs:
+            parent[find(j)] = find(i)
+        assert len({find(i) for i in range(150)}) == 150 - len(root)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 60])
+def test_regions_across_cuts(spark, parts):
+    rows = order_rows(np.random.default_rng(parts), 700)
+    frame = spark.createDataFrame([tuple(int(r[i]) for r in rows) for i in range(700)], "tree int, hi long, lo long, id long, s0 long, s1 long, s2 long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        links = neardup.candidates(frame, 80).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    root = {i: i for i in range(1000, 1700)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        root[find(r.a)] = find(r.b)
+    at = rows[3].tolist()
+    assert all(find(at[i]) == find(at[j]) for i, j in wanted_ties(rows, neardup.least_agreement(80)))
+
+
 def test_signatures_agree_with_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
@@ -204,6 +277,21 @@ def test_long_texts_in_parts(monkeypatch):
         assert (a == b).all() and len(a)
 
 
+def test_sketch_bound():
+    """Pairs of just the wanted similarity agree in more bits than the bound, far less similar ones in fewer."""
+    rng = np.random.default_rng(2)
+    least = neardup.least_agreement(80)
+    agree = lambda x, y: S_VALUES - int(np.bitwise_count((shingles.sketch(x) ^ shingles.sketch(y)).view(np.uint64)).sum())
+    S_VALUES = shingles.VALUES
+    for n, make in ((60, shingles.permuted_signature), (500, shingles.permuted_signature), (900, shingles.binned_signature)):
+        for _ in range(40):
+            h = np.unique(rng.integers(0, 2**64, n + n // 4, dtype=np.uint64))
+            a, b = np.sort(rng.permutation(h)[: n + n // 8]), h
+            near = np.unique(np.concatenate((a, b[: len(b) // 10])))
+            assert agree(make(a), make(near)) >= least
+            assert agree(make(a), make(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)))) < least
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 3), (200, 201), (201, 200), (None, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
