@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -97,16 +98,21 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame
 
     Values of ``on`` that hold many rows of ``left`` meet their row by a broadcast,
     of HOT_VALUES rows at most as each holds more than that part of all rows;
-    all others by a merge join. Null meets nothing. ``counts``: rows of each value, if known.
+    all others by a merge join. Null meets nothing and stays where it is. ``counts``:
+    rows of each value, if known.
     """
+    unknown = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in on])
+    added = [f for f in right.schema if f.name not in on]
+    alone = left.where(unknown).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    left = left.where(~unknown)
     counts = left.groupBy(*on).count() if counts is None else counts
     least = max(HOT_ROWS, (counts.agg(F.sum("count").alias("n")).first().n or 0) // HOT_VALUES)
     hot = stored(counts.where(F.col("count") > least).select(*on), "hot")
     if hot.isEmpty():
-        return left.join(right.hint("merge"), on, "left")
+        return left.join(right.hint("merge"), on, "left").unionByName(alone)
     marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left")
     many = marked.where("__hot").join(F.broadcast(right.join(F.broadcast(hot), on)), on, "left")
-    return many.unionByName(marked.where("__hot IS NULL").join(right.hint("merge"), on, "left")).drop("__hot")
+    return many.unionByName(marked.where("__hot IS NULL").join(right.hint("merge"), on, "left")).drop("__hot").unionByName(alone)
 
 
 def held_out(doc_id: Column) -> Column:

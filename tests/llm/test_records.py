@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 from datetime import date
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import duckdb
 import numpy as np
@@ -363,6 +365,62 @@ def test_aliases_share_blocks(spark):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def plain_node(url):
+    at = url.find("://")
+    if at < 0:
+        return None
+    _, host, path, query, _ = urlsplit("http" + url[at:])
+    path = urljoin("http://h" + (path or "/"), path or "/")[len("http://h") :]
+    return host.lower() + path + ("?" + query if query else "") if host else None
+
+
+class Tags(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.targets = []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "link" and "canonical" in (a.get("rel") or "").lower().split():
+            self.targets.append(a.get("href"))
+        if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh" and "url=" in (a.get("content") or "").lower():
+            self.targets.append(re.split("(?i)url=", a["content"], maxsplit=1)[1].strip("'\""))
+
+
+def test_links_match_the_standard_library(spark):
+    """Targets of every kind, as the parsers of the standard library see them."""
+    targets = ["2", "./2", "../z", "../../../up", "/", "/a/b", "/a/./b/../c", "//b.net/p", "//B.Net", "?id=2", "?a=1&amp;b=2", "#top", "", "http://x.org/q?r#s", "HTTPS://X.org", "mailto:a@b.c", "a/b/..", "a/b/.", ". ", "&#47;n&#x2f;m", "x&lt;y", "http:opaque"]
+    urls_ = ["http://a.com/d/e?q=1#f", "https://A.com", "http://a.com/d/", "http://a.com/d/../e/f", "http://a.com?x"]
+    html = {t: f'<p><LINK data-href="no" rel="alternate CANONICAL"\n href="{t}"/>' for t in targets}
+    rows = [(u, h) for u in urls_ for h in html.values()]
+    rows += [("http://a.com/1", '<meta content="0; URL=../m" http-equiv=refresh>'), ("http://a.com/1", "<meta http-equiv='Refresh' content='5;url=//c.org/2'>"), ("http://a.com/1", '<!-- <link rel=canonical href=/no> --><link href=/yes rel=canonical><link rel="canonical" href="/also">'),
+             ("http://a.com/1", '<link rel="stylesheet" href="/css"><link rel=canonical>'), ("nowhere", html["/"]), (None, html["/"]), ("http://a.com/1", None)]
+    wanted = set()
+    for u, h in rows:
+        parser = Tags()
+        parser.feed(re.sub("(?s)<!--.*?-->", "", h or ""))
+        for t in parser.targets:
+            if u and "://" in u and t is not None and not re.match("(mailto|http:opaque)", t):
+                a, b = plain_node(u), plain_node(urljoin(u, t.strip()))
+                if a and b and a != b:
+                    wanted.add((a, b))
+    got = urls.links(spark.createDataFrame(rows, "url string, html string").coalesce(1)).collect()
+    assert {(r.a, r.b) for r in got} == wanted and len(got) == len(wanted) > 40
+
+
+def test_many_rules_and_hot_urls(spark, monkeypatch):
+    rows = [(i, "http://m.example.net/en/1" if i % 3 else None if i % 2 else f"http://h{i}.org/fr/{i}", "") for i in range(900)]
+    rows += [(1000, "http://a.com/1", '<link rel="canonical" href="//bad.net/x">'), (1001, "http://a.com/1", ""), (1002, "http://bad.net/x", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("mine") for c in ("_group", "_node", "node", "spread", "_row", "host")})
+    few = sorted(map(tuple, urls.judged(frame).collect()), key=repr)
+    monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 50)
+    monkeypatch.setattr(urls, "MAX_RULES", 2)
+    many = urls.judged(frame)
+    assert sorted(map(tuple, many.collect()), key=repr) == few and len(few) == len(rows)
+    assert many.columns == ["page_id", "url", "html", "_group", "_node", "node", "spread", "_row", "host", "path", "rule", "verdict"]
+    assert {r.page_id: r.verdict for r in many.where("page_id >= 1000").collect()} == {1000: "block", 1001: "block", 1002: "block"}
+
+
 def test_pages_keep_their_columns(spark):
     pages = table(spark, DIR, "pages")
     assert urls.judged(pages).columns == [*pages.columns, "host", "path", "rule", "verdict"]
