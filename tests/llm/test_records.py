@@ -135,6 +135,90 @@ def digits_by_hand(text, key, tweak, radix=10):
     return out
 
 
+def feistel_by_hand(a, b, size_a, size_b, key, tweak):
+    for i in range(8):
+        m = size_a if i % 2 == 0 else size_b
+        a, b = b, (a + prf(key, tweak, i, b) % m) % m
+    return a, b
+
+
+def ssn_by_hand(text, key):
+    area, group, serial = map(int, text.split("-"))
+    areas = [x for x in range(1, 900) if x != 666]
+    a, b = feistel_by_hand(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+    return f"{areas[a // 99]:03}-{a % 99 + 1:02}-{b + 1:04}"
+
+
+def date_by_hand(day, key):
+    n = (day - date(1900, 1, 1)).days
+    a, b = feistel_by_hand(n // 229, n % 229, 319, 229, key, "date")
+    return date.fromordinal(date(1900, 1, 1).toordinal() + a * 229 + b)
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def iban_by_hand(text, key):
+    digits = digits_by_hand("".join(c for c in text[4:] if c.isdigit()), key, "iban")
+    turn = iter(digits)
+    body = "".join(next(turn) if c.isdigit() else c for c in text[4:])
+    return f"{text[:2]}{98 - mod97(body + text[:2] + '00'):02}{body}"
+
+
+def alnum_by_hand(text, key, tweak):
+    turn = iter(digits_by_hand("".join(c for c in text.lower() if c.isalnum()), key, tweak, 36))
+    return "".join(next(turn) if c.isalnum() else c for c in text)
+
+
+def test_every_kind_by_hand(spark):
+    """The value alone, in a text, and look-alikes that fail validation."""
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "NO9386011117947"]
+    token = {"AKIA": "IOSFODNN7EXAMPLE", "ghp_": "aB3" * 12, "sk-": "proj-Ab12_Cd34" * 3, "xoxb-": "1234-abcd-EFGH", "AIza": "Sy" + "aZ-_9" * 6 + "abc", "eyJ": "hbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmN"}
+    wanted = {x: iban_by_hand(x, "k") for x in ibans}
+    wanted |= {p + t: p + (alnum_by_hand(t, "k", "token").upper() if t == t.upper() else alnum_by_hand(t, "k", "token")) for p, t in token.items()}
+    wanted["3782 822463 10005"] = (lambda d: f"{d[:4]} {d[4:10]} {d[10:]}")(card_by_hand("378282246310005", "k"))
+    wanted["2001:db8::8a2e:370:7334"] = ":".join(f"{int(h[i : i + 4], 16):x}" for h in [digits_by_hand("20010db80000000000008a2e03707334", "k", "ip6", 16)] for i in range(0, 32, 4))
+    wanted["2001:0db8:0:0:0:8A2E:0370:7334"] = wanted["2001:db8::8a2e:370:7334"]
+    d = date_by_hand(date(2024, 2, 29), "k")
+    wanted |= {"2024-02-29": d.isoformat(), "29.02.2024": f"{d:%d.%m.%Y}", "29/02/2024": f"{d:%d/%m/%Y}", "02/29/2024": f"{d:%m/%d/%Y}", "2/29/2024": f"{d.month}/{d:%d/%Y}", "2024/02/29": f"{d:%Y/%m/%d}"}
+    wanted |= {x: ssn_by_hand(x, "k") for x in ("123-45-6789", "899-99-9999", "001-01-0001", "667-10-1000", "665-10-1000")}
+    spaced = " ".join(ibans[0][i : i + 4] for i in range(0, 22, 4))
+    same = ["DE89370400440532013001", "XX89370400440532013000", "000-12-3456", "666-00-0000", "900-12-3456", "123-00-6789", "123-45-0000", "30.02.2024", "13/13/2024", "2024/02/30",
+            "3782 822463 10006", "12:30:45", "a::b", "std::vector", "fe80::1", "00:1a:2b:3c:4d:5e", "1.2.2024.5", "AKIAshort", "sk-", "v1.2.3", "29.02.1850"]
+    texts = [*wanted, *same, *(f"see {x}, or" for x in [*wanted, *same]), spaced, spaced + " IBAN 12", "again " + spaced + "."]
+    got = dict(zip(texts, [r.text for r in pii.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "k").collect()], strict=True))
+    for x, y in [*wanted.items(), *((x, x) for x in same)]:
+        assert got[x] == y and got[f"see {x}, or"] == f"see {y}, or", (x, y, got[x])
+        assert (x == y) == (x in same)
+    assert all(mod97(got[x][4:] + got[x][:4]) == 1 for x in ibans)
+    moved = " ".join(wanted[ibans[0]][i : i + 4] for i in range(0, 22, 4))
+    assert (got[spaced], got[spaced + " IBAN 12"], got["again " + spaced + "."]) == (moved, moved + " IBAN 12", f"again {moved}.")
+
+
+def card_by_hand(text, key):
+    head = digits_by_hand(text[:-1], key, "card")
+    return next(head + str(c) for c in range(10) if luhn(head + str(c)))
+
+
+def test_key_is_in_no_plan(spark):
+    frame = spark.createDataFrame([(1, 2, 3, "ssn 123-45-6789")], "`_` int, `a.b` int, `_key` int, text string")
+    got = pii.pseudonymised(frame, "a-very-hidden-key")
+    assert got.columns == ["_", "a.b", "_key", "text", "n_replaced"]
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 3, "ssn " + ssn_by_hand("123-45-6789", "a-very-hidden-key"), 1)]
+    assert "very-hidden" not in got._jdf.queryExecution().toString()
+    assert pii.pseudonymised(frame.select("text"), "k").columns == ["text", "n_replaced"]
+    with pytest.raises(ValueError, match="tessera.pii"):
+        pii.pseudonymised(frame)
+
+
+def test_given_out_numbers_are_permuted(spark):
+    frame = spark.sql("SELECT concat_ws('-', lpad(string(600 + id % 90), 3, '0'), '77', lpad(string(id + 1), 4, '0')) AS text FROM range(3000)").where("text NOT LIKE '666-%'")
+    out = [r.text for r in pii.pseudonymised(frame, "k").collect()]
+    assert len(set(out)) == len(out) == frame.count()
+    assert all(re.fullmatch(r"\d{3}-\d{2}-\d{4}", t) and 1 <= int(t[:3]) <= 899 and t[:3] != "666" and t[4:6] != "00" and t[7:] != "0000" for t in out)
+
+
 def test_pseudonyms_keep_their_format(spark):
     texts = ["card 4417744280351547 and 4417 7442 8035 1547", "not 9807915762804490", "ip 97.51.17.173, 999.1.1.1", "on 2024-02-29 or 2023-02-29",
              "ssn 123-45-6789", "+1 (017) 555-7713", "mail a.b9@mail.example.com", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "again 4417744280351547", None, "", "plain 12 words"]
@@ -148,7 +232,7 @@ def test_pseudonyms_keep_their_format(spark):
     assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", got[4]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[5])
     assert re.fullmatch(r"mail [a-z0-9]\.[a-z0-9]{2}@mail\.example\.com", got[6]) and re.fullmatch(r'token = "[0-9a-f]{40}"', got[7])
     assert got[9:] == [None, "", "plain 12 words"]
-    assert got[4][4:].replace("-", "") == digits_by_hand("123456789", "k", "ssn")
+    assert got[4] == "ssn " + ssn_by_hand("123-45-6789", "k")
     assert re.search('"(.*)"', got[7])[1] == digits_by_hand("04dbebab91ab85687d33eeaaf9ac699e1188f962", "k", "secret", 16)
 
 
@@ -196,10 +280,10 @@ def test_dates_are_permuted(spark):
 
 def test_pseudonyms_keep_rows(spark, docs, edge_texts):
     frame = docs(edge_texts)
-    got = pii.pseudonymised(frame)
+    got = pii.pseudonymised(frame, "k")
     assert set(got.columns) == {*frame.columns, "n_replaced"}
     assert {(r.doc_id, r.text, r.weight) for r in got.collect()} == {(i, t, "mine") for i, t in enumerate(edge_texts)}
-    assert pii.pseudonymised(frame.where("false")).count() == 0
+    assert pii.pseudonymised(frame.where("false"), "k").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
 
