@@ -79,14 +79,42 @@ def exponent(shares: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
     return max(search(0), search(1))
 
 
-def plan(documents: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
-    """(_s, _k), the number of blocks of each source, and (_s, _b, _weight, _passes, _cutoff) of each block.
+#: Most sources whose rows are broadcast; of more, only those that hold many rows are.
+MAX_BROADCAST = 100_000
 
-    ``_passes`` are whole ones; the texts up to the permutation hash ``_cutoff`` are drawn once more.
+
+def _by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their source in ``sources``, a stored table of one row for each."""
+    if sources.count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(sources), "_s", "left")
+    return common.hot_join(rows, sources, ["_s"])
+
+
+def _turn(block: Column) -> Column:
+    """A keyed hash of a source's block: the permutation of its blocks."""
+    return F.xxhash64("_s", block, F.lit(_SEED))
+
+
+def _first_over(sums: DataFrame, order: list[str], budget: str, least: int) -> DataFrame:
+    """Of each source's pieces (_s, ..., _n, budget) in ``order``, the first that does not fit what earlier ones leave, as (_s, _at, _left)."""
+    before = F.sum("_n").over(Window.partitionBy("_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    left = sums.withColumn("_left", F.col(budget) - F.coalesce(before, F.lit(0)))
+    at = F.struct(*order)
+    over = left.where(F.col("_left") < F.greatest("_n", F.lit(least))).groupBy("_s")
+    return over.agg(F.min(at).alias("_at"), F.min_by("_left", at).alias("_left"))
+
+
+def plan(documents: DataFrame, **limits: float) -> DataFrame:
+    """One row for each source: _s, weight, and what draws its texts.
+
+    _k is its number of blocks; it gives _passes whole ones, and once more the blocks
+    before (_turn, _b) in the permutation and, of that one, the texts up to the hash
+    _last, or below _start if that is null.
 
     Blocks are dealt by hash, so that a source with most rows has as many blocks
     as its tokens ask for. Cumulative sums run over a source's blocks, at most
-    MAX_BLOCKS, and over the texts of the one block of a source that is cut.
+    MAX_BLOCKS, over 4,096 ranges of the hash in the one block that is cut, and over
+    the texts of the one range that is cut.
     """
     budget = limits.get("budget", BUDGET)
     rows = documents.select(_key(F.col("source")).alias("_s"), _order().alias("_h"), tokens(F.col("text")).alias("_n"))
@@ -100,29 +128,25 @@ def plan(documents: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
     ratio = F.when(F.col("p") > 0, F.lit(budget) * share / F.col("p")).otherwise(0.0)
     wanted = (
         sources.withColumn("weight", share)
-        .withColumn("passes", F.floor(ratio + 1e-9).cast("int"))
-        .withColumn("rest", F.round((ratio - F.col("passes")) * F.col("_t")).cast("long"))
+        .withColumn("_passes", F.floor(ratio + 1e-9).cast("int"))
+        .withColumn("_rest", F.round((ratio - F.col("_passes")) * F.col("_t")).cast("long"))
         .withColumn("_k", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_t") / BLOCK_TOKENS) + 1).cast("int"))
     )
-    wanted = common.stored(wanted, "mixing-weights")
-    placed = rows.join(wanted.select("_s", "_k"), "_s").select("_s", "_h", "_n", F.pmod("_h", "_k").alias("_b"))
-    sizes = placed.groupBy("_s", "_b").agg(F.sum("_n").alias("_n"))
-    turn = F.xxhash64("_s", "_b", F.lit(_SEED))
-    before = F.sum("_n").over(Window.partitionBy("_s").orderBy(turn, "_b").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = sizes.select("_s", "_b", "_n", F.coalesce(before, F.lit(0)).alias("_before")).join(
-        wanted.select("_s", "weight", "passes", "rest"), "_s"
-    )
-    blocks = common.stored(blocks.withColumn("_left", F.col("rest") - F.col("_before")), "mixing-blocks")
-    cut = blocks.where("_left > 0 AND _left < _n").select("_s", "_b", "_left")
-    inside = placed.join(cut, ["_s", "_b"]).groupBy("_s", "_b", "_h").agg(F.sum("_n").alias("_n"), F.max("_left").alias("_left"))
-    run = F.sum("_n").over(Window.partitionBy("_s", "_b").orderBy("_h"))
-    last = (
-        inside.withColumn("_run", run).where("_run <= _left").groupBy("_s", "_b").agg(F.max("_h").alias("_last"))
-    )
-    none, every = F.lit(-(2**63)), F.lit(2**63 - 1)
-    cutoff = F.when(F.col("_left") >= F.greatest("_n", F.lit(1)), every).when(F.col("_left") > 0, F.coalesce("_last", none)).otherwise(none)
-    made = blocks.join(last, ["_s", "_b"], "left").select("_s", "_b", F.col("weight").alias("_weight"), F.col("passes").alias("_passes"), cutoff.alias("_cutoff"))
-    return wanted.select("_s", "_k"), common.stored(made, "mixing-plan")
+    wanted = common.stored(wanted.select("_s", "weight", "_passes", "_rest", "_k"), "mixing-weights")
+    placed = _by_source(rows, wanted.select("_s", "_k", "_rest")).withColumn("_b", F.pmod("_h", "_k"))
+    sizes = placed.groupBy("_s", "_b").agg(F.sum("_n").alias("_n"), F.first("_rest").alias("_rest"))
+    cut = _first_over(sizes.withColumn("_turn", _turn(F.col("_b"))), ["_turn", "_b"], "_rest", 1)
+    cut = common.stored(cut.select("_s", "_at._turn", "_at._b", "_left").withColumnRenamed("_b", "_cut"), "mixing-cuts")
+    inside = _by_source(placed.select("_s", "_h", "_n", "_b"), cut).where("_b = _cut AND _left > 0")
+    inside = inside.select("_s", "_h", "_n", F.col("_left").alias("_rest"), F.shiftright("_h", 52).alias("_range"))
+    ranges = inside.groupBy("_s", "_range").agg(F.sum("_n").alias("_n"), F.first("_rest").alias("_rest"))
+    range_ = common.stored(_first_over(ranges, ["_range"], "_rest", 1).select("_s", F.col("_at._range").alias("_in"), "_left"), "mixing-ranges")
+    texts = _by_source(inside.select("_s", "_h", "_n", "_range"), range_).where("_range = _in").groupBy("_s", "_h").agg(F.sum("_n").alias("_n"), F.first("_left").alias("_left"))
+    run = F.sum("_n").over(Window.partitionBy("_s").orderBy("_h"))
+    last = texts.withColumn("_run", run).where("_run <= _left").groupBy("_s").agg(F.max("_h").alias("_last"))
+    start = F.shiftleft(F.col("_in").cast("long"), 52).alias("_start")
+    made = wanted.join(cut.withColumnRenamed("_cut", "_b"), "_s", "left").join(range_.select("_s", start), "_s", "left").join(last, "_s", "left")
+    return common.stored(made.select("_s", "weight", "_k", "_passes", "_turn", "_b", "_start", "_last"), "mixing-plan")
 
 
 def _order() -> Column:
@@ -130,23 +154,45 @@ def _order() -> Column:
     return F.xxhash64("doc_id", "text", F.lit(_SEED + 1))
 
 
+def _placed(documents: DataFrame, replaced: tuple[str, ...], **limits: float) -> DataFrame:
+    """``documents`` without ``replaced`` as _row, with n_tokens, weight, copies, and the text's place: block, its turn and the text's hash."""
+    kept = F.struct(*[F.col(f"`{c.replace("`", "``")}`") for c in documents.columns if c not in replaced]).alias("_row")
+    own = documents.select(kept, _key(F.col("source")).alias("_s"), _order().alias("_h"), tokens(F.col("text")).alias("n_tokens"))
+    met = _by_source(own, plan(documents.select("doc_id", "source", "text"), **limits))
+    block = F.pmod("_h", "_k")
+    turn = _turn(block)
+    here = (turn == F.col("_turn")) & (block == F.col("_b"))
+    earlier = F.col("_turn").isNull() | (turn < F.col("_turn")) | ((turn == F.col("_turn")) & (block < F.col("_b")))
+    inside = here & F.coalesce(F.col("_h") <= F.col("_last"), F.col("_h") < F.col("_start"), F.lit(False))
+    copies = F.col("_passes") + F.when(earlier | inside, 1).otherwise(0)
+    return met.select("_row", "n_tokens", "weight", copies.cast("int").alias("copies"), block.cast("int").alias("_block"), turn.alias("_at"), "_h")
+
+
 def drawn(documents: DataFrame, **limits: float) -> DataFrame:
-    """``documents`` with n_tokens, weight (of its source) and copies, the times it is drawn; columns of these names are replaced.
+    """``documents`` with n_tokens, weight (of its source) and copies, the times it is drawn; columns of these names are replaced, all others kept.
 
     Sources without a token have weight 0 and are not drawn; null is a source of
-    its own. Rows alike in id and text share their lot. One source keeps weight 1.
+    its own. Null, empty and wordless texts have no token and share the lot of their
+    place; a very long text is drawn whole or not. Rows alike in id and text share
+    their lot, null ids as well. One source keeps weight 1; an empty table gives no row.
+    """
+    found = _placed(documents, ("n_tokens", "weight", "copies"), **limits)
+    return found.select("_row.*", "n_tokens", "weight", "copies")
+
+
+def scheduled(documents: DataFrame, **limits: float) -> DataFrame:
+    """The drawn documents in their own columns, each as often as it is drawn, with its place in the mix.
+
+    Sorted by pass, turn, block and place, a source's rows follow its block
+    permutation; columns of these names are replaced.
     """
-    sizes, blocks = plan(documents, **limits)
-    keyed = documents.withColumns({"_s": _key(F.col("source")), "_h": _order(), "n_tokens": tokens(F.col("text"))})
-    placed = keyed.join(sizes, "_s").withColumn("_b", F.pmod("_h", "_k"))
-    copies = (F.col("_passes") + F.when(F.col("_h") <= F.col("_cutoff"), 1).otherwise(0)).cast("int")
-    met = placed.join(blocks, ["_s", "_b"]).withColumns({"weight": F.col("_weight"), "copies": copies})
-    return met.drop("_s", "_h", "_k", "_b", "_weight", "_passes", "_cutoff")
+    found = _placed(documents, ("pass", "turn", "block", "place"), **limits).where("copies > 0")
+    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass"), F.col("_at").alias("turn"), F.col("_block").alias("block"), F.col("_h").alias("place")).select("_row.*", "pass", "turn", "block", "place")
 
 
 def mixed(documents: DataFrame, **limits: float) -> DataFrame:
-    """The drawn documents in their own columns, each as often as it is drawn."""
-    found = drawn(common.packed(documents, "doc_id", "source", "text"), **limits).where("copies > 0")
+    """The drawn documents in their own columns, each as often as it is drawn; their order is no part of the result."""
+    found = _placed(documents, (), **limits).where("copies > 0")
     return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from datetime import date
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -399,6 +400,90 @@ def test_mixing_edge_cases(spark, docs, edge_texts):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("limits", [{}, {"budget": 0.4}, {"budget": 2.7, "entropy": 1.0, "repeats": 9.0}])
+def test_draw_matches_a_sequential_one(spark, docs, monkeypatch, limits):
+    """Weights by plain bisection, then texts taken one after the other in the order of the permutations."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 60)
+    rng = random.Random(8)
+    texts = [("w " * rng.choice([0, 1, 3, 7, 30]), "en", rng.choice(["a", "a", "a", "a", "b", None, ""])) for _ in range(900)] + [(None, "en", "a"), (" ", "en", "empty")]
+    frame = docs(texts).withColumns({c: F.lit("mine") for c in ("_k", "_b", "_row", "_turn", "pass", "turn", "block")})
+    frame = frame.union(frame.where("doc_id = 5"))
+    entropy, repeats, budget = (limits.get(k, d) for k, d in (("entropy", 0.95), ("repeats", 4.0), ("budget", 1.0)))
+    keyed = frame.select("doc_id", "source", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")).alias("n"), mixing._order().alias("h")).collect()
+    sizes = Counter()
+    for r in keyed:
+        sizes[r.source] += r.n
+    total = sum(sizes.values())
+    shares = {s: n / total for s, n in sizes.items() if n}
+
+    def weights(a):
+        z = sum(p**a for p in shares.values())
+        return {s: p**a / z for s, p in shares.items()}
+
+    def ok(a):
+        w = weights(a)
+        return -sum(x * np.log(x) for x in w.values()) >= entropy * np.log(len(w)) - 1e-12, max(budget * w[s] / shares[s] for s in w) <= repeats + 1e-12
+
+    def bisected(which):
+        if which == 0 and ok(1.0)[0] or which == 1 and not ok(1.0)[1]:
+            return 1.0
+        if which == 1 and ok(0.0)[1]:
+            return 0.0
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if ok(mid)[which] == (which == 0) else (low, mid)
+        return low if which == 0 else high
+
+    w = weights(max(bisected(0), bisected(1)))
+    copies = {}
+    for s in sizes:
+        own = [r for r in keyed if r.source == s]
+        want = round(budget * w.get(s, 0.0) / shares.get(s, 1.0) * sizes[s]) if sizes[s] else 0
+        k = min(mixing.MAX_BLOCKS, -(-sizes[s] // 60) + 1)
+        turns = {r.b: r.t for r in spark.range(k).select(F.col("id").alias("b"), F.lit("-" if s is None else "+" + s).alias("_s")).select("b", mixing._turn(F.col("b")).alias("t")).collect()}
+        order = sorted({(turns[r.h % k], r.h % k, r.h) for r in own})
+        passes = int(budget * w.get(s, 0.0) / shares.get(s, 1.0) + 1e-9) if sizes[s] else 0
+        left = want - passes * sizes[s]
+        by_hash = Counter()
+        for r in own:
+            by_hash[r.h] += r.n
+        for r in own:
+            copies[r.h] = passes
+        block_left, open_ = left, True
+        for b in dict.fromkeys((t, b) for t, b, _ in order):
+            inside = [h for t, x, h in order if (t, x) == b]
+            size = sum(by_hash[h] for h in inside)
+            if block_left >= max(size, 1):
+                for h in inside:
+                    copies[h] += 1
+                block_left -= size
+                continue
+            for h in inside:
+                if block_left <= 0 or by_hash[h] > block_left:
+                    break
+                copies[h] += 1
+                block_left -= by_hash[h]
+            break
+    got = mixing.drawn(frame, **limits)
+    rows = got.select("doc_id", "n_tokens", mixing._order().alias("h"), *[F.col(f"`{c}`") for c in ("copies", "weight", "_k", "source")]).collect()
+    assert len(rows) == len(keyed) and all(r["_k"] == "mine" and abs(r.weight - w.get(r.source, 0.0)) < 1e-7 for r in rows)
+    zero = {r.h for r in keyed if not r.n}
+    assert {r.doc_id: r.copies for r in rows if r.h not in zero} == {r.doc_id: copies[r.h] for r in keyed if r.h not in zero}
+    plan = mixing.scheduled(frame, **limits)
+    assert plan.columns == [c for c in frame.columns if c not in ("pass", "turn", "block")] + ["pass", "turn", "block", "place"]
+    assert plan.count() == sum(r.copies for r in rows) == mixing.mixed(frame, **limits).count()
+
+
+def test_many_sources_are_joined_without_a_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 3), "big" if i % 2 else f"s{i}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = sorted(map(tuple, mixing.drawn(frame).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 3)
+    monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 50)
+    assert sorted(map(tuple, mixing.drawn(frame).collect())) == wanted
+
+
 def test_blocks_are_whole_or_cut_once(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
     rows = [(i, "w " * (1 + i % 5), "a" if i % 4 else "b") for i in range(2000)]
