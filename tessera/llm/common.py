@@ -120,9 +120,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def packed(df: DataFrame, *columns: str) -> DataFrame:
-    """The whole row as ``_row`` beside the columns that an operator works on, so that no name of its own can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *columns)
+def packed(df: DataFrame, *columns: str | Column, without: tuple[str, ...] = ()) -> DataFrame:
+    """The row, but for columns ``without``, as ``_row`` beside the columns that an operator works on, so that no name of its own can clash."""
+    return df.select(F.struct(*[F.col(f"`{c.replace("`", "``")}`") for c in df.columns if c not in without]).alias("_row"), *columns)
 
 
 def arrow_map(

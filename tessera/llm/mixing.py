@@ -156,8 +156,7 @@ def _order() -> Column:
 
 def _placed(documents: DataFrame, replaced: tuple[str, ...], **limits: float) -> DataFrame:
     """``documents`` without ``replaced`` as _row, with n_tokens, weight, copies, and the text's place: block, its turn and the text's hash."""
-    kept = F.struct(*[F.col(f"`{c.replace("`", "``")}`") for c in documents.columns if c not in replaced]).alias("_row")
-    own = documents.select(kept, _key(F.col("source")).alias("_s"), _order().alias("_h"), tokens(F.col("text")).alias("n_tokens"))
+    own = common.packed(documents, _key(F.col("source")).alias("_s"), _order().alias("_h"), tokens(F.col("text")).alias("n_tokens"), without=replaced)
     met = _by_source(own, plan(documents.select("doc_id", "source", "text"), **limits))
     block = F.pmod("_h", "_k")
     turn = _turn(block)

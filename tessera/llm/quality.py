@@ -62,17 +62,28 @@ def _repeated(words: Column, size: int = 8) -> Column:
     return F.when(F.size(words) <= size, F.lit(0).cast("long")).otherwise(of_words)
 
 
-def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with the statistics of its texts added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+#: Counts that the base rules and the result have, and more of them for learned rules.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_SHAPE = ["n_upper", "n_ends", "n_digits", "n_distinct"]
+
 
-    A null text has none of each. Repeated rows are counted one by one.
+def statistics(documents: DataFrame) -> DataFrame:
+    """``documents`` with the statistics of column text added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+
+    A null text has none of each, a very long one is counted whole. Repeated rows
+    are counted one by one; an empty table gives no row. Columns with the names of
+    statistics are replaced, all others kept.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    return _counted(common.packed(documents, "text", without=(*COUNTS,))).select("_row.*", *COUNTS)
+
+
+def _counted(packed: DataFrame) -> DataFrame:
+    t = F.coalesce(F.col("text"), F.lit(""))
     spaced = F.regexp_replace(t, _SPACE, " ")
     words = F.filter(F.split(spaced, " ", -1), lambda w: w != "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.regexp_replace(x, _SPACE, "")) > 0)
     return (
-        documents.withColumn("_words", words)
+        packed.withColumn("_words", words)
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("word_chars", F.length(t).cast("long") - F.length(F.regexp_replace(t, r"[^\x20\x09-\x0D]+", "")))
         .withColumn("n_symbols", F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"))
@@ -96,12 +107,12 @@ FEATURES = {
 }
 
 
-def _shape(documents: DataFrame, text: str = "text") -> DataFrame:
+def _shape(packed: DataFrame) -> DataFrame:
     """More counts for rules: capitals, sentence ends, digits and distinct words."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("text"), F.lit(""))
     count = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("long")
     return (
-        documents.withColumn("n_upper", count(r"\P{Lu}+"))
+        packed.withColumn("n_upper", count(r"\P{Lu}+"))
         .withColumn("n_ends", count(r"[^.!?]+"))
         .withColumn("n_digits", count(r"[^0-9]+"))
         .withColumn("n_distinct", F.size(F.array_distinct(F.split(t, r"[\x20\x09-\x0D]+", -1))).cast("long"))
@@ -180,7 +191,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     if n > SAMPLE_ROWS:
         known = known.where(F.pmod(F.xxhash64(key, F.lit(2)), F.lit(1_000_003)) < int(1_000_003 * SAMPLE_ROWS / n))
     # The sample's bound is that of the broadcast, so that no text is shuffled.
-    measured = _shape(statistics(documents.select(key, "text").join(F.broadcast(known), key)))
+    measured = _shape(_counted(documents.select(key, "text").join(F.broadcast(known), key)))
     features = list(FEATURES)
     rows = measured.select(
         "_y", (F.pmod(F.xxhash64(key, F.lit(3)), F.lit(3)) == 0).alias("_prune"), *[F.expr(FEATURES[f]).cast("double").alias(f) for f in features]
@@ -217,28 +228,36 @@ def _base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` with the statistics, base_failed, the number of the rejecting rule and kept.
-
-    Null and empty texts have no words and fail the base. Without labels, or with
-    labels of one class, the list is empty and the base alone decides. Repeated
-    rows are judged one by one; labels of one key that differ count as bad.
-    """
+def _judged(documents: DataFrame, labels: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     rules = learn(documents, labels)
     return (
-        _shape(statistics(documents))
+        _shape(_counted(common.packed(documents, "text", without=without)))
         .withColumn("base_failed", _base_failed())
         .withColumn("rule", verdict(rules))
         .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
     )
 
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_RESULT = (*COUNTS, *_SHAPE, "base_failed", "rule", "kept")
+
+
+def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``documents`` with the statistics, base_failed, the number of the rejecting rule and kept.
+
+    Null and empty texts have no words and fail the base; very long texts are
+    counted whole. Without labels, or with labels of one class, the list is empty
+    and the base alone decides. Repeated rows are judged one by one; labels of one
+    key that differ count as bad; of rules of equal gain the one with the first
+    feature and cut is grown, and the first rule of the list that fits is named. An
+    empty table gives no row. Columns with the names of results are replaced, all
+    others kept.
+    """
+    return _judged(documents, labels, _RESULT).select("_row.*", *_RESULT)
 
 
 def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither the base nor the list rejects, in their own columns."""
-    return judged(common.packed(documents, "doc_id", "text"), labels).where("kept").select("_row.*")
+    return _judged(documents, labels).where("kept").select("_row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

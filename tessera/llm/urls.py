@@ -170,9 +170,8 @@ def judged(pages: DataFrame, rules: list[Rule] = RULES, edges: DataFrame | None
     empty table gives no row; columns named host, path, rule or verdict are replaced,
     all others kept.
     """
-    columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = parts(F.col("url"))
-    out = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "url", host.alias("host"), path.alias("path"))
+    out = common.packed(pages, "url", host.alias("host"), path.alias("path"), without=("host", "path", "rule", "verdict"))
     if len(rules) <= MAX_RULES:
         verdicts = F.lit(None).cast("string")
         for r in rules:
