@@ -237,8 +237,7 @@ class Engine:
         self.tasks[task_id] = Task(task_id, v.table_id, state, total, total, now.isoformat())
         tables = {}
         if not self.compat:
-            mark = backfill.signature(task_id, rows)
-            new = decided.where("accepted").select(F.lit(task_id).alias("task_id"), "entity", F.lit(mark).alias("signature"))
+            new = decided.where("accepted").select(F.lit(task_id).alias("task_id"), "entity", backfill.mark(task_id, rows).alias("signature"))
             tables["committed"] = backfill.marked(self.committed, new)
         self._commit((after, buckets), **tables)
         return counts.written
@@ -248,7 +247,7 @@ class Engine:
         v = self.versions.must_get(version_id)
         rows = self._valid(rows)
         before, buckets = self._touched(rows)
-        after, committed, decided = backfill.retry(before, rows, self.committed, task_id, v.id, at or self.clock())
+        after, committed, decided = backfill.retry(before, rows, self.committed, task_id, v.id, at or self.clock(), self.compat)
         written = decided.where("accepted").count()
         self._commit((after, buckets), committed=committed)
         return written

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.values import canonical, int_value, no_fields, version_rank
-from tessera.operators.writes import first, replaced
+from tessera.operators.running import TOTAL, running
+from tessera.operators.writes import first, met, taken
 
 COMMITTED = "task_id string, entity string, signature string"
 
@@ -64,40 +65,49 @@ def doubled(new: Column, old: Column, copies: Column) -> Column:
     return F.transform_values(new, grow)
 
 
-def pending(results: DataFrame, committed: DataFrame, task_id: str, mark: str) -> DataFrame:
+def mark(task_id: str, results: DataFrame) -> Column:
+    """The signature as a column of any query, computed with it."""
+    return F.concat(F.lit(f"{task_id}#"), total_bytes(results).scalar().cast("string"))
+
+
+def pending(results: DataFrame, committed: DataFrame, task_id: str) -> DataFrame:
     """Results that this task has not committed under the same signature."""
-    done = committed.where((F.col("task_id") == task_id) & (F.col("signature") == mark)).select("entity")
+    done = committed.where(F.col("task_id") == task_id).where(F.col("signature") == mark(task_id, results)).select("entity")
     return results.join(done, "entity", "left_anti")
 
 
-def run(entries: DataFrame, results: DataFrame, version_id: str, at, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+def run(
+    entries: DataFrame, results: DataFrame, version_id: str, at, compat: bool = False, compound: bool | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(entries after, decisions): additive merge, then guarded replacement, one row for each entity.
 
     Decisions are (entity, fields, accepted): a stale row counts as processed but
-    is not written. With ``compat``, equal rows of an entity compound and ranks
-    are read as the literal behaviour reads them.
+    is not written. With ``compat``, ranks are read as the literal behaviour reads
+    them; with ``compound``, by default the same, equal rows of an entity compound.
+    Entries and rows are dealt out once and meet in one join.
     """
-    rows = first(results, "fields")
-    if compat:
-        rows = rows.join(results.groupBy("entity").agg(F.count("*").alias("_copies")), "entity")
-    old = entries.select("entity", F.col("fields").alias("_old"), F.col("version_id").alias("_version"))
-    met = rows.join(old, "entity", "left")
-    held = F.coalesce("_old", no_fields())
-    value = doubled(F.col("fields"), held, F.col("_copies")) if compat else added(F.col("fields"), held)
-    stored = F.coalesce(version_rank(F.col("_version"), compat), F.lit(0))
-    incoming = version_rank(F.lit(version_id), compat)
-    decided = met.select("entity", value.alias("fields"), (stored <= incoming).alias("accepted"))
-    made = decided.where("accepted").select(
-        "entity", "fields", F.lit(version_id).alias("version_id"), F.lit(at).cast("timestamp_ntz").alias("written_at")
-    )
-    return replaced(entries, made), decided
-
-
-def retry(entries: DataFrame, results: DataFrame, committed: DataFrame, task_id: str, version_id: str, at) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, committed, decisions) after applying what the task has not committed yet."""
-    mark = signature(task_id, results)
-    after, decided = run(entries, pending(results, committed, task_id, mark), version_id, at)
-    new = decided.where("accepted").select(F.lit(task_id).alias("task_id"), "entity", F.lit(mark).alias("signature"))
+    compound = compat if compound is None else compound
+    new = results.groupBy("entity").agg(F.min_by(F.struct("fields"), "row_no").alias("new"), F.count("*").alias("copies"))
+    both = met(entries, new)
+    held = F.coalesce("old.fields", no_fields())
+    value = doubled(F.col("new.fields"), held, F.col("copies")) if compound else added(F.col("new.fields"), held)
+    stored = F.coalesce(version_rank(F.col("old.version_id"), compat), F.lit(0))
+    both = both.withColumn("accepted", F.col("new").isNotNull() & (stored <= version_rank(F.lit(version_id), compat)))
+    state = F.struct(value.alias("fields"), F.lit(version_id).alias("version_id"), F.lit(at).cast("timestamp_ntz").alias("written_at"))
+    decided = both.where("new IS NOT NULL").select("entity", value.alias("fields"), "accepted")
+    return taken(both, F.when(F.col("accepted"), state)), decided
+
+
+def retry(
+    entries: DataFrame, results: DataFrame, committed: DataFrame, task_id: str, version_id: str, at, compat: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, committed, decisions) after applying what the task has not committed yet.
+
+    An entity is committed with its first row, so that equal rows never compound
+    here; ``compat`` is about ranks only.
+    """
+    after, decided = run(entries, pending(results, committed, task_id), version_id, at, compat, compound=False)
+    new = decided.where("accepted").select(F.lit(task_id).alias("task_id"), "entity", mark(task_id, results).alias("signature"))
     return after, marked(committed, new), decided
 
 
@@ -108,10 +118,5 @@ def marked(committed: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def additive_history(log: DataFrame) -> DataFrame:
-    """Running counters over accepted rows (seq, entity, x): a row without x starts the counter anew."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("entity").orderBy("seq")
-    islands = log.withColumn("_island", F.sum(F.col("x").isNull().cast("int")).over(order))
-    inside = W.partitionBy("entity", "_island").orderBy("seq")
-    return islands.withColumn("total", F.sum("x").over(inside)).drop("_island")
+    """Running counters over accepted rows (seq, entity, x): a row without x starts the counter anew. A long entity is cut into ranges."""
+    return running(log, F.col("x").isNull(), F.col("x"), TOTAL, own=True).withColumnRenamed("_run", "total").drop("_fresh")

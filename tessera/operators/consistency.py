@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.times import micros
-from tessera.functions.values import canonical
+from tessera.functions.values import FIELDS, canonical, no_fields
 from tessera.operators.reads import projected
 from tessera.operators.versions import Manager, Version, switch_windows
 
 DEFAULT_STEP = timedelta(hours=1)
-#: Windows of one comparison, and time buckets by which entries meet them.
-MAX_WINDOWS, BUCKETS = 100_000, 4096
+#: Windows that are broadcast at most; more are joined by their time buckets. Buckets of a comparison, at least.
+MAX_BROADCAST, BUCKETS = 100_000, 4096
 
 
 def partition(spark: SparkSession, begin: datetime, until: datetime, step: timedelta) -> DataFrame:
@@ -46,15 +48,14 @@ def placed(entries: DataFrame, spans: DataFrame) -> DataFrame:
     bucket instead of every window.
     """
     edge = spans.agg(F.count("*").alias("n"), micros(F.min("begin")).alias("b"), micros(F.max("end")).alias("e")).first()
-    if edge.n > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} windows")
-    low, width = edge.b or 0, max(1, -(-((edge.e or 1) - (edge.b or 0)) // BUCKETS))
+    low, width = edge.b or 0, max(1, -(-((edge.e or 1) - (edge.b or 0)) // max(BUCKETS, edge.n)))
     bucket = lambda t: F.floor((micros(t) - F.lit(low)) / F.lit(width)).cast("int")
     cut = spans.select("window", F.col("begin").alias("_b"), F.col("end").alias("_e"))
     cut = cut.where("_e > _b").withColumn("_k", F.explode(F.sequence(bucket(F.col("_b")), bucket(F.col("_e")))))
     inside = (F.col("written_at") >= F.col("_b")) & (F.col("written_at") < F.col("_e"))
-    # At most MAX_WINDOWS + 2 * BUCKETS rows.
-    met = entries.withColumn("_k", bucket(F.col("written_at"))).join(F.broadcast(cut), "_k")
+    # About as many rows as windows and buckets.
+    cut = F.broadcast(cut) if edge.n <= MAX_BROADCAST else cut.hint("merge")
+    met = entries.withColumn("_k", bucket(F.col("written_at"))).join(cut, "_k")
     return met.where(inside).drop("_k", "_b", "_e")
 
 
@@ -65,16 +66,37 @@ def check(entries: DataFrame, offline: DataFrame, spans: DataFrame, version: Ver
     are only offline count with ``both``. Only the version's fields are compared.
     """
     names = version.fields if version is not None and version.fields else None
-    online = placed(projected(entries, names), spans)
-    left = online.select("entity", "window", F.explode("fields").alias("field", "_v"))
-    left = left.select("entity", "window", "field", canonical(F.col("_v")).alias("online"))
-    right = projected(offline, names).select("entity", F.explode("fields").alias("field", "_v"))
-    right = right.select("entity", "field", canonical(F.col("_v")).alias("offline"))
-    if both:
-        # Offline fields belong to the window of their entity's online entry.
-        right = right.join(online.select("entity", "window"), "entity")
-        met = left.join(right, ["entity", "field", "window"], "full_outer")
-    else:
-        met = left.join(right, ["entity", "field"], "left")
-    texts = met.withColumns({c: F.coalesce(c, F.lit("")) for c in ("online", "offline")})
-    return texts.where("online <> offline").select("entity", "field", "window", "online", "offline")
+    online = placed(projected(entries, names), spans).select("entity", "window", "fields")
+    other = projected(offline, names).select("entity", F.col("fields").alias("_other"))
+    # Whole maps meet once for an entity; only what differs becomes rows.
+    met = online.join(other, "entity", "left")
+    theirs = F.coalesce("_other", no_fields())
+    keys = F.map_keys("fields")
+    keys = F.array_union(keys, F.map_keys(theirs)) if both else keys
+    text = lambda held, k: F.coalesce(canonical(held[k]), F.lit(""))
+    pairs = F.transform(keys, lambda k: F.struct(k.alias("field"), text(F.col("fields"), k).alias("online"), text(theirs, k).alias("offline")))
+    differing = F.filter(pairs, lambda p: p.online != p.offline)
+    return met.select("entity", "window", F.inline(differing)).select("entity", "field", "window", "online", "offline")
+
+
+def offline_view(entries: DataFrame, view: Callable[[str], dict | None]) -> DataFrame:
+    """The offline view (entity, fields) of the entries' keys that a function gives key by key: a dict of plain values, or None for an entity that is not there.
+
+    For views that are no table; the function runs in Python workers, a batch of keys at a time.
+    """
+
+    def one(x: object) -> dict:
+        kind, slot = ("bool", "b") if isinstance(x, bool) else ("int", "i") if isinstance(x, int) else ("float", "f") if isinstance(x, float) else ("string", "s")
+        return {"type": kind, "s": None, "i": None, "f": None, "b": None, slot: x}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        schema = to_arrow_schema(StructType.fromDDL(f"entity string, fields {FIELDS}"))
+        for batch in batches:
+            found = [(k, v) for k in batch.column(0).to_pylist() if (v := view(k)) is not None]
+            columns = [[k for k, _ in found], [[(n, one(x)) for n, x in v.items() if x is not None] for _, v in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return entries.select("entity").mapInArrow(run, f"entity string, fields {FIELDS}")

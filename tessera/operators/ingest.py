@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.writes import ENTRY, first, merge_write
+from tessera.operators.writes import first, merge_write, met
 from tessera.sources.catalog import Table
 
 DEFAULT_WINDOW = 64
@@ -65,10 +65,9 @@ def last_before(journal: DataFrame) -> DataFrame:
 
 def rollback(entries: DataFrame, journal: DataFrame, batch_id: str) -> DataFrame:
     """Every entity of the batch as before it, version and time included; those that were not there go."""
-    was = first_before(journal, batch_id)
-    kept = entries.select(*ENTRY).join(was.select("entity"), "entity", "left_anti")
-    back = was.where("before IS NOT NULL").select("entity", "before.fields", "before.version_id", "before.written_at")
-    return kept.unionByName(back)
+    both = met(entries, first_before(journal, batch_id).select("entity", F.lit(True).alias("in_batch"), "before"))
+    state = F.when(F.col("in_batch"), F.col("before")).otherwise(F.col("old"))
+    return both.select("entity", state.alias("_s")).where("_s IS NOT NULL").select("entity", "_s.*")
 
 
 def ops_for(journal: DataFrame, batch_id: str, segment: int | None = None) -> DataFrame:

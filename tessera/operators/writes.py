@@ -7,10 +7,10 @@ before the shuffle, so that a much-written entity costs no more than others.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.values import no_fields, only, version_rank, without
+from tessera.operators.running import HIGHEST, running
 
 ENTRY = ("entity", "fields", "version_id", "written_at")
 
@@ -26,9 +26,26 @@ def first(log: DataFrame, *columns: str, by: str = "row_no", key: str = "entity"
     return log.groupBy(key).agg(picked.alias("_first")).select(key, *[F.col(f"_first.{c}").alias(c) for c in columns])
 
 
+#: What an entity has besides its key.
+STATE = ENTRY[1:]
+
+
+def met(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries and changes of the same entities side by side: entity, old (fields, version_id, written_at) and the columns of ``new``, nulls for what is missing.
+
+    One full outer join: each side is read and dealt out once.
+    """
+    return entries.select("entity", F.struct(*STATE).alias("old")).join(new, "entity", "full_outer")
+
+
+def taken(both: DataFrame, state: Column) -> DataFrame:
+    """Entries from the rows of ``met``: ``state`` where that is not null, else the old one; entities with neither are gone."""
+    return both.select("entity", F.coalesce(state, "old").alias("_s")).where("_s IS NOT NULL").select("entity", "_s.*")
+
+
 def replaced(entries: DataFrame, new: DataFrame) -> DataFrame:
     """``entries`` with those of ``new`` in place of their own."""
-    return entries.select(*ENTRY).join(new.select("entity"), "entity", "left_anti").unionByName(new.select(*ENTRY))
+    return taken(met(entries, new.select("entity", F.struct(*STATE).alias("new"))), F.col("new"))
 
 
 def write(entries: DataFrame, log: DataFrame) -> DataFrame:
@@ -49,10 +66,9 @@ def merged(old: Column, patch: Column, window: list[str]) -> Column:
 
 def merge_write(entries: DataFrame, log: DataFrame, window: list[str]) -> DataFrame:
     """Merge rows that share one window. Each sets or removes every window field, so that an entity's last row decides."""
-    new = last(log, "fields", "version_id", "written_at")
-    old = entries.select("entity", F.col("fields").alias("_old"))
-    made = new.join(old, "entity", "left").select("entity", merged(F.col("_old"), F.col("fields"), window).alias("fields"), "version_id", "written_at")
-    return replaced(entries, made)
+    both = met(entries, last(log, "fields", "version_id", "written_at").select("entity", F.struct(*STATE).alias("new")))
+    made = F.struct(merged(F.col("old.fields"), F.col("new.fields"), window).alias("fields"), "new.version_id", "new.written_at")
+    return taken(both, F.when(F.col("new").isNotNull(), made))
 
 
 def apply_log(entries: DataFrame, ops: DataFrame) -> DataFrame:
@@ -61,29 +77,25 @@ def apply_log(entries: DataFrame, ops: DataFrame) -> DataFrame:
     A write or delete resets an entity. A field's value is its last touch since
     the last reset; version and time are the last row's; an entity whose last row
     is a delete is gone.
+
+    Touches fold by entity and field, then by entity; the entries are met once.
     """
-    start = entries.join(ops.select("entity").distinct(), "entity", "left_semi").select(
-        F.lit(-1).cast("bigint").alias("seq"), F.lit("write").alias("op"), "entity", "fields",
-        F.lit(None).cast("array<string>").alias("window"), "version_id", "written_at",
-    )
-    log = start.unionByName(ops.select(F.col("seq").cast("bigint"), "op", "entity", "fields", "window", "version_id", "written_at"))
-    ends = log.groupBy("entity").agg(
-        F.max_by(F.struct("op", "version_id", "written_at"), "seq").alias("_last"),
-        F.max(F.when(F.col("op") != "merge", F.col("seq"))).alias("_reset"),
-    )
     names = F.when(F.col("op") == "write", F.map_keys("fields")).when(F.col("op") == "merge", F.col("window"))
-    touch = log.select("entity", "seq", "fields", F.explode(names).alias("field"))
-    touch = touch.select("entity", "seq", "field", F.col("fields")[F.col("field")].alias("value"))
-    # The last touch of a field decides it, or the reset after it: one row of each field meets the resets.
-    final = touch.groupBy("entity", "field").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
-    final = final.join(ends.select("entity", "_reset"), "entity").where("value IS NOT NULL AND (_reset IS NULL OR seq >= _reset)")
-    kept = final.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
-    made = (
-        ends.where("_last.op <> 'delete'").join(kept, "entity", "left")
-        .select("entity", F.coalesce("fields", no_fields()).alias("fields"), "_last.version_id", "_last.written_at")
-    )
-    untouched = entries.select(*ENTRY).join(ops.select("entity").distinct(), "entity", "left_anti")
-    return untouched.unionByName(made)
+    # Besides its fields a row touches the entity as a whole: the field without a name.
+    names = F.concat(F.coalesce(names, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    rows = ops.select("entity", "op", "version_id", "written_at", F.col("seq").cast("bigint").alias("seq"), "fields", F.explode(names).alias("field"))
+    whole = F.col("field").isNull()
+    touch = rows.select("entity", "field", "seq", F.struct(F.when(~whole, F.col("fields")[F.col("field")]).alias("value"), F.when(whole, F.struct("op", "version_id", "written_at")).alias("row")).alias("t"),
+                        F.when(whole & (F.col("op") != "merge"), F.col("seq")).alias("reset"))
+    fields = touch.groupBy("entity", "field").agg(F.max_by("t", "seq").alias("t"), F.max("seq").alias("seq"), F.max("reset").alias("reset"))
+    touched = F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "seq", F.col("t.value").alias("value"))))
+    ends = fields.groupBy("entity").agg(touched.alias("touched"), F.max("reset").alias("reset"), F.max("t.row").alias("row"))
+    both = met(entries, ends)
+    since = F.filter("touched", lambda x: x.value.isNotNull() & (F.col("reset").isNull() | (x.seq >= F.col("reset"))))
+    kept = F.map_filter(F.coalesce("old.fields", no_fields()), lambda k, _: F.col("reset").isNull() & ~F.array_contains(F.transform("touched", lambda x: x.field), k))
+    made = F.map_concat(kept, F.map_from_entries(F.transform(since, lambda x: F.struct(x.field, x.value))))
+    state = F.when(F.col("row.op") != "delete", F.struct(made.alias("fields"), "row.version_id", "row.written_at"))
+    return taken(both.withColumn("old", F.when(F.col("row.op").isNull() | (F.col("row.op") != "delete"), F.col("old"))), state)
 
 
 def guarded(log: DataFrame, entries: DataFrame | None = None, compat: bool = False) -> DataFrame:
@@ -92,22 +104,19 @@ def guarded(log: DataFrame, entries: DataFrame | None = None, compat: bool = Fal
     A row is accepted unless an entity's stored version ranks higher. Accepted
     ranks never fall, so the stored one is the highest before. A row whose column
     ``unguarded`` is true is always accepted and starts anew from its own rank.
+    An entity with most of the log is cut into ranges of it, as ``running`` says.
     """
-    rank = version_rank(F.col("version_id"), compat)
-    rows = log.withColumn("rank", rank)
+    rows = log.withColumn("rank", version_rank(F.col("version_id"), compat))
     if "unguarded" not in log.columns:
         rows = rows.withColumn("unguarded", F.lit(False))
+    before = running(rows, F.coalesce("unguarded", F.lit(False)), F.col("rank"), HIGHEST, own=False)
     stored = F.lit(0).cast("bigint")
     if entries is not None:
         held = entries.select("entity", version_rank(F.col("version_id"), compat).alias("_stored"))
-        rows = rows.join(held, "entity", "left")
+        before = before.join(held, "entity", "left")
         stored = F.coalesce("_stored", F.lit(0)).cast("bigint")
-    order = W.partitionBy("entity").orderBy("seq")
-    rows = rows.withColumn("_island", F.sum(F.col("unguarded").cast("int")).over(order))
-    inside = W.partitionBy("entity", "_island").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    before = F.max("rank").over(inside)
-    floor = F.when(F.col("_island") == 0, F.greatest(F.coalesce(before, F.lit(0)), stored)).otherwise(F.coalesce(before, F.lit(0)))
-    out = rows.withColumn("accepted", F.col("unguarded") | (F.col("rank") >= floor)).drop("_island", "_stored")
+    floor = F.greatest(F.coalesce("_run", F.lit(0)), F.when(F.col("_fresh"), stored).otherwise(0))
+    out = before.withColumn("accepted", F.col("unguarded") | (F.col("rank") >= floor)).drop("_run", "_fresh", "_stored")
     return out if "unguarded" in log.columns else out.drop("unguarded")
 
 
@@ -118,11 +127,7 @@ def compare_and_write(entries: DataFrame, log: DataFrame, compat: bool = False)
     below the stored rank: an aggregate instead of a chain.
     """
     ranked = log.withColumn("_rank", version_rank(F.col("version_id"), compat))
-    top = ranked.groupBy("entity").agg(
-        F.max_by(F.struct("fields", "version_id", "written_at"), F.struct("_rank", "seq")).alias("_top"), F.max("_rank").alias("_rank")
-    )
-    stored = entries.select("entity", version_rank(F.col("version_id"), compat).alias("_stored"))
-    passed = top.join(stored, "entity", "left").where(F.coalesce("_stored", F.lit(0)) <= F.col("_rank"))
-    return replaced(entries, passed.select("entity", "_top.*"))
-
-
+    top = ranked.groupBy("entity").agg(F.max_by(F.struct(*STATE), F.struct("_rank", "seq")).alias("new"), F.max("_rank").alias("rank"))
+    both = met(entries, top)
+    stored = F.coalesce(version_rank(F.col("old.version_id"), compat), F.lit(0))
+    return taken(both, F.when(stored <= F.col("rank"), F.col("new")))
