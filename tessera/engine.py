@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -13,6 +15,7 @@ from tessera.functions.keys import Expansion, Router, require_entity
 from tessera.functions.values import canonical
 from tessera.operators import backfill, consistency, ingest, reads, ttl, writes
 from tessera.operators.versions import Manager, Version
+from tessera.sources.cache import ReadCache
 from tessera.sources.catalog import Registry, seeded
 from tessera.sources.store import Store
 
@@ -51,22 +54,40 @@ class Engine:
         self.tasks: dict[str, Task] = {}
         self.batches: dict[str, dict] = {}
         self._views: dict[tuple[int, str], DataFrame] = {}
-        if held := self.store.meta:
-            self.versions.load_dict(held["versions"])
-            self.tasks = {k: Task(**v) for k, v in held["tasks"].items()}
-            self.batches, self.router.shards = held["batches"], held["shards"]
+        self._reads = ReadCache()
+        #: The last number in the journal.
+        self.journal_seq = 0
+        self._shards = shards
+        self._load()
         self.versions.hooks.append(lambda ids: self.invalidate_all())
 
     # ------------------------------------------------------------ state
 
-    def _commit(self, entries: tuple[DataFrame, list[int]] | None = None, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
+    def _load(self) -> None:
+        """What the store's last commit says, the start of all if there is none."""
+        held = self.store.meta or {"versions": {"active_id": "", "versions": []}, "tasks": {}, "batches": {}, "shards": self._shards}
+        held = json.loads(json.dumps(held))
+        self.versions.load_dict(held["versions"])
+        self.tasks = {k: Task(**v) for k, v in held["tasks"].items()}
+        self.batches, self.router.shards = held["batches"], held["shards"]
+        self.journal_seq = held.get("journal_seq", 0)
+
+    def _commit(
+        self, entries: tuple[DataFrame, list[int]] | None = None, append: dict[str, DataFrame] | None = None, results: dict[str, DataFrame] | None = None,
+        **tables: DataFrame,
+    ) -> int:
+        """Write the change and everything in memory; if that fails, memory is again what the store has."""
         meta = {
             "versions": self.versions.state_dict(), "tasks": {k: vars(t) for k, t in self.tasks.items()},
-            "batches": self.batches, "shards": self.router.shards,
+            "batches": self.batches, "shards": self.router.shards, "journal_seq": self.journal_seq,
         }
-        n = self.store.commit(tables, append, entries, meta)
-        self.invalidate_all()
-        return n
+        try:
+            return self.store.commit(tables, append, entries, meta, results=results)
+        except Exception:
+            self._load()
+            raise
+        finally:
+            self.invalidate_all()
 
     def _touched(self, keys: DataFrame) -> tuple[DataFrame, list[int]]:
         """The entries of the buckets that hold ``keys``, and those buckets: all that a change of the keys reads and rewrites."""
@@ -89,8 +110,14 @@ class Engine:
         for view in self._views.values():
             view.unpersist()
         self._views = {}
+        self._reads.clear()
+
+    def invalidate_entity(self, entity: str) -> None:
+        """Forget the snapshots of one entity, whatever their version; whole views hold all entities and go with the next change."""
+        self._reads.invalidate_entity(entity)
 
     def invalidate_version(self, version_id: str) -> None:
+        self._reads.invalidate_version(version_id)
         for key in [k for k in self._views if k[1] == version_id]:
             self._views.pop(key).unpersist()
 
@@ -103,7 +130,14 @@ class Engine:
         return self._views[key]
 
     def cache_size(self) -> int:
-        return len(self._views)
+        return len(self._views) + len(self._reads)
+
+    def maintain(self) -> bool:
+        """Grow the buckets with the data and gather the journal's parts, where due."""
+        done = self.store.maintain()
+        if done:
+            self.invalidate_all()
+        return done
 
     # ------------------------------------------------------------ versions
 
@@ -130,6 +164,19 @@ class Engine:
         entries = self._touched(keys)[0] if few else self.entries
         return reads.read(keys, entries, v, version_id or (v.id if v else ""))
 
+    def get(self, entity: str, version_id: str = "") -> dict | None:
+        """Canonical texts of one entity's fields in a layout, None if it is not there; kept until a change, absent ones too."""
+        v = self.versions.get(version_id) if version_id else self.versions.resolve_active()
+        shown = version_id or (v.id if v else "")
+        known, found = self._reads.get(entity, shown)
+        if not known:
+            keys = self.spark.createDataFrame([(entity,)], "entity string")
+            stored = reads.projected(reads.entry_for(keys, self._touched(keys)[0]), reads.layout(v))
+            row = stored.select("version_id", F.transform_values("fields", lambda _, x: canonical(x)).alias("fields")).first()
+            found = None if row.fields is None else dict(row.fields)
+            self._reads.put(entity, shown, found)
+        return found
+
     def read_strings(self, keys: DataFrame, version_id: str = "") -> DataFrame:
         return self.read(keys, version_id).withColumn("fields", F.transform_values("fields", lambda _, v: canonical(v)))
 
@@ -151,38 +198,44 @@ class Engine:
         """Keys trimmed and checked; as they are with ``compat``."""
         return rows if self.compat else rows.withColumn(column, require_entity(F.col(column)))
 
-    def _log(self, rows: DataFrame, version_id: str | None, at: datetime | None) -> DataFrame:
-        out = rows if "seq" in rows.columns else rows.withColumn("seq", F.lit(0).cast("bigint"))
+    @contextmanager
+    def _log(self, rows: DataFrame, version_id: str | None, at: datetime | None):
+        """The rows as a log, written once. Without a column seq, rows of one key have an order by their content, the same in every run."""
+        out = self._valid(rows)
+        if "seq" not in out.columns:
+            out = out.withColumn("seq", F.xxhash64(F.to_json(F.array_sort(F.map_entries("fields")))))
         if version_id is not None:
             out = out.withColumn("version_id", F.lit(version_id))
-        return out if "written_at" in out.columns else out.withColumn("written_at", F.lit(at or self.clock()).cast("timestamp_ntz"))
+        if "written_at" not in out.columns:
+            out = out.withColumn("written_at", F.lit(at or self.clock()).cast("timestamp_ntz"))
+        with self.store.staged(out) as log:
+            yield (log, *self._touched(log))
 
     def write(self, rows: DataFrame, version_id: str | None = None, at: datetime | None = None) -> int:
         """Replace entities by rows (entity, fields), in order of a column seq if there is one."""
-        log = self._log(self._valid(rows), version_id, at)
-        before, buckets = self._touched(log)
-        return self._commit((writes.write(before, log), buckets))
+        with self._log(rows, version_id, at) as (log, before, buckets):
+            return self._commit((writes.write(before, log), buckets))
 
     def merge_write(self, rows: DataFrame, window: list[str], version_id: str, at: datetime | None = None) -> int:
-        log = self._log(self._valid(rows), version_id, at)
-        before, buckets = self._touched(log)
-        return self._commit((writes.merge_write(before, log, window), buckets))
+        with self._log(rows, version_id, at) as (log, before, buckets):
+            return self._commit((writes.merge_write(before, log, window), buckets))
 
     def compare_and_write(self, rows: DataFrame, version_id: str | None = None, at: datetime | None = None) -> DataFrame:
-        """Guarded replacement; the log with a column accepted."""
-        log = self._log(self._valid(rows), version_id, at)
-        before, buckets = self._touched(log)
-        decided = writes.guarded(log, before, self.compat)
-        self._commit((writes.compare_and_write(before, log, self.compat), buckets))
-        return decided
+        """Guarded replacement; the log with a column accepted, as it was decided, readable until the second change after this one."""
+        with self._log(rows, version_id, at) as (log, before, buckets):
+            decided = writes.guarded(log, before, self.compat)
+            self._commit((writes.compare_and_write(before, log, self.compat), buckets), results={"verdicts": decided})
+        return self.store.result("verdicts")
 
     def apply_log(self, ops: DataFrame) -> int:
-        before, buckets = self._touched(ops)
-        return self._commit((writes.apply_log(before, ops), buckets))
+        with self.store.staged(ops) as log:
+            before, buckets = self._touched(log)
+            return self._commit((writes.apply_log(before, log), buckets))
 
     def delete(self, keys: DataFrame) -> int:
-        before, buckets = self._touched(keys)
-        return self._commit((writes.delete(before, keys), buckets))
+        with self.store.staged(keys.select("entity").distinct()) as gone:
+            before, buckets = self._touched(gone)
+            return self._commit((writes.delete(before, gone), buckets))
 
     # ------------------------------------------------------------ imports
 
@@ -191,18 +244,18 @@ class Engine:
         if not batch_id:
             raise ValueError("empty batch id")
         table = self.registry.must_get(table_id)
-        rows = self._valid(rows)
-        n = rows.count()
-        if not n:
-            raise ValueError("no rows to import")
-        window = ingest.field_window(rows, table)
-        (before, buckets), journal = self._touched(rows), self.journal
-        base = (journal.agg(F.max("journal_seq").alias("m")).first().m or 0) + 1
-        ops = ingest.journal_of(before, rows, batch_id, base, self.import_window)
-        size = self.import_window if self.import_window > 0 else ingest.DEFAULT_WINDOW
-        self.batches[batch_id] = {"version_id": version_id, "segments": -(-n // size), "rows": n, "failed": False}
-        after = ingest.import_batch(before, rows, window, version_id, at or self.clock())
-        self._commit((after, buckets), append={"journal": ops})
+        with self.store.staged(self._valid(rows)) as rows:
+            size = rows.agg(F.count("*").alias("n"), F.max("row_no").alias("last")).first()
+            if not size.n:
+                raise ValueError("no rows to import")
+            window = ingest.field_window(rows, table)
+            before, buckets = self._touched(rows)
+            ops = ingest.journal_of(before, rows, batch_id, self.journal_seq + 1, self.import_window)
+            width = self.import_window if self.import_window > 0 else ingest.DEFAULT_WINDOW
+            self.batches[batch_id] = {"version_id": version_id, "segments": -(-size.n // width), "rows": size.n, "failed": False}
+            self.journal_seq += size.last + 1
+            after = ingest.import_batch(before, rows, window, version_id, at or self.clock())
+            self._commit((after, buckets), append={"journal": ops})
         return self.batches[batch_id]
 
     def rollback_import(self, batch_id: str) -> None:
@@ -227,29 +280,29 @@ class Engine:
         if not task_id:
             raise ValueError("empty task id")
         v = self.versions.must_get(version_id)
-        rows = self._valid(rows)
         now = at or self.clock()
-        before, buckets = self._touched(rows)
-        after, decided = backfill.run(before, rows, v.id, now, self.compat)
-        counts = decided.agg(F.count_if("accepted").alias("written"), F.count("*").alias("n")).first()
-        total = rows.count() if self.compat else counts.n
-        state = "done" if total and counts.n >= 1 else "running"
-        self.tasks[task_id] = Task(task_id, v.table_id, state, total, total, now.isoformat())
-        tables = {}
-        if not self.compat:
-            new = decided.where("accepted").select(F.lit(task_id).alias("task_id"), "entity", backfill.mark(task_id, rows).alias("signature"))
-            tables["committed"] = backfill.marked(self.committed, new)
-        self._commit((after, buckets), **tables)
+        with self.store.staged(self._valid(rows)) as rows:
+            before, buckets = self._touched(rows)
+            after, decided = backfill.run(before, rows, v.id, now, self.compat)
+            counts = decided.agg(F.count_if("accepted").alias("written"), F.count("*").alias("n")).first()
+            total = rows.count() if self.compat else counts.n
+            state = "done" if total and counts.n >= 1 else "running"
+            self.tasks[task_id] = Task(task_id, v.table_id, state, total, total, now.isoformat())
+            tables = {}
+            if not self.compat:
+                new = decided.where("accepted").select(F.lit(task_id).alias("task_id"), "entity", backfill.mark(task_id, rows).alias("signature"))
+                tables["committed"] = backfill.marked(self.committed, new)
+            self._commit((after, buckets), **tables)
         return counts.written
 
     def retry(self, task_id: str, version_id: str, rows: DataFrame, at: datetime | None = None) -> int:
         """Apply what the task has not committed under the rows' signature; the number of entities written."""
         v = self.versions.must_get(version_id)
-        rows = self._valid(rows)
-        before, buckets = self._touched(rows)
-        after, committed, decided = backfill.retry(before, rows, self.committed, task_id, v.id, at or self.clock(), self.compat)
-        written = decided.where("accepted").count()
-        self._commit((after, buckets), committed=committed)
+        with self.store.staged(self._valid(rows)) as rows:
+            before, buckets = self._touched(rows)
+            after, committed, decided = backfill.retry(before, rows, self.committed, task_id, v.id, at or self.clock(), self.compat)
+            written = decided.where("accepted").count()
+            self._commit((after, buckets), committed=committed)
         return written
 
     def task(self, task_id: str) -> Task | None:
@@ -262,10 +315,12 @@ class Engine:
         self._commit()
         return change
 
-    def check(self, begin: datetime, until: datetime, offline: DataFrame | None = None, both: bool = False) -> DataFrame:
-        """Differences to an offline view (entity, fields), over windows between version switches or steps."""
+    def check(
+        self, begin: datetime, until: datetime, offline: DataFrame | Callable[[str], dict | None] | None = None, both: bool = False
+    ) -> DataFrame:
+        """Differences to an offline view, a table (entity, fields) or a function of the key, over windows between version switches or steps."""
         spans = consistency.windows(self.spark, self.versions, begin, until, self.step)
-        other = offline if offline is not None else self.entries.where("false")
+        other = self.entries.where("false") if offline is None else consistency.offline_view(self.entries, offline) if callable(offline) else offline
         return consistency.check(self.entries, other, spans, self.versions.resolve_active(), both)
 
     def scan_expired(self, now: datetime | None = None) -> int:
