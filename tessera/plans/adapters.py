@@ -67,3 +67,30 @@ ITEM = """item AS (SELECT concat('item_', CAST(p_partkey AS VARCHAR)) AS entity,
   CAST(p_size AS BIGINT) AS stock, CAST(p_size % 50 AS DOUBLE) / 10.0 AS rating, p_size < 10 AS on_sale FROM part)"""
 OPLOG = """oplog AS (SELECT event_id AS seq, concat('user_', CAST(user_id AS VARCHAR)) AS entity, event_type AS field, value,
   concat('user_profile-v', CAST(1 + event_id % 12 AS VARCHAR)) AS version_id, 1 + event_id % 12 AS rank, epoch_us(ts) AS us FROM events)"""
+
+
+def hashed_sql(source: str, key: str) -> str:
+    """CTEs whose last, ``hashed``, is ``source`` with h, the XXH64 of its ASCII ``key`` of under 32 characters with seed 0, step by step in 128-bit integers.
+
+    Each step is materialised: the planner would write steps into each other.
+    """
+    # The five primes of XXH64.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    big = lambda n: f"{n}::UHUGEINT"
+    m = big(1 << 64)
+    times = lambda x, n: f"(({x}) * {big(n)} % {m})"
+    turn = lambda x, r: f"(({x}) * {big(1 << r)} % {m} + ({x}) // {big(1 << (64 - r))})"
+    byte = lambda at: f"(CASE WHEN {at} < n THEN ascii(substr({key}, CAST({at} + 1 AS BIGINT), 1)) ELSE 0 END)::UHUGEINT"
+    little = lambda at, size: "(" + " + ".join(f"{byte(f'({at} + {j})')} * {big(256**j)}" for j in range(size)) + ")"
+    steps = [f"({big(p5)} + n::UHUGEINT)"]
+    for lane in range(3):
+        eight = f"({times(turn(times(little(8 * lane, 8), p2), 31), p1)})"
+        steps += [f"CASE WHEN n >= {8 * lane + 8} THEN xor(h, {eight}) ELSE h END", f"CASE WHEN n >= {8 * lane + 8} THEN ({turn('h', 27)} * {big(p1)} + {big(p4)}) % {m} ELSE h END"]
+    steps += [f"CASE WHEN n % 8 >= 4 THEN xor(h, {times(little('(n // 8 * 8)', 4), p1)}) ELSE h END", f"CASE WHEN n % 8 >= 4 THEN ({turn('h', 23)} * {big(p2)} + {big(p3)}) % {m} ELSE h END"]
+    for i in range(3):
+        steps += [f"CASE WHEN n % 4 > {i} THEN xor(h, {times(byte(f'(n // 4 * 4 + {i})'), p5)}) ELSE h END", f"CASE WHEN n % 4 > {i} THEN {times(turn('h', 11), p1)} ELSE h END"]
+    for shift, prime in ((33, p2), (29, p3), (32, 1)):
+        steps += [f"xor(h, h // {big(1 << shift)})", times("h", prime)]
+    out = [f"hash0 AS (SELECT *, length({key}) AS n FROM {source})", f"hash1 AS MATERIALIZED (SELECT *, {steps[0]} AS h FROM hash0)"]
+    out += [f"hash{i} AS MATERIALIZED (SELECT * REPLACE ({x} AS h) FROM hash{i - 1})" for i, x in enumerate(steps[1:], 2)]
+    return ", ".join([*out, f"hashed AS MATERIALIZED (SELECT * FROM hash{len(steps)})"])

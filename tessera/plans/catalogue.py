@@ -12,7 +12,7 @@ from tessera.functions.times import micros
 from tessera.functions.values import canonical, decode_fields, fields_of, float_value, int_value, string_value, version_rank
 from tessera.operators import backfill, consistency, ingest, reads, ttl, writes
 from tessera.operators.versions import Manager, Version, transitions
-from tessera.plans.adapters import ITEM, OPLOG, PROFILE, counters, item, oplog, profile, table
+from tessera.plans.adapters import ITEM, OPLOG, PROFILE, counters, hashed_sql, item, oplog, profile, table
 from tessera.sources.catalog import ITEM_PROFILE, USER_PROFILE, Field, Table, seeded
 from tessera.sources.rows import as_json, exploded
 
@@ -97,7 +97,10 @@ def field_names(spark: SparkSession, d: str) -> DataFrame:
     return profile(spark, d).select("entity", F.explode(names(F.col("fields"))).alias("field"))
 
 
-@query()
+_HASHED = hashed_sql("profile", "entity")
+
+
+@query("SELECT entity FROM hashed WHERE h % 16 = 3", PROFILE, _HASHED)
 def shard_scan(spark: SparkSession, d: str) -> DataFrame:
     """Entities of one of 16 shards."""
     return reads.keys_of(profile(spark, d), 3, 16)
@@ -143,27 +146,29 @@ def parse_entity(spark: SparkSession, d: str) -> DataFrame:
     return _raw_keys(spark, d).select("c_custkey", K.parse_entity(F.col("raw")).alias("entity"))
 
 
-@query("SELECT c_custkey, CAST(CASE WHEN c_custkey % 7 IN (0, 2) THEN 0 ELSE 1 END AS BIGINT) AS routed FROM customer")
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 7 NOT IN (0, 2) THEN CAST(h % 8 AS INTEGER) END AS shard FROM hashed",
+    "raw AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 1 THEN concat(chr(9), c_name, ' ', chr(10)) WHEN c_custkey % 7 IN (0, 2) THEN '' ELSE c_name END AS raw FROM customer)", hashed_sql("raw", "raw"),
+)
 def route_entity(spark: SparkSession, d: str) -> DataFrame:
-    """only valid keys have a shard, and it is in range."""
-    shard = K.route_entity(F.col("raw"), 8)
-    return _raw_keys(spark, d).select("c_custkey", F.coalesce(shard.between(0, 7), F.lit(False)).cast("bigint").alias("routed"))
+    """the shard of a valid key, hashed as it is; none for others."""
+    return _raw_keys(spark, d).select("c_custkey", K.route_entity(F.col("raw"), 8).alias("shard"))
 
 
-@query("SELECT concat('user_', CAST(c_custkey AS VARCHAR)) AS entity, true AS in_range, true AS grows_within FROM customer")
+@query("SELECT entity, CAST(h % 16 AS INTEGER) AS of_16, CAST(h % 64 AS INTEGER) AS of_64, CAST(h % 7 AS INTEGER) AS of_7, 0 AS of_none FROM hashed", PROFILE, _HASHED)
 def route_shards(spark: SparkSession, d: str) -> DataFrame:
-    """slots are in range, and a slot of 64 modulo 16 is the slot of 16."""
+    """slots of several counts, no shards included."""
     e = F.col("entity")
-    return profile(spark, d).select("entity", K.slot(e, 16).between(0, 15).alias("in_range"), (K.slot(e, 64) % 16 == K.slot(e, 16)).alias("grows_within"))
+    return profile(spark, d).select("entity", K.Router(16).route(e).alias("of_16"), K.slot(e, 64).alias("of_64"), K.slot(e, 7).alias("of_7"), K.slot(e, 0).alias("of_none"))
 
 
-@query()
+@query("SELECT entity, CAST(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN CAST(h AS HUGEINT) - 18446744073709551616 ELSE CAST(h AS HUGEINT) END AS BIGINT) AS hash, CAST(h % 16 AS INTEGER) AS slot FROM hashed", PROFILE, _HASHED)
 def hash_keys(spark: SparkSession, d: str) -> DataFrame:
     """XXH64 with seed 0 as a long, and the slot of 16."""
     return profile(spark, d).select("entity", K.hash_key(F.col("entity")).alias("hash"), K.slot(F.col("entity"), 16).alias("slot"))
 
 
-@query()
+@query("SELECT h % 16 = h % 64 AS stays, count(*) AS n FROM hashed GROUP BY 1", PROFILE, _HASHED)
 def expand_reachability(spark: SparkSession, d: str) -> DataFrame:
     """T4, D3: what would stay where it is if 16 shards became 64 without moving entries."""
     moved = K.reachable(F.col("entity"), 16, 64)

@@ -120,7 +120,8 @@ class Store:
         """
         buckets = buckets or self.pointer["buckets"]
         n = self.generation + 1
-        home, held = f"{self.path}/gen={n:08d}", dict(self.pointer["tables"])
+        # The folder is this writer's own, whoever else is writing.
+        home, held = f"{self.path}/gen={n:08d}-{uuid.uuid4().hex[:12]}", dict(self.pointer["tables"])
         for name, frame in (tables or {}).items():
             held[name] = [f"{home}/{name}"]
             frame.write.mode("overwrite").parquet(held[name][0])
@@ -139,7 +140,7 @@ class Store:
                 places.pop(str(k), None)
                 if self._fs.exists(self._path(place)):
                     places[str(k)] = place
-        pointer = {"generation": n, "tables": held, "buckets": buckets, "entries": places, "meta": self.meta if meta is None else meta}
+        pointer = {"generation": n, "home": home, "tables": held, "buckets": buckets, "entries": places, "meta": self.meta if meta is None else meta}
         text = json.dumps(pointer, default=_plain)
         self._replace_pointer(text)
         self.pointer = json.loads(text)
@@ -148,7 +149,7 @@ class Store:
 
     def result(self, name: str) -> DataFrame:
         """A result written with this generation; its files stay as long as the generation, ``keep`` commits at least."""
-        return self.spark.read.parquet(f"{self.path}/gen={self.generation:08d}/{name}")
+        return self.spark.read.parquet(f"{self.pointer['home']}/{name}")
 
     def _replace_pointer(self, text: str) -> None:
         """Write a new file, then rename it over the old one in one step, if that is still the one this store has read."""
@@ -170,8 +171,8 @@ class Store:
     def _drop_old(self) -> None:
         """Remove generations that neither the pointer nor a reader of the last few needs."""
         paths = [*self.pointer["entries"].values(), *(p for ps in self.pointer["tables"].values() for p in ps)]
-        held = {m[0] for p in paths if (m := re.search(r"gen=\d+", p.removeprefix(self.path)))}
+        held = {m[0] for p in paths if (m := re.search(r"gen=[^/]+", p.removeprefix(self.path)))}
         for status in self._fs.listStatus(self._path(self.path)):
             name = status.getPath().getName()
-            if name.startswith("gen=") and name not in held and int(name[4:]) <= self.generation - self.keep:
+            if name.startswith("gen=") and name not in held and int(name[4:12]) <= self.generation - self.keep:
                 self._fs.delete(status.getPath(), True)

@@ -216,3 +216,63 @@ def test_a_change_rewrites_its_buckets_only(spark, engine):
     assert engine.entries.count() == 500
     engine.delete(keys(spark, *[f"e{i}" for i in range(500)]))
     assert engine.entries.count() == 0 and engine.store.pointer["entries"] == {}
+
+
+def test_a_failed_change_leaves_nothing_behind(spark, engine):
+    v = engine.create_version("user_profile")
+    engine.write(rows(spark, u=fields_of(age=int_value(F.lit(1)))), v.id)
+    before = (engine.store.generation, engine.versions.state_dict(), dict(engine.batches), engine.journal_seq)
+    bad = rows(spark, u=fields_of(age=int_value(F.raise_error(F.lit("broken")).cast("bigint"))))
+    for change in (lambda: engine.write(bad, v.id), lambda: engine.import_rows("b", "user_profile", bad, v.id), lambda: engine.backfill("t", v.id, bad)):
+        with pytest.raises(Exception, match="broken"):
+            change()
+    # The write of a commit itself fails: what was changed in memory before is undone.
+    commit, engine.store.commit = engine.store.commit, None
+    for change in (lambda: engine.publish(v.id), lambda: engine.create_version("item_profile"), lambda: engine.import_rows("b", "user_profile", rows(spark, w=fields_of(age=int_value(F.lit(2)))), v.id), lambda: engine.expand(64)):
+        with pytest.raises(TypeError):
+            change()
+    engine.store.commit = commit
+    assert (engine.store.generation, engine.versions.state_dict(), engine.batches, engine.journal_seq) == before
+    assert engine.task("t") is None and engine.router.shards == 16 and engine.entries.count() == 1
+    assert not [s for s in engine.store._fs.listStatus(engine.store._path(engine.store.path)) if "staged" in s.getPath().getName()]
+
+
+def test_a_second_writer_is_found_out(spark, engine):
+    engine.write(rows(spark, a=fields_of(x=int_value(F.lit(1)))), "v")
+    other = Engine(spark, engine.store.path)
+    other.write(rows(spark, b=fields_of(x=int_value(F.lit(1)))), "v")
+    with pytest.raises(RuntimeError, match="another writer"):
+        engine.write(rows(spark, c=fields_of(x=int_value(F.lit(1)))), "v")
+    assert {r.entity for r in Engine(spark, engine.store.path).entries.collect()} == {"a", "b"}
+
+
+def test_buckets_grow_and_journals_are_gathered(spark, engine):
+    many = spark.range(300).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("entity"), fields_of(x=int_value(F.col("id"))).alias("fields"))
+    engine.write(many, "v")
+    for i in range(3):
+        engine.import_rows(f"b{i}", "user_profile", rows(spark, e1=fields_of(age=int_value(F.lit(i)))), "v")
+    held = sorted((r.journal_seq, r.batch_id) for r in engine.journal.collect())
+    assert not engine.maintain() and [n for n, _ in held] == [1, 2, 3]
+    assert engine.store.maintain(bucket_bytes=1000, parts=2)
+    assert engine.store.pointer["buckets"] > 64 and len(engine.store.pointer["tables"]["journal"]) == 1
+    assert sorted((r.journal_seq, r.batch_id) for r in engine.journal.collect()) == held
+    again = Engine(spark, engine.store.path)
+    assert again.entries.count() == 300 and again.get("e7") == {"x": "7"}
+    again.write(rows(spark, e7=fields_of(x=int_value(F.lit(-1)))), "v")
+    assert again.entries.count() == 300 and again.get("e7") == {"x": "-1"} and again.get("none") is None
+
+
+def test_rows_without_an_order_have_one(spark, engine):
+    both = rows(spark, u=fields_of(x=int_value(F.lit(1)))).union(rows(spark, u=fields_of(x=int_value(F.lit(2))))).select("entity", "fields")
+    seen = set()
+    for frame in (both, both.repartition(3), both.orderBy(F.desc(F.col("fields")["x"].i))):
+        engine.write(frame, "v")
+        seen.add(engine.get("u")["x"])
+    assert len(seen) == 1
+
+
+def test_verdicts_are_stored(spark, engine):
+    log = spark.createDataFrame([(0, "a", {}, "t-v2", T0), (1, "a", {}, "t-v1", T0), (2, "a", {}, "t-v3", T0)], f"seq bigint, {ENTRIES}")
+    found = engine.compare_and_write(log)
+    engine.write(rows(spark, a=fields_of(x=int_value(F.lit(1)))), "t-v9")
+    assert {r.seq: r.accepted for r in found.collect()} == {0: True, 1: False, 2: True}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.values import ENTRIES, VALUE
 from tessera.operators import backfill, ingest, ttl, writes
+from tessera.operators.running import HIGHEST, TOTAL, running
 
 T0 = datetime(2024, 1, 1)
 LOG = f"seq bigint, op string, entity string, fields map<string,{VALUE}>, window array<string>, version_id string, written_at timestamp_ntz"
@@ -76,6 +77,30 @@ def test_guarded_log(spark, seed):
     assert fields(writes.compare_and_write(start, frame)) == state
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7, 256])
+def test_running_folds(spark, ranges):
+    """Runs, restarts and ranges of all lengths; seq with gaps, nulls among values."""
+    rng = random.Random(ranges)
+    log = [(i * i % 7919 + i * 3 - 500, f"e{int(rng.random() ** 3 * 4)}", rng.choice([None, *range(20)]), rng.random() < 0.1) for i in range(400)]
+    log = [(seq, *rest) for seq, *rest in {r[0]: r for r in log}.values()]
+    frame = spark.createDataFrame(log, "seq bigint, entity string, v bigint, again boolean")
+    for fold, plain in ((HIGHEST, max), (TOTAL, sum)):
+        for own in (True, False):
+            wanted, held, fresh = {}, {}, {}
+            for seq, e, v, again in sorted(log):
+                if again:
+                    held[e], fresh[e] = [], False
+                inside = held.setdefault(e, [])
+                before = list(inside)
+                if v is not None:
+                    inside.append(v)
+                run = inside if own else before
+                wanted[seq] = (plain(run) if run else None, fresh.get(e, True))
+            got = running(frame, F.col("again"), F.col("v"), fold, own, ranges).collect()
+            assert {r.seq: (r._run, r._fresh) for r in got} == wanted and len(got) == len(log)
+    assert running(frame.where("false"), F.col("again"), F.col("v"), TOTAL, True).count() == 0
+
+
 def test_guarded_log_with_unguarded_writes(spark):
     rng = random.Random(9)
     log = [(i, f"e{rng.randint(0, 3)}", f"t-v{rng.randint(1, 12)}", rng.random() < 0.2) for i in range(200)]
