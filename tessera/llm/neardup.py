@@ -40,7 +40,7 @@ SIGMAS = 6.0
 #: Rows of an order that are looked at together.
 ROWS = 20_000
 #: Shingles that a task resolves together; a larger block goes piece by piece.
-PIECE = 400_000
+PIECE = 100_000
 
 _BASE = "id long, key {key}, n long, d1 long, d2 long, tree array<int>, hi array<long>, lo array<long>, sketch array<long>"
 _WORDS = S.VALUES // 64
