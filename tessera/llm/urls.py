@@ -154,9 +154,10 @@ def links(pages: DataFrame) -> DataFrame:
     # Quotes around the target end it.
     content = F.regexp_replace(content, r"(?s)^([\"'])(.*?)(?:\1.*)?$", "$2")
     refresh = F.when(F.lower(tag).startswith("<meta") & (F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh") & (content != ""), content)
-    named = found.select("url", F.coalesce(canonical, refresh).alias("target")).where("target IS NOT NULL")
-    pairs = named.select(node(F.col("url")).alias("a"), resolved(F.col("target"), F.col("url")).alias("b"))
-    return pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    # Taken out of arrays, targets and nodes are computed once: no filter on them is pushed into their expressions.
+    named = found.select("url", F.explode(F.filter(F.array(F.coalesce(canonical, refresh)), lambda x: x.isNotNull())).alias("target"))
+    ends = F.array(F.struct(node(F.col("url")).alias("a"), resolved(F.col("target"), F.col("url")).alias("b")))
+    return named.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
 def judged(pages: DataFrame, rules: list[Rule] = RULES, edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
