@@ -29,7 +29,7 @@ PERCENTILE = 95
 #: Tokens after which a shard is closed, texts of a partition in bytes, and pieces that a worker remembers.
 SHARD_TOKENS, PARTITION_BYTES, CACHE = 1_000_000, 24_000_000, 1_200_000
 #: Rows and bytes of text that are encoded at once.
-ENCODE_ROWS, ENCODE_BYTES = 4096, 16_000_000
+ENCODE_ROWS, ENCODE_BYTES = 2048, 10_000_000
 #: Pieces whose ids are put together at once.
 GATHER = 100_000
 #: Most partitions of a write: one row for each is broadcast when reading.
