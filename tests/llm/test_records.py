@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import decontaminate, mixing, pii, registry, tokens, urls
+from tessera.llm import common, decontaminate, mixing, pii, registry, tokens, urls
 from tessera.llm.common import table
 
 DIR = "/root/testdata/sf0.001"
@@ -34,6 +34,28 @@ def test_query_matches_its_sql(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr) == wanted
 
 
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_queries_keep_the_session(spark, name):
+    before = dict(spark.conf.getAll.items())
+    assert registry.queries()[name](spark, DIR).count() > 0
+    assert dict(spark.conf.getAll.items()) == before
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    kept = common.stored(spark.range(3).toDF("x"), "some")
+    assert kept.count() == 3 and common.scratch_root(spark) in kept.inputFiles()[0]
+    common.drop_scratch(spark)
+    assert not spark._jvm.org.apache.hadoop.fs.Path(common.scratch_root(spark)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(common.scratch_root(spark)))
+
+
+def test_hot_values_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    left = spark.range(200).selectExpr("id", "CASE WHEN id < 90 THEN 1 WHEN id < 120 THEN NULL ELSE id END AS k")
+    right = spark.createDataFrame([(1, "one"), (130, "more"), (999, "none")], "k long, name string")
+    got = {r.id: (r.k, r.name) for r in common.hot_join(left, right, ["k"]).collect()}
+    assert got == {i: (1, "one") if i < 90 else (None, None) if i < 120 else (i, "more" if i == 130 else None) for i in range(200)}
+
+
 # ------------------------------------------------------------ decontamination
 
 
