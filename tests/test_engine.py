@@ -8,6 +8,7 @@ from tessera.functions.values import ENTRIES, VALUE, fields_of, float_value, int
 from tessera.operators import consistency
 from tessera.sources.catalog import Field, Table
 from tessera.sources.rows import read_json_rows
+from tessera.sources.shared import shared_dir
 from tessera.streaming.upsert import upsert
 
 T0 = datetime(2024, 1, 1)
@@ -218,6 +219,22 @@ def test_a_change_rewrites_its_buckets_only(spark, engine):
     assert engine.entries.count() == 0 and engine.store.pointer["entries"] == {}
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+    assert shared_dir(spark).startswith("file://")
+
+
 def test_a_failed_change_leaves_nothing_behind(spark, engine):
     v = engine.create_version("user_profile")
     engine.write(rows(spark, u=fields_of(age=int_value(F.lit(1)))), v.id)
