@@ -45,16 +45,16 @@ def test_layouts_hide_and_show(spark, engine):
     engine.registry.register(Table("t", "t", (Field("age", "int"),)))
     v1 = engine.create_version("t")
     engine.publish(v1.id)
-    engine.write(rows(spark, u=fields_of(age=int_value(F.lit(30)), score=float_value(F.lit(9.5)))), v1.id)
-    assert shown(engine.read_strings(keys(spark, "u"))) == {"u": {"age": "30"}}
+    engine.write(rows(spark, u=fields_of(age=int_value(F.lit(44)), score=float_value(F.lit(2.25)))), v1.id)
+    assert shown(engine.read_strings(keys(spark, "u"))) == {"u": {"age": "44"}}
     engine.registry.register(Table("t", "t", (Field("age", "int"), Field("score", "float"))))
     v2 = engine.create_version("t")
     engine.publish(v2.id)
-    assert shown(engine.read_strings(keys(spark, "u"))) == {"u": {"age": "30", "score": "9.5"}}
-    assert shown(engine.read_strings(keys(spark, "u"), v1.id)) == {"u": {"age": "30"}}
+    assert shown(engine.read_strings(keys(spark, "u"))) == {"u": {"age": "44", "score": "2.25"}}
+    assert shown(engine.read_strings(keys(spark, "u"), v1.id)) == {"u": {"age": "44"}}
     assert v1.state == "superseded"
     engine.rollback_version(v2.id)
-    assert shown(engine.read_strings(keys(spark, "u"))) == {"u": {"age": "30"}}
+    assert shown(engine.read_strings(keys(spark, "u"))) == {"u": {"age": "44"}}
 
 
 def test_absent_entities_are_empty(spark, engine):
@@ -74,9 +74,9 @@ def test_keys_are_checked(spark, engine):
 
 def test_import_rollback_and_reload(spark, engine, tmp_path):
     engine.write(rows(spark, user_a=fields_of(age=int_value(F.lit(1)))), "user_profile-v0", T0)
-    batch = rows(spark, **{f"user_{k}": fields_of(age=int_value(F.lit(x)), odd=int_value(F.lit(1))) for k, x in zip("abc", (20, 30, 40), strict=True)})
+    batch = rows(spark, **{f"user_{k}": fields_of(age=int_value(F.lit(x)), odd=int_value(F.lit(1))) for k, x in zip("apq", (61, 17, 8), strict=True)})
     assert engine.import_rows("b", "user_profile", batch, "user_profile-v1")["segments"] == 2
-    assert {r.entity: r.fields["age"].i for r in engine.entries.collect()} == {"user_a": 20, "user_b": 30, "user_c": 40}
+    assert {r.entity: r.fields["age"].i for r in engine.entries.collect()} == {"user_a": 61, "user_p": 17, "user_q": 8}
     assert all("odd" not in r.fields for r in engine.entries.collect())
     again = Engine(spark, f"file://{tmp_path}/state")
     assert again.batch("b")["rows"] == 3 and again.entries.count() == 3
@@ -98,13 +98,13 @@ def test_import_rollback_and_reload(spark, engine, tmp_path):
 
 def test_backfill_applies_once(spark, engine):
     v = engine.create_version("user_profile")
-    batch = rows(spark, user_1=fields_of(cnt=int_value(F.lit(10))), user_2=fields_of(cnt=int_value(F.lit(20))))
+    batch = rows(spark, shop_4=fields_of(hits=int_value(F.lit(13))), shop_9=fields_of(hits=int_value(F.lit(6))))
     assert engine.backfill("t", v.id, batch) == 2
     task = engine.task("t")
     assert (task.state, task.processed, task.completed()) == ("done", 2, True)
     assert engine.retry("t", v.id, batch) == 0
     assert engine.retry("other", v.id, batch) == 2
-    assert {r.entity: r.fields["cnt"].i for r in engine.entries.collect()} == {"user_1": 20, "user_2": 40}
+    assert {r.entity: r.fields["hits"].i for r in engine.entries.collect()} == {"shop_4": 26, "shop_9": 12}
     with pytest.raises(ValueError):
         engine.backfill("", v.id, batch)
     with pytest.raises(KeyError):
@@ -190,12 +190,12 @@ def test_stream_upsert(spark, engine, tmp_path):
 
 
 def test_merge_and_log_through_the_engine(spark, engine):
-    engine.write(rows(spark, u=fields_of(age=int_value(F.lit(25)), city=string_value(F.lit("上海")), level=int_value(F.lit(3)))), "v")
-    engine.merge_write(rows(spark, u=fields_of(city=string_value(F.lit("北京")))), ["city"], "v")
+    engine.write(rows(spark, u=fields_of(age=int_value(F.lit(52)), city=string_value(F.lit("Łódź")), level=int_value(F.lit(9)))), "v")
+    engine.merge_write(rows(spark, u=fields_of(city=string_value(F.lit("Reykjavík")))), ["city"], "v")
     got = engine.read_strings(keys(spark, "u")).first().fields
-    assert got == {"age": "25", "city": "北京", "level": "3"}
+    assert got == {"age": "52", "city": "Reykjavík", "level": "9"}
     engine.merge_write(rows(spark, u=fields_of(other=int_value(F.lit(1)))), ["city"], "v")
-    assert engine.read_strings(keys(spark, "u")).first().fields == {"age": "25", "level": "3"}
+    assert engine.read_strings(keys(spark, "u")).first().fields == {"age": "52", "level": "9"}
     ops = spark.createDataFrame([(1, "delete", "u", None, None, "v", T0)], f"seq bigint, op string, entity string, fields map<string,{VALUE}>, window array<string>, version_id string, written_at timestamp_ntz")
     engine.apply_log(ops)
     assert engine.entries.count() == 0

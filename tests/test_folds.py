@@ -114,13 +114,13 @@ def test_guarded_log_with_unguarded_writes(spark):
 
 
 def test_guard_rejects_an_older_version(spark):
-    start = entries(spark, {"u": ({"score": 100}, "t-v2")})
-    log = spark.createDataFrame([(0, "write", "u", {"score": val(5)}, None, "t-v1", T0)], LOG)
-    assert fields(writes.compare_and_write(start, log)) == {"u": ({"score": 100}, "t-v2")}
-    newer = spark.createDataFrame([(0, "write", "u", {"score": val(5)}, None, "t-v10", T0)], LOG)
-    assert fields(writes.compare_and_write(start, newer)) == {"u": ({"score": 5}, "t-v10")}
+    start = entries(spark, {"u": ({"score": 71}, "t-v2")})
+    log = spark.createDataFrame([(0, "write", "u", {"score": val(3)}, None, "t-v1", T0)], LOG)
+    assert fields(writes.compare_and_write(start, log)) == {"u": ({"score": 71}, "t-v2")}
+    newer = spark.createDataFrame([(0, "write", "u", {"score": val(3)}, None, "t-v10", T0)], LOG)
+    assert fields(writes.compare_and_write(start, newer)) == {"u": ({"score": 3}, "t-v10")}
     # Read backwards, ten is one.
-    assert fields(writes.compare_and_write(start, newer, compat=True)) == {"u": ({"score": 100}, "t-v2")}
+    assert fields(writes.compare_and_write(start, newer, compat=True)) == {"u": ({"score": 71}, "t-v2")}
 
 
 @pytest.mark.parametrize("seed", range(3))
