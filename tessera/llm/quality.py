@@ -198,7 +198,8 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     )
     rows = common.stored(rows, "quality-sample")
     quantiles = [i / (CUTS + 1) for i in range(1, CUTS + 1)] + [0.97, 0.99]
-    found = rows.agg(*[F.percentile_approx(f, [*quantiles], 2000).alias(f) for f in features]).first()
+    # Exact ones of a bounded sample: the same list in every run.
+    found = rows.agg(*[F.percentile(f, [*quantiles]).alias(f) for f in features]).first()
     cuts = [sorted(set(found[f] or [])) for f in features]
     bins = [
         sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cs), F.lit(0)).alias(f)
