@@ -33,6 +33,14 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source))
 
 
+def _total(x: Column) -> Column:
+    """Sum of doubles, the same in whatever order rows come: whole parts of 2^-24 and, of the rest, of 2^-54 are added as numbers of 64 bits."""
+    scaled = x * F.lit(2.0**24)
+    high = F.floor(scaled)
+    low = F.rint((scaled - high) * F.lit(2.0**30)).cast("long")
+    return (F.sum(high) + F.sum(low) / F.lit(2.0**30)) / F.lit(2.0**24)
+
+
 def _split(low: float, high: float, n: int = 15) -> list[float]:
     return [low + (high - low) * i / (n + 1) for i in range(1, n + 1)]
 
@@ -49,7 +57,7 @@ def exponent(shares: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
         sums = []
         for a in powers:
             w = F.exp(F.lit(a) * F.col("_l"))
-            sums += [F.sum(w), F.sum(w * F.col("_l")), F.max(F.exp(F.lit(a - 1.0) * F.col("_l")))]
+            sums += [_total(w), _total(w * F.col("_l")), F.max(F.exp(F.lit(a - 1.0) * F.col("_l")))]
         row = known.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
         out = []
         for i, a in enumerate(powers):
@@ -123,7 +131,7 @@ def plan(documents: DataFrame, **limits: float) -> DataFrame:
     total = sources.agg(F.sum("_t").alias("n")).first().n or 0
     sources = common.stored(sources.withColumn("p", F.col("_t") / F.lit(float(max(total, 1)))), "mixing-sources")
     power = exponent(sources, **limits)
-    z = sources.where("p > 0").agg(F.sum(F.pow("p", F.lit(power))).alias("z")).first().z or 1.0
+    z = sources.where("p > 0").agg(_total(F.pow("p", F.lit(power))).alias("z")).first().z or 1.0
     share = F.when(F.col("p") > 0, F.pow("p", F.lit(power)) / F.lit(z)).otherwise(0.0)
     ratio = F.when(F.col("p") > 0, F.lit(budget) * share / F.col("p")).otherwise(0.0)
     wanted = (

@@ -506,6 +506,22 @@ def test_many_sources_are_joined_without_a_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, mixing.drawn(frame).collect())) == wanted
 
 
+def test_weights_are_the_same_however_sums_are_dealt(spark):
+    for terms in ([(0.1,), (0.2,), (0.3,)], [(-31.25,), (1e-9,), (2.0 / 3,)]):
+        sums = {spark.createDataFrame(x, "p double").coalesce(1).agg(mixing._total(F.col("p"))).first()[0] for x in (terms, terms[::-1])}
+        assert len(sums) == 1 and abs(sums.pop() - sum(x for (x,) in terms)) < 1e-14
+    rows = [(i, "w " * (1 + i * i % 37), f"s{i % 211}") for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({(r.source, r.weight, r.copies, r.doc_id) for r in mixing.drawn(frame).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+
+
 def test_blocks_are_whole_or_cut_once(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
     rows = [(i, "w " * (1 + i % 5), "a" if i % 4 else "b") for i in range(2000)]
